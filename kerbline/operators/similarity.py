@@ -13,89 +13,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def simhash(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """64-bit majority hash of a set of words: bit i is 1 when most md5 hashes have it set."""
-    half = [F.conv(F.substring(F.md5("_w"), s, 8), 16, 10).cast("long") for s in (1, 9)]
-    split = df.select(key, F.explode(F.array_distinct(words)).alias("_w")).select(key, half[0].alias("_hi"), half[1].alias("_lo"))
-    ones = [F.sum(F.shiftright("_hi" if i < 32 else "_lo", 31 - i % 32).bitwiseAND(F.lit(1))).alias(f"_b{i}") for i in range(64)]
-    counted = split.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *ones)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        bit = F.shiftleft(F.lit(1).cast("long"), 63 - i)
-        value = value.bitwiseOR(F.when(F.col(f"_b{i}") * 2 > F.col("_n"), bit).otherwise(F.lit(0).cast("long")))
-    return counted.select(key, value.alias("phash"))
+def _blocks(bits: list[int], count: int) -> list[int]:
+    """Masks of ``count`` near-equal runs of the given bit positions."""
+    edges = [len(bits) * i // count for i in range(count + 1)]
+    return [sum(1 << k for k in bits[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def _blocks(bits: int, count: int, start: int = 0) -> list[tuple[int, int]]:
-    """(first bit, width) of ``count`` near-equal blocks."""
-    edges = [start + bits * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _take(h: Column, block: tuple[int, int]) -> Column:
-    first, width = block
-    return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _mask(*blocks: tuple[int, int]) -> Column:
-    m = sum(((1 << width) - 1) << first for first, width in blocks)
-    return F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")
-
-
-def _keys(max_distance: int):
-    blocks = _blocks(64, max_distance + 2)
-    return blocks, list(combinations(range(len(blocks)), 2))
+def _longs(masks: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
 
 
 def hash_pairs(a: DataFrame, b: DataFrame, max_distance: int = 6, hot: int = 4096) -> DataFrame:
     """(ha, hb, distance) for every hash of ``a`` and of ``b`` (columns ``h``) within ``max_distance``."""
-    blocks, pairs = _keys(max_distance)
+    blocks = _blocks(list(range(64)), max_distance + 2)
+    joint = [x | y for x, y in combinations(blocks, 2)]
+    masks = _longs(joint)
+    # at most max_distance bits differ outside the agreed pair, so one of max_distance + 1 runs of them is equal
+    inner = F.array(*[_longs(_blocks([k for k in range(64) if not m >> k & 1], max_distance + 1)) for m in joint])
 
     def keyed(df: DataFrame) -> DataFrame:
-        tags = F.array(*[F.struct(F.lit(n).alias("p"), F.shiftleft(_take(F.col("h"), blocks[i]), blocks[j][1])
-                                  .bitwiseOR(_take(F.col("h"), blocks[j])).alias("v")) for n, (i, j) in enumerate(pairs)])
-        return df.select("h", F.explode(tags).alias("t")).select("h", "t.p", "t.v")
+        return (df.select("h", F.posexplode(masks).alias("p", "m"))
+                .select("h", "p", F.col("h").bitwiseAND(F.col("m")).alias("v")))
 
     left, right = keyed(a.select("h").distinct()), keyed(b.select("h").distinct())
-    full = (right.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("p", "v", F.lit(True).alias("full")))
-
-    subs = _blocks(64 - 2 * min(w for _, w in blocks), max_distance + 1)
-
-    def rest(h: Column) -> Column:
-        """The bits outside the bucket's own block pair, packed together."""
-        out = None
-        for n, own in enumerate(pairs):
-            packed = F.lit(0).cast("long")
-            for k, block in enumerate(blocks):
-                if k not in own:
-                    packed = F.shiftleft(packed, block[1]).bitwiseOR(_take(h, block))
-            out = F.when(F.col("p") == n, packed) if out is None else out.when(F.col("p") == n, packed)
-        return out
+    full = (right.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > hot).select("p", "v", F.lit(True).alias("full")))
 
     def refined(df: DataFrame) -> DataFrame:
-        """Buckets above ``hot`` hashes are split by one more agreeing block: at most d of the other bits
-        differ, so one of d + 1 blocks over them is equal."""
-        marked = df.join(full, ["p", "v"], "left").withColumn("_rest", F.when(F.col("full"), rest(F.col("h"))))
-        more = F.array(*[F.struct(F.lit(s).alias("s"), _take(F.col("_rest"), sub).alias("sv")) for s, sub in enumerate(subs)])
-        plain = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("sv")))
-        return (marked.withColumn("_t", F.explode(F.when(F.col("full"), more).otherwise(plain)))
-                .select("h", "p", "v", F.col("_t.s").alias("s"), F.col("_t.sv").alias("sv")))
+        """Buckets above ``hot`` hashes are split by one more agreeing run; others keep one entry."""
+        marked = df.join(full, ["p", "v"], "left")
+        own = F.when(F.col("full"), F.get(inner, F.col("p"))).otherwise(F.array(F.lit(0).cast("long")))
+        return (marked.select("h", "p", "v", "full", F.posexplode(own).alias("s", "m"))
+                .select("h", "p", "v", "s", F.col("h").bitwiseAND(F.col("m")).alias("sv"),
+                        F.coalesce("full", F.lit(False)).alias("full")))
 
     met = (refined(left).withColumnRenamed("h", "ha")
-           .join(refined(right).withColumnRenamed("h", "hb"), ["p", "v", "s", "sv"])
+           .join(refined(right).select(F.col("h").alias("hb"), "p", "v", "s", "sv"), ["p", "v", "s", "sv"])
            .withColumn("_x", F.col("ha").bitwiseXOR(F.col("hb")))
            .withColumn("distance", F.bit_count("_x"))
            .where(F.col("distance") <= max_distance))
     # a pair counts only in the first bucket where it meets, instead of a distinct over all meetings
-    first = F.lit(None).cast("int")
-    for n, (i, j) in reversed(list(enumerate(pairs))):
-        first = F.when(F.col("_x").bitwiseAND(_mask(blocks[i], blocks[j])) == 0, n).otherwise(first)
-    sub_first = F.lit(None).cast("int")
-    for s, sub in reversed(list(enumerate(subs))):
-        sub_first = F.when(_take(F.col("_xrest"), sub) == 0, s).otherwise(sub_first)
-    return (met.where(F.col("p") == first)
-            .withColumn("_xrest", F.when(F.col("s") >= 0, rest(F.col("_x"))))
-            .where((F.col("s") == -1) | (F.col("s") == sub_first))
+    agree = lambda ms: F.array_position(F.transform(ms, lambda m: F.col("_x").bitwiseAND(m)), 0) - 1
+    return (met.where((F.col("p") == agree(masks)) & (~F.col("full") | (F.col("s") == agree(F.get(inner, F.col("p"))))))
             .select("ha", "hb", "distance"))
 
 

@@ -1,6 +1,6 @@
 """Imports every query module so that the catalogue is complete."""
 
 from kerbline.plans.registry import CATALOG
-from kerbline.plans import curation  # noqa: F401
+from kerbline.plans import curation, grading, scalars  # noqa: F401
 
 __all__ = ["CATALOG"]

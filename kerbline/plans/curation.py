@@ -3,7 +3,13 @@ their text for the photo's content."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from kerbline.functions.hashing import order_key, unit_draw
 from kerbline.operators import sampling as S
@@ -274,11 +280,22 @@ SIM = (f"w AS (SELECT doc_id, source, unnest({WORDS}) AS w FROM documents), "
        + " AS h FROM b GROUP BY doc_id)")
 
 
+@F.pandas_udf(LongType())
+def simhash(text: pd.Series) -> pd.Series:
+    """Demo stand-in for a photo hash, over the whole text: each of 64 bits is the majority over the md5 of its
+    distinct words. The library itself takes the hash as a column."""
+
+    def one(words):
+        digests = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words)
+        ones = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return int(np.packbits(ones * 2 > len(words)).view(">i8")[0])
+
+    return text.map(lambda v: one(set(re.split("[ \t\n\r]+", v.lower()))))
+
+
 def hashed(t):
-    d = t.documents.select("doc_id", "source", "text")
-    h = N.simhash(d, "doc_id", F.split(F.lower("text"), "[ \t\n\r]+"))
     # the index is read several times below, so it is written once, as a provenance index keeps its hash column
-    return materialise(t.documents.select("doc_id", "source").join(h, "doc_id"), "photo_index")
+    return materialise(t.documents.select("doc_id", "source", simhash("text").alias("phash")), "photo_index")
 
 
 @query("near_duplicates", f"""

@@ -10,6 +10,7 @@ import math
 import os
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -80,8 +81,8 @@ def compare(spark, con, folder, name):
         return "COLUMNS", len(got), took, f"{sorted(df.columns)} != {sorted(names)}"
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a != b:
-        only = [r for r in a if r not in b][:3] if len(a) < 20000 else []
-        miss = [r for r in b if r not in a][:3] if len(b) < 20000 else []
+        ca, cb = Counter(map(repr, a)), Counter(map(repr, b))
+        only, miss = list((ca - cb))[:3], list((cb - ca))[:3]
         return "DIFF", len(got), took, f"{len(a)} vs {len(b)} rows\n   cols {sorted(names)}\n   spark {only}\n   sql   {miss}"
     return ("ok" if got else "EMPTY"), len(got), took, ""
 
