@@ -13,11 +13,12 @@ def missing_nan(x: Column) -> Column:
 
 def safe_round(x: Column, digits: int = 2) -> Column:
     """Half-even rounding; text that is no number, NaN and missing give null."""
-    return F.bround(missing_nan(F.try_cast(x, "double") if hasattr(F, "try_cast") else x.try_cast("double")), digits)
+    return F.bround(missing_nan(x.try_cast("double")), digits)
 
 
 def clip(x: Column, low, high) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Bound a value; missing stays missing (greatest and least alone would skip the null)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def ratio(a: Column, b: Column) -> Column:

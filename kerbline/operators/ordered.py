@@ -18,23 +18,23 @@ from kerbline.functions.hashing import hash_chunk
 CHUNKS = 256
 
 
-def value_chunk(df: DataFrame, source: str, value: str | None = None, chunks: int = CHUNKS) -> Column:
-    """Chunk number (0..chunks-1) of ``value`` by approximate quantiles of ``df[source]``.
+def value_chunk(df: DataFrame, value: str, sample: DataFrame, sampled: str, name: str, chunks: int = CHUNKS) -> DataFrame:
+    """Add the chunk number (0..chunks-1) of ``value`` by approximate quantiles of ``sample[sampled]``.
 
     The bounds are one scalar subquery; each row finds its chunk by halving. Results never depend on
     how exact the bounds are, only balance does. ``chunks`` must be a power of two.
     """
     points = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(F.col(source).cast("double"), points, 10 * chunks)).scalar()
-    target = F.col(value or source).cast("double")
+    bounds = sample.agg(F.percentile_approx(F.col(sampled).cast("double"), points, 10 * chunks)).scalar()
     steps = []
     step = chunks // 2
     while step:
         steps.append(F.lit(step))
         step //= 2
-    return F.aggregate(
-        F.array(*steps), F.lit(0),
-        lambda at, s: F.when(F.get(bounds, at + s - 1) <= target, at + s).otherwise(at))
+    target = F.col(value).cast("double")
+    chunk = F.aggregate(F.array(*steps), F.lit(0),
+                        lambda at, s: F.when(F.get("_bounds", at + s - 1) <= target, at + s).otherwise(at))
+    return df.withColumn("_bounds", bounds).withColumn(name, chunk).drop("_bounds")
 
 
 def prefix_sums(df: DataFrame, part: Sequence[str], order: Sequence, chunk: Column,
@@ -85,7 +85,8 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, chunks: int =
     """Distinct values per group with ``n`` and ``below`` (rows of the group with a smaller value)."""
     present = df.where(F.col(value).isNotNull())
     counted = present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    return prefix_sums(counted, group, [value], value_chunk(present, value, chunks=chunks), {"below": F.col("n")})
+    chunked = value_chunk(counted, value, present, value, "_vc", chunks)
+    return prefix_sums(chunked, group, [value], F.col("_vc"), {"below": F.col("n")}).drop("_vc")
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str, points: Mapping[str, float],
@@ -97,8 +98,8 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, points: Mapping
     group = list(group)
     present = df.where(F.col(value).isNotNull())
     counted = (present.groupBy(*group, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_chunk", value_chunk(present, value, "_v", chunks)))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    counted = value_chunk(counted, "_v", present, value, "_chunk", chunks)
     keys = [*group, "_chunk"]
     earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     placed = (counted.groupBy(*keys).agg(F.sum("_n").alias("_cn"))
