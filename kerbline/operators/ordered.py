@@ -90,15 +90,15 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, chunks: int =
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str, points: Mapping[str, float],
-                chunks: int = CHUNKS) -> DataFrame:
+                chunks: int = CHUNKS, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles per group, one output column per name in ``points``.
 
-    Equal values are counted before the shuffle, and only the chunks that hold a wanted rank are sorted.
+    ``weight`` is a column of whole repeat counts, for values that were counted before. Equal values are counted before the shuffle, and only the chunks that hold a wanted rank are sorted.
     """
     group = list(group)
     present = df.where(F.col(value).isNotNull())
     counted = (present.groupBy(*group, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
+               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")).where(F.col("_n") > 0))
     counted = value_chunk(counted, "_v", present, value, "_chunk", chunks)
     keys = [*group, "_chunk"]
     earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
