@@ -180,24 +180,24 @@ def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x",
     p = p.withColumn("m", F.floor((F.greatest(win - (win % 2 == 0).cast("int"), F.lit(CURVATURE_MIN)) - 1) / 2).cast("int"))
     m, n = F.col("m"), F.col("n")
     total = (2 * m - 1) * (2 * m + 1) * (2 * m + 3)
-    offsets = F.sequence(-m, m)
 
     def smooth(axis):
-        def at(k):
-            return F.aggregate(offsets, F.lit(0.0), lambda s, i: s + 3.0 * (3 * m * m + 3 * m - 1 - 5 * i * i) / total * F.get(F.col("p"), (k + i + n) % n)[axis])
-        return F.transform(F.sequence(F.lit(0), n - 1), at)
+        return F.aggregate(F.sequence(-m, m), F.lit(0.0), lambda s, i: s + 3.0 * (3 * m * m + 3 * m - 1 - 5 * i * i) / total
+                           * F.get(F.col("p"), (F.col("i") + i + n) % n)[axis])
+
+    rows = (p.select(*key, "n", "m", "p", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+            .select(*key, "n", "i", smooth("x").alias("sx"), smooth("y").alias("sy")))
+    w = Window.partitionBy(*key).orderBy("i")
 
     def gradient(v):
-        last = n - 1
-        return F.transform(v, lambda _, i: (F.get(v, F.least(i + 1, last)) - F.get(v, F.greatest(i - 1, F.lit(0)))) / (F.least(i + 1, last) - F.greatest(i - 1, F.lit(0))))
-
-    p = p.withColumns({"sx": smooth("x"), "sy": smooth("y")})
-    p = p.withColumns({"dx": gradient(F.col("sx")), "dy": gradient(F.col("sy"))})
-    p = p.withColumns({"ax": gradient(F.col("dx")), "ay": gradient(F.col("dy"))})
-    g = lambda c, i: F.get(F.col(c), i)
-    kappa = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (g("dx", i) * g("ay", i) - g("dy", i) * g("ax", i))
-                        / F.greatest(F.pow(g("dx", i) * g("dx", i) + g("dy", i) * g("dy", i), F.lit(1.5)), F.lit(1e-10)))
-    rows = p.withColumn("k", kappa).select(*key, "n", "k", F.posexplode("k").alias("i", "s")).withColumns({"a": F.abs("s"), "prev": F.get("k", F.col("i") - 1)})
+        """Central difference, one-sided at both ends."""
+        after, before = F.lead(v).over(w), F.lag(v).over(w)
+        return F.coalesce((after - before) / 2, after - F.col(v), F.col(v) - before)
+
+    rows = rows.withColumns({"dx": gradient("sx"), "dy": gradient("sy")})
+    rows = rows.withColumns({"ax": gradient("dx"), "ay": gradient("dy")})
+    kappa = (F.col("dx") * F.col("ay") - F.col("dy") * F.col("ax")) / F.greatest(F.pow(F.col("dx") ** 2 + F.col("dy") ** 2, F.lit(1.5)), F.lit(1e-10))
+    rows = rows.select(*key, "n", "i", kappa.alias("s")).withColumns({"a": F.abs("s"), "prev": F.lag("s").over(w)})
     s = rows.groupBy(*key).agg(F.max("n").alias("points"), F.max("a").alias("max_curvature"), F.avg("a").alias("mean_curvature"), F.stddev_pop("a").alias("std_curvature"),
                                F.percentile("a", F.lit(0.9)).alias("p90_curvature"), F.min("a").alias("_lo"), F.avg((F.col("s") < 0).cast("int")).alias("concave_fraction"),
                                F.count_if(F.signum("s") != F.signum("prev")).alias("curvature_sign_changes"))
