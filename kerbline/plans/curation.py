@@ -15,6 +15,7 @@ from kerbline.functions.hashing import order_key, unit_draw
 from kerbline.operators import sampling as S
 from kerbline.operators import similarity as N
 from kerbline.operators import splits as L
+from kerbline.operators.manifest import corpus_manifest, jet_to_index
 from kerbline.plans.registry import query
 from kerbline.storage import materialise
 
@@ -316,3 +317,29 @@ def _(t):
     known = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
     out = N.nearest_reference(h.where(~known), "phash", h.where(known), "phash", "doc_id", "source")
     return out.select("doc_id", "dup_of", "dup_split", "dup_distance")
+
+
+@query("corpus_manifest", f"""
+WITH {SIM}, f AS (SELECT d.doc_id, lang, quality=1 AS pos, toxic=1 AS oth, s.h FROM documents d JOIN labels USING (doc_id) JOIN s ON s.doc_id=d.doc_id),
+held AS (SELECT lang AS hl FROM f WHERE pos GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1 OFFSET 1), m AS (SELECT f.*, lang=hl AS held FROM f, held),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, oth ORDER BY md5('23|'||doc_id), doc_id) AS a, row_number() OVER (PARTITION BY held ORDER BY md5('23|'||doc_id), doc_id) AS b FROM m WHERE NOT pos),
+u AS (SELECT doc_id, h, CASE WHEN held THEN 'box_test' ELSE 'box_train' END AS role FROM m WHERE pos UNION ALL SELECT doc_id, h, 'negative' FROM n WHERE NOT held AND a<=4 UNION ALL SELECT doc_id, h, 'neg_test' FROM n WHERE held AND b<=6),
+r AS (SELECT doc_id, h FROM s WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id=s.doc_id))
+SELECT u.doc_id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE bit_count(xor(u.h::BIT, r.h::BIT))<=6) THEN 'dropped' ELSE role END AS role FROM u""")
+def _(t):
+    h = hashed(t)
+    frames = t.documents.select("doc_id", "lang").join(t.labels, "doc_id").join(h.select("doc_id", "phash"), "doc_id")
+    reference = h.join(t.labels, "doc_id", "left_anti")
+    m = corpus_manifest(frames, "doc_id", "lang", F.col("quality") == 1, F.col("toxic") == 1, "phash", reference, "phash", "doc_id", "source", 4, 6, 23)
+    return m.select("doc_id", "role")
+
+
+@query("jet_to_index", """
+WITH k AS (SELECT i, CAST(round(255*least(greatest(1.5-abs(4.0*i/255-1),0),1)) AS INT) AS b, CAST(round(255*least(greatest(1.5-abs(4.0*i/255-2),0),1)) AS INT) AS g, CAST(round(255*least(greatest(1.5-abs(4.0*i/255-3),0),1)) AS INT) AS r FROM (SELECT i::DOUBLE AS i FROM generate_series(0,255) v(i))),
+c AS (SELECT DISTINCT CAST(l_quantity*5 AS INT) AS b, CAST(round(l_discount*2550) AS INT) AS g, CAST(round(l_tax*3000) AS INT) AS r FROM lineitem),
+n AS (SELECT c.b, c.g, c.r, min(((c.b-k.b)*(c.b-k.b)+(c.g-k.g)*(c.g-k.g)+(c.r-k.r)*(c.r-k.r), CAST(i AS INT))) AS m FROM c, k GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, m[2] AS jet_index, round(sqrt(m[1]),6) AS jet_distance FROM lineitem JOIN n ON b=CAST(l_quantity*5 AS INT) AND g=CAST(round(l_discount*2550) AS INT) AND r=CAST(round(l_tax*3000) AS INT)""")
+def _(t):
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    px = t.lineitem.select(*key, (F.col("l_quantity") * 5).cast("int").alias("b"), F.round(F.col("l_discount") * 2550).cast("int").alias("g"), F.round(F.col("l_tax") * 3000).cast("int").alias("r"))
+    return jet_to_index(px).select(*key, "jet_index", F.round("jet_distance", 6).alias("jet_distance"))
