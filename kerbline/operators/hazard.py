@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from kerbline.functions import grading as D
 
 # fixed values: tyre sizes as (id, rim in inches or null, section width mm, aspect ratio %); the bicycle rim is
-# 622 mm at the bead seat. Drop levels that a carriageway inspection acts on.
+# 622 mm at the bead seat.
 TYRES = (("bicycle", None, 25.0, None), ("scooter", 10.0, 90.0, 90.0), ("auto_rickshaw", 8.0, 101.6, 100.0), ("motorcycle", 17.0, 120.0, 70.0),
          ("car", 15.0, 195.0, 65.0), ("suv", 17.0, 235.0, 65.0), ("truck", 22.5, 295.0, 80.0))
-INVESTIGATORY_DEPTH_MM, INVESTIGATORY_ACROSS_MM = 50.0, 100.0
 # fixed values: smoothing window of a contour as a share of its points, with its limits
 CURVATURE_SHARE, CURVATURE_MIN, CURVATURE_MAX = 0.08, 5, 51
 
@@ -78,6 +77,11 @@ def grade_2d(depth_probs: Column, width_probs: Column) -> Column:
     return F.array(1.0 - total["L"] - total["M"] - total["H"], total["L"], total["M"], total["H"])
 
 
+def investigatory_probability(depth_probs: Column, width_probs: Column | None = None) -> Column:
+    """Chance of reaching the carriageway level: 50 mm deep and, where the width is known, 100 mm across."""
+    return depth_probs[3] if width_probs is None else depth_probs[3] * F.coalesce(1.0 - width_probs[0], F.lit(1.0))
+
+
 def wheel_drops(relief: DataFrame, key: Sequence[str], scale: DataFrame, size: tuple[int, int]) -> DataFrame:
     """Worst fall of each tyre rolled through each outline, along the rows or the columns through its deepest point.
 
@@ -160,7 +164,7 @@ def hazard_block(df: DataFrame, drops: DataFrame, key: Sequence[str], depth: str
     key = list(key)
     tyres = drops.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tyre", "drop_mm", "drop_bound_mm"))).alias("tyres"),
                                     F.max(F.when(F.col("tyre") == "car", F.col("drop_mm"))).alias("_car"))
-    j = df.join(tyres, key, "left").withColumn("_p", F.col("depth_probs")[3])
+    j = df.join(tyres, key, "left").withColumn("_p", investigatory_probability(F.col("depth_probs")))
     j = j.withColumn("_c", D.provisional_consequence(F.col("_p"), F.col("_car")))
     score = likelihood * F.col("_c")
     return j.select(*key, F.struct(F.bround(depth, 1).alias("depth_mm"), F.bround("_p", 3).alias("p_investigatory"), F.bround("_car", 1).alias("car_drop_mm"), F.col("_c").alias("consequence"),

@@ -58,9 +58,10 @@ def _(t):
     return g.select("p_partkey", *[F.round(c("g")[i], 6).alias(n) for i, n in ((1, "low"), (2, "medium"), (3, "high"))], F.round(c("width_probs")[4], 6).alias("share_wide"))
 
 
-@query("investigatory_probability", f"WITH {FS} SELECT p_partkey, round(d3,6) AS p_investigatory, CAST(1+round_even(4*round(d3,9),0) AS INT) AS consequence FROM b")
+@query("investigatory_probability", f"WITH {FS} SELECT p_partkey, round(d3*(1-w0),6) AS p_investigatory, CAST(1+round_even(4*round(d3*(1-w0),9),0) AS INT) AS consequence FROM b")
 def _(t):
-    g = H.with_depth_probabilities(potholes(t), "depth", errors(t)).withColumn("p", F.round(c("depth_probs")[3], 9))
+    g = H.with_width_probabilities(H.with_depth_probabilities(potholes(t), "depth", errors(t)), "width", ratios(t))
+    g = g.withColumn("p", F.round(H.investigatory_probability(c("depth_probs"), c("width_probs")), 9))
     return g.select("p_partkey", F.round("p", 6).alias("p_investigatory"), D.provisional_consequence(c("p"), F.lit(None).cast("double")).alias("consequence"))
 
 
