@@ -65,3 +65,12 @@ def op4(spark, sf_dir):
     from kerbline.llm.mixing import mix_draws
     out = mix_draws(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"))
+
+
+@register("op3_language_id")
+def op3(spark, sf_dir):
+    import public_tokenizers
+    from kerbline.llm.language_id import held_out, identify
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, F.col("doc_id").isNotNull() & ~held_out(), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
