@@ -74,3 +74,13 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs, F.col("doc_id").isNotNull() & ~held_out(), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op6_token_files")
+def op6(spark, sf_dir):
+    import public_tokenizers
+    from kerbline.llm.common import new_folder
+    from kerbline.llm.token_files import read_tokens, write_tokens
+    path = new_folder(spark, "token_files")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
