@@ -97,3 +97,15 @@ SELECT id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS compon
 def op2(spark, sf_dir):
     from kerbline.llm.minhash import near_dedup
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op10_embedding_join", """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+SELECT id AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(c) AS component_id, id = min(c) AS kept FROM r LEFT JOIN n ON n.a = r.id GROUP BY id""")
+def op10(spark, sf_dir):
+    from kerbline.llm.embedding_join import range_join
+    return range_join(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
