@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 for x in encoder.encode(texts[lo:hi]):
                     x = np.append(x, end_id)
                     wide = x.max() >= 1 << 16
-                    frames.append(bytes([wide]) + press.compress(x.astype("<u4" if wide else "<u2").tobytes()))
+                    frames.append(bytes([int(wide)]) + press.compress(x.astype("<u4" if wide else "<u2").tobytes()))
                     sizes.append(len(x))
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids[lo:hi]], side="right"), pa.int32()), pa.array(ids[lo:hi], pa.int64()),
                                                   pa.array(sizes, pa.int32()), pa.array(frames, pa.binary())], names=["shard", "id", "n", "frame"])
