@@ -58,13 +58,16 @@ def contamination(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_c
     total, lengths = sum(sizes.values()), sorted(sizes) or [n]
     names = small(wins.select(F.col("len").alias("_l"), F.col("h").alias("_m")).distinct(), total)
     hashed = with_windows(work.select(*key, words(F.col("_text")).alias("_words")), "_words", lengths).withColumn("n_words", F.size("_words"))
-    listed = [F.transform(f"_h{k}", lambda h, i, k=k: F.struct(F.lit(k).alias("len"), i.alias("pos"), h.alias("h"))) for k in lengths]
+
+    def listed(k: int) -> Column:
+        return F.transform(f"_h{k}", lambda h, i: F.struct(F.lit(k).alias("len"), i.alias("pos"), h.alias("h")))
+
     if len(lengths) == 1:                                                         # the usual case: plain numbers are exploded
         looked = hashed.select(*key, "n_words", F.lit(lengths[0]).alias("len"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), F.col(f"_h{lengths[0]}"))).alias("pos", "h"))
         looked = looked.withColumn("pos", F.col("pos") - 1)
     else:
         none = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("h")))
-        looked = hashed.select(*key, "n_words", F.explode(F.concat(none, *listed)).alias("_s")).select(*key, "n_words", "_s.*")
+        looked = hashed.select(*key, "n_words", F.explode(F.concat(none, *map(listed, lengths))).alias("_s")).select(*key, "n_words", "_s.*")
     met = looked.join(names, (F.col("len") == F.col("_l")) & (F.col("h") == F.col("_m")), "left").where("h is null or _m is not null")
     base = materialise(met.groupBy(*key, "n_words").agg(F.collect_set(F.when(F.col("_m").isNotNull(), F.struct("pos", "len", "h"))).alias("_found")), "lookups")
     hits = base.where(F.size("_found") > 0).select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), "_found")
