@@ -109,3 +109,25 @@ SELECT id AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(c) AS component
 def op10(spark, sf_dir):
     from kerbline.llm.embedding_join import range_join
     return range_join(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@register("op7_toxicity")
+def op7(spark, sf_dir):
+    from kerbline.llm.toxicity import toxicity
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity(docs, table(spark, sf_dir, "labels"), chain).select("doc_id", "p_low_quality", "p_toxic", "toxic")
+
+
+@register("op9_pii")
+def op9(spark, sf_dir):
+    from kerbline.llm.pii import find_pii
+    out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
