@@ -1,38 +1,62 @@
 """Corpus pipeline over ``documents``: language, near duplicates, contamination, mixture, token files.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. All but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbline.llm.common import materialise
+from kerbline.llm.common import materialise, new_folder
+from kerbline.llm.decontaminate import decontaminate
+from kerbline.llm.language_id import held_out, identify
+from kerbline.llm.minhash import near_dedup
+from kerbline.llm.mixing import mix
+from kerbline.llm.token_files import read_tokens, write_tokens
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a probability of one half or more; texts without a letter go."""
+    told = identify(docs, F.col("doc_id").isNotNull() & ~held_out(), public_tokenizers.path("piece_bpe_32k.model"))
+    return told.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup(docs).where("kept").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items cover less than a twentieth of the words."""
-    from kerbline.llm.decontaminate import decontaminate
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate(docs, items).where("not contaminated").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their source's target asks for."""
-    from kerbline.llm.mixing import mix
     return mix(docs).select(*docs.columns)
 
 
-STAGES = [("decontamination", decontaminated), ("mixing", mixed)]
-#: The stages hold seeded draws and models, which SQL cannot express; tests hold them against brute force.
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixture, read back: doc_id, start, n_tokens and ids_crc32 of every document in them."""
+    path = new_folder(spark, "token_files")
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [("language identification", language), ("near-duplicate removal", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("token files", tokens)]
+#: The stages hold fitted models, seeded draws and a tokenizer, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline_{name}")
+            docs = materialise(docs, "pipeline")
     return docs
