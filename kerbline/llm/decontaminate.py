@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
     cut = F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.slice("_w", i + 1, size))
     wins = work.select("item", F.explode(cut).alias("w")).distinct()
     hashed = with_windows(wins, "w", list(range(1, n + 1)))
-    return hashed.select("item", "w", F.size("w").alias("len"), F.coalesce(*[F.col(f"_h{k}")[0] for k in range(n, 0, -1)]).alias("h"))
+    return hashed.select("item", "w", F.size("w").alias("len"), F.coalesce(*[F.get(f"_h{k}", F.lit(0)) for k in range(n, 0, -1)]).alias("h"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
