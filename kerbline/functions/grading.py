@@ -47,7 +47,8 @@ def severity_rank(label: Column) -> Column:
 
 
 def rule_severity(area: Column, contrast: Column, std: Column, max_depth: Column) -> Column:
-    """Rule verdict from relative depth, with the older absolute rule when the contrast is missing."""
+    """Rule verdict from relative depth, with the older absolute rule when the contrast is missing; a missing spread or depth reads as 0."""
+    std, max_depth = F.coalesce(std, F.lit(0.0)), F.coalesce(max_depth, F.lit(0.0))
     return (F.when(area.isNull() | (area <= 0), "No pothole")
             .when(contrast.isNotNull(), F.when((contrast < 0.05) & (std < 0.05), "Shallow")
                   .when((contrast > 0.15) | (std > 0.15), "Deep").otherwise("Moderate"))
@@ -153,10 +154,10 @@ def witness_status(importable: Column, enabled: Column, score: Column) -> Column
 def pothole_age(max_curv: Column, p90_curv: Column, sign_changes: Column, contour: Column, crack: Column, area: Column, frame: Column) -> Column:
     """Age score and category from rim sharpness, irregularity, cracking and size."""
     sharp = clip((max_curv * 3.0 + p90_curv * 2.0) / 2.0, 0.0, 1.0)
-    irregular = clip(sign_changes / F.greatest(contour, F.lit(1.0)) * 5.0, 0.0, 1.0)
-    size = F.least(F.lit(1.0), area / F.greatest(frame * 0.1, F.lit(1.0)))
+    irregular = clip(sign_changes / F.when(contour.isNotNull(), F.greatest(contour, F.lit(1.0))) * 5.0, 0.0, 1.0)
+    size = clip(area / F.when(frame.isNotNull(), F.greatest(frame * 0.1, F.lit(1.0))), 0.0, 1.0)
     score = clip(0.40 * (1.0 - sharp) + 0.30 * irregular + 0.20 * crack + 0.10 * size, 0.0, 1.0)
-    name = F.when(score < 0.25, "Fresh").when(score < 0.50, "Developing").when(score < 0.75, "Established").otherwise("Chronic")
+    name = F.when(score < 0.25, "Fresh").when(score < 0.50, "Developing").when(score < 0.75, "Established").when(score.isNotNull(), "Chronic")
     return F.struct(name.alias("category"), F.bround(score, 4).alias("score"))
 
 
@@ -176,7 +177,7 @@ def score_after(severity: Column, rate: Column, days: Column) -> Column:
 
 
 def score_label(score: Column) -> Column:
-    return F.when(score < 0.33, "Shallow").when(score < 0.66, "Moderate").otherwise("Deep")
+    return F.when(score < 0.33, "Shallow").when(score < 0.66, "Moderate").when(score.isNotNull(), "Deep")
 
 
 def forecast_confidence(days: Column) -> Column:
@@ -184,24 +185,25 @@ def forecast_confidence(days: Column) -> Column:
 
 
 def astm_row(depth: Column) -> Column:
-    return F.when(depth <= ASTM_DEPTH_MM[1], 0).when(depth <= ASTM_DEPTH_MM[2], 1).otherwise(2)
+    return F.when(depth <= ASTM_DEPTH_MM[1], 0).when(depth <= ASTM_DEPTH_MM[2], 1).when(depth.isNotNull(), 2)
 
 
 def astm_grade(depth: Column, diameter: Column) -> Column:
-    """(grade, rule, equivalent_count) of the standard's depth x diameter table; null grade below its minimums."""
+    """(grade, rule, equivalent_count) of the standard's depth x diameter table; null grade below its minimums, all null where a measure is missing."""
+    known = depth.isNotNull() & diameter.isNotNull()
     row = astm_row(depth)
     col = F.when(diameter <= ASTM_WIDTH_MM[1], 0).when(diameter <= ASTM_WIDTH_MM[2], 1).otherwise(2)
     table = F.array(*[F.lit(g) for r in ASTM_TABLE for g in r])
     small = (depth < ASTM_DEPTH_MM[0]) | (diameter < ASTM_WIDTH_MM[0])
     wide = diameter > ASTM_WIDTH_MM[-1]
-    grade = (F.when(small, F.lit(None)).when(wide, F.when(depth <= ASTM_DEPTH_MM[1], "M").otherwise("H")).otherwise(F.get(table, row * 3 + col)))
-    rule = F.when(small, "below table").when(wide, "X1.17.1.2").otherwise("Table X1.1")
-    many = F.when(~small & wide, F.bround(F.pi() * F.pow(diameter / 2.0, 2) / ASTM_LARGE_UNIT_MM2, 1))
+    grade = (F.when(small | ~known, F.lit(None)).when(wide, F.when(depth <= ASTM_DEPTH_MM[1], "M").otherwise("H")).otherwise(F.get(table, row * 3 + col)))
+    rule = F.when(~known, F.lit(None)).when(small, "below table").when(wide, "X1.17.1.2").otherwise("Table X1.1")
+    many = F.when(known & ~small & wide, F.bround(F.pi() * F.pow(diameter / 2.0, 2) / ASTM_LARGE_UNIT_MM2, 1))
     return F.struct(grade.alias("grade"), rule.alias("rule"), many.alias("equivalent_count"))
 
 
 def depth_band(depth: Column) -> Column:
-    """0 below the standard's minimum, then 1 to 3."""
+    """0 below the standard's minimum, then 1 to 3; null for a missing depth."""
     return F.when(depth < ASTM_DEPTH_MM[0], 0).otherwise(astm_row(depth) + 1)
 
 
@@ -219,7 +221,8 @@ def response_for(score: Column, route: Column) -> Column:
     category = (F.when(score >= 25, "D1").when(score >= 20, "D2").when(score.isin(15, 16), "D3A").when(score >= 10, "D3").otherwise("Observation"))
     time = (F.when(score >= 25, "2 hours").when(score >= 20, F.when(route == "county", "2 working days").otherwise("5 working days"))
             .when(score >= 10, "90 working days").otherwise("next routine inspection"))
-    return F.struct(category.alias("category"), time.alias("response"))
+    known = score.isNotNull()
+    return F.struct(F.when(known, category).alias("category"), F.when(known, time).alias("response"))
 
 
 def provisional_consequence(p_level: Column, car_drop: Column) -> Column:
@@ -249,7 +252,7 @@ def settle(values: Column, graded: Column) -> Column:
     numbers = F.transform(values, lambda v: v.try_cast("int"))
     close = graded & F.forall(values, lambda v: v.rlike("^[0-9]+$")) & (F.array_max(numbers) - F.array_min(numbers) <= 1)
     mean = F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v) / F.size(numbers)
-    text = F.regexp_replace(mean.cast("string"), r"\.0$", "")
+    text = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", mean), "0+$", ""), r"\.$", "")     # six significant digits of a rating below 10
     return F.when(F.size(F.array_distinct(values)) == 1, F.get(values, 0)).when(close, text)
 
 
@@ -257,7 +260,7 @@ def outline_verdict(area: Column, box_area: Column, long_side: Column) -> Column
     """Why a box-prompted outline is rejected, or empty when accepted."""
     fill = area / F.greatest(box_area, F.lit(1.0))
     small = area * F.pow(640.0 / long_side, 2)
-    return (F.when(area.isNull(), "failed").when(fill > 0.90, "rectangle").when(fill < 0.15, "too_small_in_box").when(small < 100, "tiny").otherwise(""))
+    return (F.when(area.isNull() | box_area.isNull() | long_side.isNull(), "failed").when(fill > 0.90, "rectangle").when(fill < 0.15, "too_small_in_box").when(small < 100, "tiny").otherwise(""))
 
 
 def refinement_gate(coarse: Column, refined: Column, both: Column) -> Column:

@@ -13,6 +13,7 @@ EXCLUDED = ("unclear", "not_a_pothole")   # fixed values: final answers that are
 
 def validate(labels: DataFrame, manifest: DataFrame, version: int) -> DataFrame:
     """State of every returned label: wrong_version, unassigned, superseded (a later answer differs or repeats), or valid.
+    Of two answers at one instant the one that sorts last holds.
 
     Labels: item_id, annotator, label, labelled_at, pack_version. Manifest: item_id, assigned_to (``a;b``).
     """
@@ -22,9 +23,9 @@ def validate(labels: DataFrame, manifest: DataFrame, version: int) -> DataFrame:
              .when(F.col("_team").isNull() | ~F.array_contains("_team", F.col("annotator")), "unassigned").otherwise("valid"))
     marked = joined.withColumn("state", first)
     last = (marked.where("state = 'valid'").groupBy("item_id", "annotator")
-            .agg(F.max("labelled_at").alias("_last"), F.count_distinct("label").alias("answers")))
+            .agg(F.max(F.struct("labelled_at", "label")).alias("_last"), F.count_distinct("label").alias("answers")))
     return (marked.join(last, ["item_id", "annotator"], "left")
-            .withColumn("state", F.when((F.col("state") == "valid") & (F.col("labelled_at") < F.col("_last")), "superseded").otherwise(F.col("state")))
+            .withColumn("state", F.when((F.col("state") == "valid") & (F.struct("labelled_at", "label") < F.col("_last")), "superseded").otherwise(F.col("state")))
             .withColumn("conflicting", F.coalesce(F.col("answers") > 1, F.lit(False))).drop("_team", "_last", "answers"))
 
 
@@ -39,7 +40,7 @@ def progress(manifest: DataFrame, valid: DataFrame) -> DataFrame:
 def settle(manifest: DataFrame, valid: DataFrame, consensus: DataFrame, graded: bool) -> DataFrame:
     """(item_id, source, status, label): consensus overrides, then pending, agreed or disputed."""
     need = manifest.select("item_id", "source", F.split("assigned_to", ";").alias("team"))
-    got = valid.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("annotator", "label"))).alias("answers"))
+    got = valid.groupBy("item_id", "annotator").agg(F.max("label").alias("label")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("annotator", "label"))).alias("answers"))
     ruled = consensus.select("item_id", F.col("label").alias("_ruled"))
     j = need.join(got, "item_id", "left").join(ruled, "item_id", "left")
     values = F.transform("team", lambda a: F.get(F.array(F.try_element_at("answers", a)), 0))

@@ -86,7 +86,7 @@ def wheel_drops(relief: DataFrame, key: Sequence[str], scale: DataFrame, size: t
     """Worst fall of each tyre rolled through each outline, along the rows or the columns through its deepest point.
 
     ``relief``: key, y, x, r inside the outlines only (depth below the road, mm). ``scale``: key, mm_per_px. ``size``: frame
-    width and height. The tyre rests on the highest surface across its width; beyond the outline the road is flat.
+    width and height. An outline without a scale has a bound but no drop. The tyre rests on the highest surface across its width; beyond the outline the road is flat.
     A line is at most one image side long, so it travels as one array.
     """
     key = list(key)
@@ -94,7 +94,7 @@ def wheel_drops(relief: DataFrame, key: Sequence[str], scale: DataFrame, size: t
     deep = r.groupBy(*key).agg(F.max(F.struct("r", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("d")).select(
         *key, F.col("d.r").alias("deepest_mm"), (-F.col("d.ny")).alias("_y"), (-F.col("d.nx")).alias("_x"))
     tyres = F.array(*[F.struct(F.lit(t).alias("tyre"), F.lit(w).alias("width_mm"), F.lit(tyre_radius(rim, w, asp)).alias("radius_mm")) for t, rim, w, asp in TYRES])
-    rolls = (deep.join(scale, key).withColumn("_t", F.explode(tyres)).select(*key, "deepest_mm", "_y", "_x", "mm_per_px", "_t.*")
+    rolls = (deep.join(scale, key, "left").withColumn("_t", F.explode(tyres)).select(*key, "deepest_mm", "_y", "_x", "mm_per_px", "_t.*")
              .withColumn("_half", F.floor(F.greatest(F.lit(1), F.bround(F.col("width_mm") / F.col("mm_per_px")).cast("int")) / 2).cast("int"))
              .withColumn("axis", F.explode(F.array(F.lit(0), F.lit(1)))))
     at, across, side = F.when(F.col("axis") == 0, F.col("y")), F.when(F.col("axis") == 0, F.col("x")), F.when(F.col("axis") == 0, F.lit(size[0])).otherwise(F.lit(size[1]))
@@ -108,8 +108,8 @@ def wheel_drops(relief: DataFrame, key: Sequence[str], scale: DataFrame, size: t
     lines = lines.withColumn("_drop", _drop(F.col("_l"), F.col("mm_per_px"), F.col("radius_mm")))
     best = F.max(F.struct("_drop", "axis")).alias("b")
     found = lines.groupBy(*key, "tyre").agg(best)
-    base = rolls.where("axis = 0").select(*key, "tyre", F.least("deepest_mm", "radius_mm").alias("drop_bound_mm"))
-    return base.join(found, [*key, "tyre"], "left").select(*key, "tyre", "drop_bound_mm", F.coalesce("b._drop", F.lit(0.0)).alias("drop_mm"), F.col("b.axis").alias("profile_axis"))
+    base = rolls.where("axis = 0").select(*key, "tyre", F.col("mm_per_px").isNotNull().alias("_scaled"), F.least("deepest_mm", "radius_mm").alias("drop_bound_mm"))
+    return base.join(found, [*key, "tyre"], "left").select(*key, "tyre", "drop_bound_mm", F.when(F.col("_scaled"), F.coalesce("b._drop", F.lit(0.0))).alias("drop_mm"), F.when(F.col("_scaled"), F.col("b.axis")).alias("profile_axis"))
 
 
 def tyre_band(px: DataFrame, profile: Sequence[str], position: str, relief: str, half: int, name: str = "band") -> DataFrame:

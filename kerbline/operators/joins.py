@@ -47,14 +47,14 @@ def label_override(features: DataFrame, real: DataFrame, key: str, label: str, o
 
 def asof(df: DataFrame, starts: DataFrame, part: Sequence[str], ts: str, start_ts: str, value: str, name: str,
          chunk_seconds: int = 86400) -> DataFrame:
-    """Latest ``starts`` value at or before each row's time, per ``part``.
+    """Latest ``starts`` value at or before each row's time, per ``part``; of several at one instant the largest.
 
     Starts are woven between the rows in time order and carried forward chunk by chunk, so a busy key is
     sorted one time slice at a time.
     """
     rows = df.withColumns({"_at": F.col(ts), "_start": F.lit(False), "_value": F.lit(None).cast(starts.schema[value].dataType)})
     marks = starts.select(*part, F.col(start_ts).alias("_at"), F.lit(True).alias("_start"), F.col(value).alias("_value"))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_order", F.struct("_at", (~F.col("_start")).alias("row")))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_order", F.struct("_at", (~F.col("_start")).alias("row"), "_value"))
     slot = F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000))
     carried = carry_last(both, part, "_order", slot, "_value", name)
     return carried.where(~F.col("_start")).select(*df.columns, name)

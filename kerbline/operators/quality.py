@@ -52,17 +52,18 @@ def verify_labels(frames: DataFrame, lines: DataFrame, frame: str) -> DataFrame:
 
 
 def plausible(depth: Column, ring: Column, rms: Column, low: float = -10.0, high: float = 250.0, min_ring: int = 400, max_rms: float = 15.0) -> Column:
-    """First gate a measurement fails, or ``kept``."""
+    """First gate a measurement fails, or ``kept``; a missing depth is implausible."""
     return (F.when(ring.isNull() | (ring < min_ring), "no_ring").when(rms > max_rms, "bad_fit")
-            .when(~depth.between(low, high), "implausible").otherwise("kept"))
+            .when(depth.isNull() | ~depth.between(low, high), "implausible").otherwise("kept"))
 
 
 def out_of_range(df: DataFrame, key: Sequence[str], features: Sequence[str], ranges: DataFrame) -> DataFrame:
     """Per row: features outside the training range, whether one is far outside (over 10% of the width) and
     whether the row still counts as in distribution. ``ranges`` is one row: ``<feature>_lo`` and ``<feature>_hi``."""
-    limits = {f: (ranges.select(f"{f}_lo").scalar(), ranges.select(f"{f}_hi").scalar()) for f in features}
-    outside, far = [], F.lit(False)
-    for f, (lo, hi) in limits.items():
+    limits = ranges.select(F.struct(*[F.col(f"{f}_{end}") for f in features for end in ("lo", "hi")])).scalar()
+    df, outside, far = df.withColumn("_limits", limits), [], F.lit(False)
+    for f in features:
+        lo, hi = F.col(f"_limits.{f}_lo"), F.col(f"_limits.{f}_hi")
         excess = F.when(hi > lo, F.greatest(lo - F.col(f), F.col(f) - hi) / (hi - lo))
         outside.append(F.when(excess > 0, f))
         far = far | F.coalesce(excess > 0.10, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.hashing import hash_chunk, order_key
@@ -126,5 +126,5 @@ def covers(cache: DataFrame, needed: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def hold_out_runner_up(counts: DataFrame, group: str, n: str) -> Column:
     """The group with the second-largest count (ties by name), as a scalar: it becomes the unseen test group."""
-    ranked = Window.orderBy(F.col(n).desc(), F.col(group))
-    return counts.withColumn("_r", F.row_number().over(ranked)).where("_r = 2").select(group).scalar()
+    top = counts.orderBy(F.col(n).desc(), F.col(group)).limit(2)
+    return top.agg(F.when(F.count(F.lit(1)) == 2, F.max_by(group, F.struct(-F.col(n), F.col(group))))).scalar()

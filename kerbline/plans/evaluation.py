@@ -27,13 +27,13 @@ def rounded(df, *names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-SCORES = "count(*) AS n, round(avg(abs(pred-gt)),6) AS mae, round(avg(pred-gt),6) AS bias, round(sqrt(avg((pred-gt)*(pred-gt))),6) AS rmse, round(corr(pred,gt),6) AS r, round(avg((abs(pred-gt)<=10.0001)::INT),6) AS within10, round(avg((abs(pred-gt)<=25)::INT),6) AS within25"
+SCORES = "count(*) AS n, round(avg(abs(pred-gt)),6) AS mae, round(avg(pred-gt),6) AS bias, round(sqrt(avg((pred-gt)*(pred-gt))),6) AS rmse, round(corr(pred,gt),6) AS r, round(avg((abs(pred-gt)<=10.0001)::INT),6) AS within10_05, round(avg((abs(pred-gt)<=25)::INT),6) AS within25"
 
 
 @query("regression_scores", f"WITH {PAIR} SELECT camera, {SCORES.replace('10.0001', '10.05')} FROM p GROUP BY 1")
 def _(t):
     s = E.regression_scores(pairs(t), "gt", "pred", ["camera"], (10.05, 25))
-    return rounded(s.withColumnRenamed("within10.05", "within10"), "mae", "bias", "rmse", "r", "`within10`".strip("`"), "within25")
+    return rounded(s.withColumnRenamed("within10.05", "within10_05"), "mae", "bias", "rmse", "r", "within10_05", "within25")
 
 
 BIN = "SELECT count(*) FILTER (q AND x) AS tp, count(*) FILTER (NOT q AND x) AS fp, count(*) FILTER (q AND NOT x) AS fn, count(*) FILTER (NOT q AND NOT x) AS tn"
@@ -93,15 +93,15 @@ def _(t):
     return rounded(E.policy_scores(E.two_half_crossfit(pairs(t), "y", "pred", "grp"), "y", "band"), "cost", "correct")
 
 
-# scores for threshold sweeps: text length share per labelled document
-SCORED = "s AS (SELECT doc_id, least(n_chars, 4000)/2000.0::DOUBLE AS score, quality=0 AS pos, toxic FROM documents JOIN labels USING (doc_id))"
-GRID = [0.2 + i / 200 for i in range(361)]
-GRID_SQL = "(SELECT score AS t FROM s UNION SELECT 0.2::DOUBLE+i/200 FROM generate_series(0,360) v(i))"
+# scores for threshold sweeps: text length of each labelled document, brought into [0, 1)
+SCORED = "s AS (SELECT doc_id, n_chars/(n_chars+2000)::DOUBLE AS score, quality=0 AS pos, toxic FROM documents JOIN labels USING (doc_id))"
+GRID = [i / 400 for i in range(20, 381)]
+GRID_SQL = "(SELECT score AS t FROM s UNION SELECT i/400::DOUBLE FROM generate_series(20,380) v(i))"
 SWEEP = f"{SCORED}, k AS (SELECT t, count(*) FILTER (score<t AND pos) AS tp, count(*) FILTER (score<t AND NOT pos) AS fp, count(*) FILTER (score>=t AND pos) AS fn, count(*) FILTER (score>=t AND NOT pos) AS tn FROM {GRID_SQL} g, s GROUP BY t)"
 
 
 def scored(t):
-    return t.documents.join(t.labels, "doc_id").select("doc_id", (F.least("n_chars", F.lit(4000)) / 2000.0).alias("score"), (c("quality") == 0).alias("pos"), "toxic")
+    return t.documents.join(t.labels, "doc_id").select("doc_id", (c("n_chars") / (c("n_chars") + 2000)).alias("score"), (c("quality") == 0).alias("pos"), "toxic")
 
 
 def swept(t):
@@ -200,10 +200,9 @@ def _(t):
     return rounded(E.similarity(pairs(t), "gt", "pred", ["supp"]), "correlation", "mse", "ssim")
 
 
-@query("calibration_curve", f"WITH {SCORED}, q AS (SELECT pos, least(score,1)::DOUBLE AS p FROM s) SELECT CAST(least(floor(p*10),9) AS BIGINT) AS bin, round(avg(p),6) AS predicted, round(avg(pos::INT),6) AS observed, count(*) AS n FROM q GROUP BY 1")
+@query("calibration_curve", f"WITH {SCORED}, q AS (SELECT pos, score AS p FROM s) SELECT CAST(least(floor(p*10),9) AS BIGINT) AS bin, round(avg(p),6) AS predicted, round(avg(pos::INT),6) AS observed, count(*) AS n FROM q GROUP BY 1")
 def _(t):
-    s = scored(t).withColumn("p", F.least("score", F.lit(1.0)))
-    return rounded(E.calibration_curve(s, "p", c("pos")), "predicted", "observed")
+    return rounded(E.calibration_curve(scored(t), "score", c("pos")), "predicted", "observed")
 
 
 @query("baseline_predictors", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from kerbline.functions import grading as D
@@ -66,10 +67,10 @@ def _(t):
     return I.read_json_or_empty(t.spark, path, "event_id bigint, k bigint", False)
 
 
-@query("feature_rows", "SELECT event_id, CASE WHEN event_type='view' THEN 0.0 ELSE CAST(json_extract(props,'$.k') AS DOUBLE) END AS k FROM events ORDER BY event_id LIMIT 1200")
+@query("feature_rows", "SELECT event_id, CASE WHEN event_type='view' THEN 0.0 ELSE CAST(json_extract(props,'$.k') AS DOUBLE) END AS k FROM events")
 def _(t):
     cell = F.when(c("event_type") == "view", "n/a").otherwise(F.get_json_object("props", "$.k"))
-    return S.top_k(t.events.select("event_id", I.number_or_zero(cell).alias("k")), [F.asc("event_id")], 1200)
+    return t.events.select("event_id", I.number_or_zero(cell).alias("k"))
 
 
 # ── streaming: the events folder as arriving files ──
@@ -143,8 +144,12 @@ def _(t):
 
 
 def vectors(t):
-    e = t.embeddings.select("vec_id", "label", *[c("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return VectorAssembler(inputCols=[f"e{i}" for i in range(8)], outputCol="features").transform(e)
+    return t.embeddings.select("vec_id", "label", array_to_vector(c("embedding").cast("array<double>")).alias("features"))
+
+
+def width(t):
+    """Length of the vectors, the same in every row."""
+    return t.embeddings.select(F.max(F.size("embedding"))).first()[0]
 
 
 def measured(t):
@@ -161,7 +166,7 @@ def _(t):
 @query("soft_vote")
 def _(t):
     v = vectors(t).withColumn("test", unit_draw(order_key(4, "vec_id")) < 0.3)
-    line = L.classifiers("features", "label", 10, 8)
+    line = L.classifiers("features", "label", 10, width(t))
     fitted = {n: line[n].fit(v.where("NOT test")) for n in ("logistic", "random_forest", "naive_bayes", "mlp")}
     return L.soft_vote(v.where("test"), fitted, ["vec_id"], ["label"])
 
@@ -206,10 +211,11 @@ def _(t):
 
 @query("feature_ablation")
 def _(t):
-    e = t.embeddings.select("vec_id", "label", *[c("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    n = width(t)
+    e = t.embeddings.select("vec_id", "label", *[c("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
     test = unit_draw(order_key(4, "vec_id")) < 0.3
     make = lambda: L.RandomForestClassifier(numTrees=10, seed=L.SEED, labelCol="label")
-    rows = L.subset_scores(e, {"first": ["e0", "e1"], "all": [f"e{i}" for i in range(8)]}, "label", test, make)
+    rows = L.subset_scores(e, {"first": ["e0", "e1"], "all": [f"e{i}" for i in range(n)]}, "label", test, make)
     return t.spark.createDataFrame(rows, "subset string, features int, accuracy double")
 
 

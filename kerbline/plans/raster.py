@@ -194,8 +194,8 @@ def _(t):
 
 @query("plane_3d")
 def _(t):
-    pts = t.embeddings.select("label", *[c("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)])
-    return R.plane_3d(pts, ["label"], ["e0", "e1", "e2"]).select("label", F.round("rms", 6).alias("rms"), F.round("tilt_deg", 4).alias("tilt_deg"))
+    pts = pixels(t).select("frame", ((c("x") - 25) * c("z") / 500).alias("PX"), ((c("y") - 5) * c("z") / 500).alias("PY"), c("z").alias("PZ"))
+    return R.plane_3d(pts, ["frame"], ["PX", "PY", "PZ"]).select("frame", F.round("rms", 6).alias("rms"), F.round("tilt_deg", 4).alias("tilt_deg"))
 
 
 @query("depth_profile")

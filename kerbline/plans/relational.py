@@ -93,12 +93,12 @@ def _(t):
 
 @query("box_recall", f"""WITH {INSIDE}, h AS (SELECT i.*, pred_px, inside>=0.5*pred_px AND inside>=0.1*box_px AS hit FROM ins i JOIN sz ON sz.frame=i.frame AND sz.outline=i.outline),
 per AS (SELECT bx.frame, bx.box, coalesce(bool_or(hit),false) AS found FROM bx LEFT JOIN h ON h.frame=bx.frame AND h.box=bx.box GROUP BY ALL)
-SELECT count(*) AS boxes, round(avg(found::INT),6) AS recall, (SELECT count(*) FROM sz WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.frame=sz.frame AND h.outline=sz.outline AND inside>=0.5*h.pred_px)) AS stray FROM per""")
+SELECT count(*) AS boxes, round(avg(found::INT),6) AS recall, (SELECT count(*) FROM sz WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.frame=sz.frame AND h.outline=sz.outline AND inside>=0.1*h.pred_px)) AS stray FROM per""")
 def _(t):
     boxes, inside = in_boxes(t)
     hits = inside.groupBy("frame", "box").agg(F.bool_or("hit").alias("found"))
     preds = pixels(t, "N").select("frame", "outline").distinct()
-    stray = preds.join(inside.where("inside >= 0.5 * pred_px"), ["frame", "outline"], "left_anti").agg(F.count(F.lit(1))).scalar()
+    stray = preds.join(inside.where("inside >= 0.1 * pred_px"), ["frame", "outline"], "left_anti").agg(F.count(F.lit(1))).scalar()
     return boxes.join(hits, ["frame", "box"], "left").agg(F.count(F.lit(1)).alias("boxes"), F.round(F.avg(F.coalesce(c("found"), F.lit(False)).cast("int")), 6).alias("recall")).withColumn("stray", stray)
 
 
