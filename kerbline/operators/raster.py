@@ -19,7 +19,7 @@ from kerbline.functions.numbers import clip
 from kerbline.storage import materialise
 
 # fixed values: dilation radii in pixels (kernel half-width x iterations) and least pixel counts of the label protocol
-RING_RADIUS, CONTEXT_RADIUS, SURROUND_RADIUS, EDGE_RADIUS, WALL_RADIUS = 24, 14, 36, 4, 6
+RING_RADIUS, CONTEXT_RADIUS, EDGE_RADIUS, WALL_RADIUS = 24, 14, 4, 6
 MIN_RING_PX, MIN_INSIDE_PX = 400, 150
 
 
@@ -62,18 +62,20 @@ def region(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, r
     return px.join(near, [*frame, "y", "x"])
 
 
-def depth_stats(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = CONTEXT_RADIUS) -> DataFrame:
-    """Relative depth statistics of each outline and its contrast with the road ring."""
-    r = region(normalise(px, frame, z), mask, frame, outline, radius)
+def depth_stats(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = CONTEXT_RADIUS, edge: int = EDGE_RADIUS) -> DataFrame:
+    """Relative depth statistics of each outline, its contrast with the road ring of ``radius`` pixels and its step at the rim, against the ``edge`` pixels around it."""
+    known = normalise(px, frame, z)
+    r = region(known, mask, frame, outline, radius)
+    rim = region(known, mask, frame, outline, edge).where("ring").groupBy(*frame, outline).agg(F.avg("zn").alias("_rim"))
     inner = F.when(F.col("inside"), F.col("zn"))
     stats = r.groupBy(*frame, outline).agg(
         F.count(inner).alias("area"), F.avg(inner).alias("mean_depth"), F.max(inner).alias("max_depth"), F.min(inner).alias("min_depth"), F.stddev_pop(inner).alias("depth_std"),
         F.percentile(inner, F.lit(0.9)).alias("p90_depth"), F.skewness(inner).alias("depth_skewness"), F.kurtosis(inner).alias("depth_kurtosis"),
         F.avg(F.when(F.col("ring"), F.col("zn"))).alias("_ring"))
     flat = lambda v: F.coalesce(F.nanvl(F.col(v), F.lit(0.0)), F.lit(0.0))
-    return stats.withColumns({"depth_range": F.col("max_depth") - F.col("min_depth"), "local_depth_contrast": F.coalesce(F.abs(F.col("mean_depth") - F.col("_ring")), F.lit(0.0)),
-                              "boundary_gradient": F.coalesce(F.col("mean_depth") - F.col("_ring"), F.lit(0.0)),
-                              "depth_skewness": flat("depth_skewness"), "depth_kurtosis": flat("depth_kurtosis")}).drop("_ring")
+    return stats.join(rim, [*frame, outline], "left").withColumns({"depth_range": F.col("max_depth") - F.col("min_depth"), "local_depth_contrast": F.coalesce(F.abs(F.col("mean_depth") - F.col("_ring")), F.lit(0.0)),
+                              "boundary_gradient": F.coalesce(F.col("mean_depth") - F.col("_rim"), F.lit(0.0)),
+                              "depth_skewness": flat("depth_skewness"), "depth_kurtosis": flat("depth_kurtosis")}).drop("_ring", "_rim")
 
 
 def weighted_mean_depth(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str) -> DataFrame:

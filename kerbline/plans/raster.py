@@ -45,11 +45,11 @@ def _(t):
     return R.region(pixels(t).select("frame", "y", "x"), mask(t), ["frame"], "outline", 3).select("frame", "outline", "y", "x", "inside")
 
 
-@query("depth_stats", f"""WITH {PX}, {MASK}, {NORM}, {reg(3, 'nz')}, i AS (SELECT * FROM rg WHERE inside), m AS (SELECT frame, avg(zn) AS mu, stddev_pop(zn) AS sd FROM i GROUP BY 1),
+@query("depth_stats", f"""WITH {PX}, {MASK}, {NORM}, {reg(3, 'nz')}, {reg(4, 'nz', 'eg')}, i AS (SELECT * FROM rg WHERE inside), m AS (SELECT frame, avg(zn) AS mu, stddev_pop(zn) AS sd FROM i GROUP BY 1),
 a AS (SELECT i.frame, count(*) AS area, avg(zn) AS mean, max(zn) AS mx, min(zn) AS mn, any_value(sd) AS sd, quantile_cont(zn,0.9) AS p90, avg(pow((zn-mu)/sd,3)) AS sk, avg(pow((zn-mu)/sd,4))-3 AS ku FROM i JOIN m USING (frame) GROUP BY 1),
-r AS (SELECT frame, avg(zn) AS ring FROM rg WHERE NOT inside GROUP BY 1)
+r AS (SELECT frame, avg(zn) AS ring FROM rg WHERE NOT inside GROUP BY 1), e AS (SELECT frame, avg(zn) AS rim FROM eg WHERE NOT inside GROUP BY 1)
 SELECT a.frame, 1 AS outline, area, round(mean,6) AS mean_depth, round(mx,6) AS max_depth, round(mn,6) AS min_depth, round(sd,6) AS depth_std, round(p90,6) AS p90_depth, round(sk,6) AS depth_skewness, round(ku,6) AS depth_kurtosis, round(mx-mn,6) AS depth_range,
-round(abs(mean-ring),6) AS local_depth_contrast, round(mean-ring,6) AS boundary_gradient FROM a JOIN r USING (frame)""")
+round(abs(mean-ring),6) AS local_depth_contrast, round(mean-rim,6) AS boundary_gradient FROM a JOIN r USING (frame) JOIN e USING (frame)""")
 def _(t):
     s = R.depth_stats(pixels(t), mask(t), ["frame"], "outline", "z", 3)
     return rounded(s, "mean_depth", "max_depth", "min_depth", "depth_std", "p90_depth", "depth_skewness", "depth_kurtosis", "depth_range", "local_depth_contrast", "boundary_gradient")
