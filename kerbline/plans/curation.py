@@ -3,13 +3,7 @@ their text for the photo's content."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from kerbline.functions.hashing import order_key, unit_draw
 from kerbline.operators import sampling as S
@@ -281,22 +275,19 @@ SIM = (f"w AS (SELECT doc_id, source, unnest({WORDS}) AS w FROM documents), "
        + " AS h FROM b GROUP BY doc_id)")
 
 
-@F.pandas_udf(LongType())
-def simhash(text: pd.Series) -> pd.Series:
-    """Demo stand-in for a photo hash, over the whole text: each of 64 bits is the majority over the md5 of its
-    distinct words. The library itself takes the hash as a column."""
-
-    def one(words):
-        digests = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words)
-        ones = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        return int(np.packbits(ones * 2 > len(words)).view(">i8")[0])
-
-    return text.map(lambda v: one(set(re.split("[ \t\n\r]+", v.lower()))))
+def simhash(df, key, text):
+    """Demo stand-in for a photo hash, over the whole text: each of 64 bits is the majority over the md5 of its distinct
+    words. The library itself takes the hash as a column. Words are counted where they are read, so one row of sums per text moves."""
+    word = df.select(*key, F.explode(F.array_distinct(F.split(F.lower(text), "[ \t\n\r]+"))).alias("w")).withColumn("w", F.md5("w"))
+    half = word.select(*key, *[F.conv(F.substring("w", at, 8), 16, 10).cast("long").alias(k) for k, at in (("hi", 1), ("lo", 9))])
+    ones = half.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("hi" if i < 32 else "lo", 31 - i % 32).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
+    bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit((1 << 63 - i) - (1 << 64 if i == 0 else 0))).otherwise(F.lit(0)).cast("long") for i in range(64)]
+    return ones.select(*key, sum(bits[1:], bits[0]).alias("phash"))
 
 
 def hashed(t):
     # the index is read several times below, so it is written once, as a provenance index keeps its hash column
-    return materialise(t.documents.select("doc_id", "source", simhash("text").alias("phash")), "photo_index")
+    return materialise(simhash(t.documents, ["doc_id", "source"], "text"), "photo_index")
 
 
 @query("near_duplicates", f"""
