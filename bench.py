@@ -15,7 +15,7 @@ from kerbline.plans.catalog import CATALOG  # noqa: E402
 from kerbline.plans.registry import Tables  # noqa: E402
 
 HEADLINE = ["audit_splits", "cumulative_assignment", "exact_dedup", "near_duplicates", "capture_sessions", "asof_drive", "spearman", "choose_thresholds",
-            "two_half_crossfit", "ratio_summary", "segment_summary", "iou_pairs", "ring_dilation", "bowl_depth", "wheel_drops", "water_ensemble", "severity_progression",
+            "two_half_crossfit", "out_of_range", "ratio_summary", "segment_summary", "iou_pairs", "ring_dilation", "bowl_depth", "wheel_drops", "water_ensemble", "severity_progression",
             "astm_grade", "top_k_per_group", "bootstrap_ci"]
 
 

@@ -70,7 +70,9 @@ def _(t):
 @query("feature_rows", "SELECT event_id, CASE WHEN event_type='view' THEN 0.0 ELSE CAST(json_extract(props,'$.k') AS DOUBLE) END AS k FROM events")
 def _(t):
     cell = F.when(c("event_type") == "view", "n/a").otherwise(F.get_json_object("props", "$.k"))
-    return t.events.select("event_id", I.number_or_zero(cell).alias("k"))
+    path = new_folder(t.spark, "features-csv")
+    I.write_table(t.events.select("event_id", cell.alias("k")), path, "csv")
+    return I.read_feature_rows(t.spark, [f"{path}-missing", path], ["k"]).select(c("event_id").cast("long").alias("event_id"), "k")
 
 
 # ── streaming: the events folder as arriving files ──

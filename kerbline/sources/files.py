@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,12 @@ def read_table_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def read_json_or_empty(spark: SparkSession, path: str, schema, one_per_file: bool = True) -> DataFrame:
     """Evaluation JSON with a declared schema; a missing file is an empty table, not an error."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        return spark.read.json(path, schema=schema, multiLine=one_per_file)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.json(path, schema=schema, multiLine=one_per_file)
 
 
 def parse_report(text: Column) -> Column:
@@ -75,6 +78,21 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
 
 
+def read_feature_rows(spark: SparkSession, candidates: list[str], numeric: list[str], max_rows: int | None = None) -> DataFrame | None:
+    """Rows of the first of several CSV tables that exists, None if none does. The numeric columns read as numbers, anything else in them as 0; other
+    columns stay text. ``max_rows`` keeps the first rows for a display; by default every row is read."""
+    for path in candidates:
+        try:
+            rows = spark.read.csv(path, header=True, escape='"')
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        rows = rows.withColumns({k: number_or_zero(F.col(k)) for k in numeric})
+        return rows if max_rows is None else rows.limit(max_rows)
+    return None
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
     """Write results so that a rerun replaces them."""
     w = df.write.mode("overwrite").format(form)

@@ -46,3 +46,13 @@ def test_late_rows_are_dropped(spark, tmp_path):
     s = K.read_stream(spark, f"{tmp_path}/in", "at timestamp", per_trigger=1)
     out = K.drain(K.counts(s, [], "at", "1 hour", "1 hour"), "late").orderBy("window_start").collect()
     assert [r["n"] for r in out] == [2, 3]
+
+
+def test_first_existing_feature_table(spark, tmp_path):
+    from kerbline.sources.files import read_feature_rows, read_json_or_empty
+    (tmp_path / "b.csv").write_text("key,depth\nx,1.5\ny,n/a\nz,\n")
+    rows = read_feature_rows(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], ["depth"])
+    assert [tuple(r) for r in rows.collect()] == [("x", 1.5), ("y", 0.0), ("z", 0.0)]
+    assert read_feature_rows(spark, [f"{tmp_path}/b.csv"], ["depth"], 2).count() == 2
+    assert read_feature_rows(spark, [f"{tmp_path}/a.csv"], ["depth"]) is None
+    assert read_json_or_empty(spark, f"{tmp_path}/none.json", "k long").count() == 0
