@@ -84,7 +84,7 @@ def nodes(reps: DataFrame, trees: int, depth: int, most: int) -> tuple[DataFrame
     found = leaves[0]
     for x in leaves[1:]:
         found = found.unionByName(x)
-    return found.select("node", "rep", "th", "n", "sig"), large.select("node", "rep", "th", "n", "sig", "size")
+    return found.select("node", "rep", "th", "n", "sig"), large.select("node", "tree", "rep", "th", "n", "sig", "size")
 
 
 def likely(members: DataFrame, percent: int, agree: int) -> DataFrame:
@@ -145,8 +145,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     minwise tokens (see ``nodes``); two documents of similarity s share the first d levels with probability s^d, and the number of trees is
     such that a pair of the limit's similarity meets within two levels in one of them with probability ``recall``. Small nodes are compared exhaustively, first
     on the sketches (a pair of the limit's similarity agrees in fewer than half of the places with a probability below one in a million), then on the full sets.
-    A node that stays large is a group of near copies: it is dealt into buckets, its smallest member in each; members which do not end in
-    that member's component go into another round on their own, until none is left, so work is linear in the group.
+    A node that stays large is a group of near copies or shares a long passage: it is dealt into buckets, its smallest member in each, so that work is linear in it;
+    members which do not end in that member's component branch on by two more tokens a round, until small nodes hold them all.
 
     Sketches, groups, links and labels are written to the shared folder; none is collected. Null and empty texts have empty sets, link with nothing and are kept. Rows
     with a null id link with nothing, have a null component and are kept. Rows that share an id are named as one. Input columns named like an added one are replaced.
@@ -162,6 +162,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     leaves, large = nodes(classes, trees, depth, most)
 
     links = materialise(confirm(materialise(likely(leaves, percent, agree), "groups"), texts, k, percent), "links")
+    step = 0
     while not large.isEmpty():
         led = large.join(large.groupBy("node").agg(F.min("rep").alias("lead")), "node")
         dealt = led.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / most))))
@@ -171,10 +172,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
         label = components(links)
         of = label.select(F.col("id").alias("rep"), "component")
         to = label.select(F.col("id").alias("lead"), F.col("component").alias("_led"))
-        left = (led.where("rep <> lead").join(of, "rep", "left").join(to, "lead", "left")
-                .where(F.coalesce("component", "rep") != F.coalesce("_led", "lead")).select("node", "rep", "th", "n", "sig"))
-        size = left.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        large = materialise(left.join(size, "node"), "left")
+        left = (led.where((F.col("rep") != F.col("lead")) & (F.col("size") > most)).join(of, "rep", "left").join(to, "lead", "left")
+                .where(F.coalesce("component", "rep") != F.coalesce("_led", "lead")).drop("size", "lead", "component", "_led"))
+        tokens = [F.element_at("sig", F.pmod(F.col("tree") * depth + depth + 2 * step + i, F.lit(trees * depth)) + 1) for i in (0, 1)]
+        left = left.withColumn("node", F.xxhash64("node", *tokens))
+        large = materialise(left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"), "left")
+        step += 1
     label = components(links).select(F.col("id").alias("_l"), "component")
     final = classes.join(label, F.col("rep") == F.col("_l"), "left").select(F.col("n").alias("_n"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.coalesce("component", "rep").alias("_c"))
     placed = (drawn.select("_id", "_th", "n", "fa", "fb").dropDuplicates(["_id", "_th"]).join(final, (F.col("n") == F.col("_n")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")), "left")
