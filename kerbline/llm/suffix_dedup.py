@@ -89,7 +89,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     def sample(batches):
         for batch in batches:
             order, texts = batch.column("ord").to_numpy(), batch.column("_text").cast(pa.binary()).to_pylist()
-            for lo, hi in slices([len(x) for x in texts], 1_500_000):
+            for lo, hi in slices([len(x) for x in texts], 500_000):
                 stop = np.cumsum([len(x) for x in texts[lo:hi]])
                 doc, at, first, last, name, around = sampled(np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8), stop, length)
                 begin = np.append(0, stop[:-1])[doc]
@@ -156,8 +156,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             rank = np.lexsort((begin, order[row], content, far, name[row]))
             a, b = rank[:-1], rank[1:]
             equal = (name[row[a]] == name[row[b]]) & (far[a] == far[b]) & (content[a] == content[b])
-            for lo in range(0, len(a), 20_000):                               # neighbours in the order, byte by byte
-                some = np.flatnonzero(equal[lo:lo + 20_000]) + lo
+            for lo in range(0, len(a), 8_000):                               # neighbours in the order, byte by byte
+                some = np.flatnonzero(equal[lo:lo + 8_000]) + lo
                 equal[some] = (codes[at[a[some]][:, None] + np.arange(length)] == codes[at[b[some]][:, None] + np.arange(length)]).all(axis=1)
             gone = np.sort(b[equal])
             cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(row[gone]) != 0)) + 1
@@ -167,7 +167,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         held = []
         for batch in batches:
             name = batch.column("name").to_numpy()
-            if held and sum(x.num_rows for x in held) >= 20_000 or not len(name):
+            if held and sum(x.num_rows for x in held) >= 5_000 or not len(name):
                 last = held[-1].column("name").to_numpy()[-1] if held else None
                 split = int(np.searchsorted(name != last, True)) if held and len(name) and (name != last).any() else None
                 if held and split is not None:
