@@ -133,7 +133,16 @@ def op9(spark, sf_dir):
     return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
-@register("op1_suffix_dedup")
+@register("op1_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d))),
+f AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w WHERE k > 1),
+i AS (SELECT doc_id, s, sum(CASE WHEN gap IS NULL OR gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM f),
+r AS (SELECT doc_id, island, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY ALL),
+p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM r),
+c AS (SELECT p.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN stop IS NULL THEN h ELSE head || substr(h, 2 * stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id""")
 def op1(spark, sf_dir):
     from kerbline.llm.suffix_dedup import suffix_dedup
     out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
