@@ -112,7 +112,8 @@ def likely(members: DataFrame, percent: int, agree: int) -> DataFrame:
 
 
 def confirm(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links confirmed on the full sets; pairs of a group that confirmed links already connect are not compared again."""
+    """a, b: every member of a group that links confirmed on the full sets connect to others, and the smallest member it reaches so. Pairs that
+    confirmed links already connect are not compared again."""
     named = small(groups.select(F.col("rep").alias("_rep"), "th", "g"), groups.count())
     read = texts.join(named, (F.col("_id") == F.col("_rep")) & (F.col("_th") == F.col("th"))).select("g", "_rep", "_text")
 
@@ -121,7 +122,6 @@ def confirm(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             sets = list(shingle_sets([r["_text"] or "" for r in rows], k))
             order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
             root = list(range(len(rows)))
-            links = []
             for x, i in enumerate(order):
                 for j in order[:x][::-1]:
                     if 100 * len(sets[j]) < percent * len(sets[i]):
@@ -129,12 +129,15 @@ def confirm(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                     if root[i] != root[j]:
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            links.append((rows[i]["_rep"], rows[j]["_rep"]))
                             root = [root[i] if r == root[j] else r for r in root]
+            least = {}
+            for i, r in enumerate(root):
+                least[r] = min(least.get(r, rows[i]["_rep"]), rows[i]["_rep"])
+            links = [(row["_rep"], least[r]) for row, r in zip(rows, root, strict=True) if row["_rep"] != least[r]]
             if links:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
 
-    return read.repartition(spread(groups.sparkSession), "g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long")
+    return read.repartition(spread(groups.sparkSession), "g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0.9999, depth: int = 4, most: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +149,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     such that a pair of the limit's similarity meets within two levels in one of them with probability ``recall``. Small nodes are compared exhaustively, first
     on the sketches (a pair of the limit's similarity agrees in fewer than half of the places with a probability below one in a million), then on the full sets.
     A node that stays large is a group of near copies or shares a long passage: it is dealt into buckets, its smallest member in each, so that work is linear in it;
-    members which do not end in that member's component branch on by two more tokens a round, until small nodes hold them all.
+    members whose links in the bucket do not reach that member branch on by three more tokens a round, until small nodes hold them all.
 
     Sketches, groups, links and labels are written to the shared folder; none is collected. Null and empty texts have empty sets, link with nothing and are kept. Rows
     with a null id link with nothing, have a null component and are kept. Rows that share an id are named as one. Input columns named like an added one are replaced.
@@ -168,13 +171,16 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
         dealt = led.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / most))))
         heads = dealt.select("node", "lead").distinct().join(classes.select(F.col("rep").alias("lead"), "th", "n", "sig"), "lead").select("node", F.col("lead").alias("rep"), "th", "n", "sig")
         inside = dealt.select("node", "rep", "th", "n", "sig").unionByName(heads).dropDuplicates(["node", "rep"])
-        links = materialise(links.unionByName(confirm(materialise(likely(inside, percent, agree), "groups"), texts, k, percent)), "links")
-        label = components(links)
-        of = label.select(F.col("id").alias("rep"), "component")
-        to = label.select(F.col("id").alias("lead"), F.col("component").alias("_led"))
-        left = (led.where((F.col("rep") != F.col("lead")) & (F.col("size") > most)).join(of, "rep", "left").join(to, "lead", "left")
-                .where(F.coalesce("component", "rep") != F.coalesce("_led", "lead")).drop("size", "lead", "component", "_led"))
-        tokens = [F.element_at("sig", F.pmod(F.col("tree") * depth + depth + 2 * step + i, F.lit(trees * depth)) + 1) for i in (0, 1)]
+        found = materialise(confirm(materialise(likely(inside, percent, agree), "groups"), texts, k, percent), "links")
+        links = links.unionByName(found)
+        left = (led.where((F.col("rep") != F.col("lead")) & (F.col("size") > most)).join(found, (F.col("rep") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti").drop("size"))
+        if not step:                                                           # links of all trees so far lead most of the others there too
+            left = materialise(left, "left")
+            label = components(links)
+            of, to = label.select(F.col("id").alias("rep"), "component"), label.select(F.col("id").alias("lead"), F.col("component").alias("_led"))
+            left = left.join(of, "rep", "left").join(to, "lead", "left").where(F.coalesce("component", "rep") != F.coalesce("_led", "lead")).drop("component", "_led")
+        left = left.drop("lead")
+        tokens = [F.element_at("sig", F.pmod(F.col("tree") * depth + depth + 3 * step + i, F.lit(trees * depth)) + 1) for i in range(3)]
         left = left.withColumn("node", F.xxhash64("node", *tokens))
         large = materialise(left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"), "left")
         step += 1
