@@ -20,7 +20,7 @@ from kerbline.llm.flat import BYTE, between, prefix_hash, ragged, slices
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept"]
 GRAM = 32                       # bytes of a sampled gram
 #: A table of so many numbers may be broadcast.
-BROADCAST_NUMBERS = 4_000_000
+BROADCAST_NUMBERS = 200_000
 
 
 def sampled(codes: np.ndarray, stop: np.ndarray, length: int):
