@@ -58,9 +58,10 @@ class Cell:
         small = mask[np.ix_(own, hit)]
         new, other = joined_labels(small, self.label[own], rep[hit])
         before, first = np.unique(self.label[own], return_index=True)
+        fell = new[first] < before                                             # rows already sent with the old label follow it to the new one
         at = np.minimum(np.searchsorted(before, self.label), len(before) - 1)
         self.label = np.where(before[at] == self.label, new[first][at], self.label)     # a label that fell falls for all rows that have it
-        return rep[hit], (self.copies @ mask)[hit], other
+        return np.append(rep[hit], before[fell]), np.append((self.copies @ mask)[hit], np.zeros(fell.sum(), dtype=np.int64)), np.append(other, new[first][fell])
 
 
 def range_join(vectors: DataFrame, least: float = 0.9, cell_rows: int = 4096, most_pivots: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -69,7 +70,7 @@ def range_join(vectors: DataFrame, least: float = 0.9, cell_rows: int = 4096, mo
     Equal vectors are one class with a count. On the unit sphere the cosine's limit is a distance e. Every class lives in the cell of its nearest pivot; by the triangle
     inequality a partner in the cell of pivot c can only exist if (d(x, c)^2 - d(x, home)^2) / (2 d(c, home)) <= e, and only then x is copied there. A pair of
     two cells is compared in the first of them alone, cells join independently, and a cell of more than ``cell_rows`` classes is worked off in blocks against which the others
-    stream, so no task holds more than a block and a batch. Cells return counts and a spanning set of links, never pairs.
+    stream, so no task holds more than a block and a batch. Cells return counts and a spanning set of links, never pairs: labels, and where a label falls, its link to the new one.
 
     Pivots are the classes with the smallest hashes, one per ``cell_rows`` of them and ``most_pivots`` at most: that bounds what is broadcast. Where vectors have
     no clusters, the inequality excludes little and a class is copied to many cells; nothing is lost.

@@ -318,6 +318,29 @@ def test_embedding_join(spark):
     assert all(r["component_id"] is None and r["n_links"] == 0 for r in range_join(df.withColumn("vec_id", F.lit(None).cast("long"))).collect())
 
 
+def test_embedding_join_links_labels_that_fall(spark):
+    from kerbline.llm.embedding_join import Cell, range_join
+    turn = np.deg2rad(25)
+    cell = Cell(np.array([10]), np.array([1]), np.array([[1.0, 0.0]]), 0.9)
+    sent = [cell.meet(np.array([i]), np.array([1]), np.array([[np.cos(turn), s * np.sin(turn)]])) for i, s in ((5, 1), (3, -1))]
+    assert [tuple(map(int, x)) for part in sent for x in zip(*part, strict=True)] == [(5, 1, 5), (10, 0, 5), (3, 1, 3), (5, 0, 3)] and cell.label.tolist() == [3]
+
+    rng = np.random.default_rng(4)                                             # a star: 5,000 rows that link with the centre alone, in pieces with ever smaller ids
+    u = rng.normal(size=(5000, 256))
+    v = np.concatenate([np.full((5000, 1), np.cos(turn)), np.sin(turn) * u / np.linalg.norm(u, axis=1, keepdims=True)], axis=1)
+    v = np.concatenate([np.eye(1, 257), v])
+    ids = np.arange(len(v))[::-1]
+    links = (v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)) >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r["vec_id"]: r for r in range_join(df, cell_rows=400, most_pivots=1).select("vec_id", "n_links", "component_id", "kept").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(got[int(i)]["n_links"] == n and got[int(i)]["component_id"] == 0 and got[int(i)]["kept"] == (i == 0) for i, n in zip(ids, links, strict=True))
+
+
 def test_components(spark):
     from kerbline.llm.components import components
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
