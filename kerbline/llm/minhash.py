@@ -111,6 +111,72 @@ def likely(members: DataFrame, percent: int, agree: int) -> DataFrame:
     return near.mapInArrow(compare, "g long, rep long, th long").dropDuplicates(["g", "rep"])
 
 
+def apart(large: DataFrame, label: DataFrame, percent: int, agree: int, top: int | None, most: int, block: int = 4096) -> DataFrame:
+    """g, rep, th: groups that hold the pairs of members of a large node in different components whose sketches and sizes allow a link: all of them, or for each member
+    and other component the ``top`` nearest in a piece of the node. A node is worked off in blocks against which the others stream."""
+    at = large.select("node", "rep", "th", "n", "sig").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = at.groupBy("node").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks")).where("_a <> _b").select("node", "_blocks")
+    sent = at.join(several, "node").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks").cast("int"))
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), "_own"))).withColumn("other", F.col("block") != F.col("_own"))
+
+    def compare(batches):
+        def pairs(own, piece, same):
+            hits = np.zeros((len(own[0]), len(piece[0])), dtype=np.uint16)
+            for i in range(own[4].shape[1]):
+                hits += own[4][:, i, None] == piece[4][None, :, i]
+            n, m = own[2][:, None], piece[2][None, :]
+            good = (hits >= agree) & (own[3][:, None] != piece[3][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if same:
+                good &= own[0][:, None] < piece[0][None, :]
+            a, b = np.nonzero(good)
+            if top and len(a):                                                 # places of the nearest of each component
+                rank = np.lexsort((-hits[a, b].astype(np.int64), piece[3][b], a))
+                a, b = a[rank], b[rank]
+                start = np.append(True, (a[1:] != a[:-1]) | (piece[3][b[1:]] != piece[3][b[:-1]]))
+                place = np.arange(len(a)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+                a, b = a[place < top], b[place < top]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (own[0][a], own[1][a], piece[0][b], piece[1][b])], names=["a", "ath", "b", "bth"])
+
+        def arrays(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            sig = table.column("sig").combine_chunks()
+            return [table.column(c).to_numpy() for c in ("rep", "th", "n", "component")] + [sig.flatten().to_numpy().reshape(len(sig), -1)]
+
+        def met(own, with_other):
+            for k in range(0, len(with_other[0]), 256):
+                yield pairs(own, [x[k:k + 256] for x in with_other], with_other is own)
+
+        key, parts, own = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "block", "other")], axis=1)
+            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if hi == lo:
+                    continue
+                if tuple(keys[lo][:2]) != key or keys[lo][2]:
+                    if parts:
+                        own, parts = arrays(parts), []
+                        yield from met(own, own)
+                    if tuple(keys[lo][:2]) != key:
+                        key, own = tuple(keys[lo][:2]), None
+                part = batch.slice(lo, hi - lo)
+                if not keys[lo][2]:
+                    parts.append(part)
+                elif own:
+                    yield from met(own, arrays([part]))
+        if parts:
+            own = arrays(parts)
+            yield from met(own, own)
+
+    near = sent.select("node", "block", "other", "rep", "th", "n", "component", "sig").repartition(spread(large.sparkSession), "node", "block").sortWithinPartitions("node", "block", "other")
+    found = near.mapInArrow(compare, "a long, ath long, b long, bth long").dropDuplicates(["a", "b"])
+    found = materialise(found, "pairs")
+    buckets = max(1, -(-found.select(F.explode(F.array("a", "b"))).distinct().count() // most))    # pairs between two buckets of members read each text once
+    sides = [F.pmod(F.xxhash64(x), F.lit(buckets)) for x in ("a", "b")]
+    found = found.withColumn("g", F.xxhash64(F.least(*sides), F.greatest(*sides)))
+    return found.select("g", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ath").alias("th")), F.struct(F.col("b").alias("rep"), F.col("bth").alias("th")))).alias("_m")).select("g", "_m.*").dropDuplicates(["g", "rep"])
+
+
 def confirm(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: every member of a group that links confirmed on the full sets connect to others, and the smallest member it reaches so. Pairs that
     confirmed links already connect are not compared again."""
@@ -148,8 +214,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     minwise tokens (see ``nodes``); two documents of similarity s share the first d levels with probability s^d, and the number of trees is
     such that a pair of the limit's similarity meets within two levels in one of them with probability ``recall``. Small nodes are compared exhaustively, first
     on the sketches (a pair of the limit's similarity agrees in fewer than half of the places with a probability below one in a million), then on the full sets.
-    A node that stays large is a group of near copies or shares a long passage: it is dealt into buckets, its smallest member in each, so that work is linear in it;
-    members whose links in the bucket do not reach that member branch on by three more tokens a round, until small nodes hold them all.
+    A node that stays large is a group of near copies or shares a long passage: it is dealt into buckets, its smallest member in each, which joins most near copies. Then
+    all its pairs of different components are compared on the sketches, those with the best agreement first, and on the full sets; so no link is lost, and
+    the comparisons of sketches grow with the square of such a node.
 
     Sketches, groups, links and labels are written to the shared folder; none is collected. Null and empty texts have empty sets, link with nothing and are kept. Rows
     with a null id link with nothing, have a null component and are kept. Rows that share an id are named as one. Input columns named like an added one are replaced.
@@ -165,25 +232,15 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     leaves, large = nodes(classes, trees, depth, most)
 
     links = materialise(confirm(materialise(likely(leaves, percent, agree), "groups"), texts, k, percent), "links")
-    step = 0
-    while not large.isEmpty():
+    if not large.isEmpty():
         led = large.join(large.groupBy("node").agg(F.min("rep").alias("lead")), "node")
         dealt = led.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / most))))
         heads = dealt.select("node", "lead").distinct().join(classes.select(F.col("rep").alias("lead"), "th", "n", "sig"), "lead").select("node", F.col("lead").alias("rep"), "th", "n", "sig")
         inside = dealt.select("node", "rep", "th", "n", "sig").unionByName(heads).dropDuplicates(["node", "rep"])
-        found = materialise(confirm(materialise(likely(inside, percent, agree), "groups"), texts, k, percent), "links")
-        links = links.unionByName(found)
-        left = (led.where((F.col("rep") != F.col("lead")) & (F.col("size") > most)).join(found, (F.col("rep") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti").drop("size"))
-        if not step:                                                           # links of all trees so far lead most of the others there too
-            left = materialise(left, "left")
-            label = components(links)
-            of, to = label.select(F.col("id").alias("rep"), "component"), label.select(F.col("id").alias("lead"), F.col("component").alias("_led"))
-            left = left.join(of, "rep", "left").join(to, "lead", "left").where(F.coalesce("component", "rep") != F.coalesce("_led", "lead")).drop("component", "_led")
-        left = left.drop("lead")
-        tokens = [F.element_at("sig", F.pmod(F.col("tree") * depth + depth + 3 * step + i, F.lit(trees * depth)) + 1) for i in range(3)]
-        left = left.withColumn("node", F.xxhash64("node", *tokens))
-        large = materialise(left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"), "left")
-        step += 1
+        links = links.unionByName(materialise(confirm(materialise(likely(inside, percent, agree), "groups"), texts, k, percent), "links"))
+        for top in (8, None):                                                   # the likeliest pairs first, so that few are left when all are compared
+            groups = materialise(apart(large, components(links), percent, agree, top, most), "groups")
+            links = links.unionByName(materialise(confirm(groups, texts, k, percent), "links"))
     label = components(links).select(F.col("id").alias("_l"), "component")
     final = classes.join(label, F.col("rep") == F.col("_l"), "left").select(F.col("n").alias("_n"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.coalesce("component", "rep").alias("_c"))
     placed = (drawn.select("_id", "_th", "n", "fa", "fb").dropDuplicates(["_id", "_th"]).join(final, (F.col("n") == F.col("_n")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")), "left")

@@ -110,6 +110,23 @@ def test_near_dedup_of_large_groups(spark):
     assert [got[d]["component_id"] for d, _ in rows] == [rows[c][0] for c in want]
 
 
+def test_near_dedup_links_to_members_of_large_nodes(spark):
+    """The lead of a group of near copies, m's that link with it, and x's that link with an m of their own but not with the lead."""
+    from kerbline.llm.minhash import near_dedup
+    rng = random.Random(5)
+    base, rows = [f"w{rng.randrange(10 ** 9)}" for _ in range(300)], []
+    rows.append((0, " ".join(base)))
+    for i in range(150):
+        m = [*base[:278], *[f"m{i}_{j}" for j in range(22)]]
+        rows.append((1 + i, " ".join(m)))
+        rows.append((1001 + i, " ".join([*m[:3], *[f"x{i}_{j}" for j in range(12)], *m[15:]])))
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(near(0, 1 + i) and near(1 + i, 1001 + i) and not near(0, 1001 + i) and not near(1 + i, 1002 + i) for i in range(149))
+    got = by_id(near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most=16))
+    assert [i for i in got if got[i]["component_id"] != 0] == []
+
+
 def test_language(spark):
     from kerbline.llm.language_id import held_out, identify
     path = public_tokenizers.path("piece_bpe_32k.model")
