@@ -177,6 +177,21 @@ def apart(large: DataFrame, label: DataFrame, percent: int, agree: int, top: int
     return found.select("g", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ath").alias("th")), F.struct(F.col("b").alias("rep"), F.col("bth").alias("th")))).alias("_m")).select("g", "_m.*").dropDuplicates(["g", "rep"])
 
 
+def n_trees(percent: float, recall: float, depth: int) -> int:
+    """Trees in one of which a pair of the limit's similarity shares all levels with probability ``recall``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** depth))) if percent < 100 else 1
+
+
+def places(n: int, s: float, miss: float = 1e-6) -> int:
+    """The most of n places in which two sets of similarity s agree but for a probability of ``miss``."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * s ** k * (1 - s) ** (n - k)
+        if below >= miss:
+            return k
+    return n
+
+
 def confirm(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: every member of a group that links confirmed on the full sets connect to others, and the smallest member it reaches so. Pairs that
     confirmed links already connect are not compared again."""
@@ -212,8 +227,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
 
     Equal sets are one class from the start, however many copies there are. One document of each class then follows, in every tree, the path of its
     minwise tokens (see ``nodes``); two documents of similarity s share the first d levels with probability s^d, and the number of trees is
-    such that a pair of the limit's similarity meets within two levels in one of them with probability ``recall``. Small nodes are compared exhaustively, first
-    on the sketches (a pair of the limit's similarity agrees in fewer than half of the places with a probability below one in a million), then on the full sets.
+    such that a pair of the limit's similarity shares all ``depth`` levels in one of them with probability ``recall``. Small nodes are compared exhaustively, first
+    on the sketches (a pair of the limit's similarity agrees in fewer than ``agree`` places with a probability below one in a million), then on the full sets.
     A node that stays large is a group of near copies or shares a long passage: it is dealt into buckets, its smallest member in each, which joins most near copies. Then
     all its pairs of different components are compared on the sketches, those with the best agreement first, and on the full sets; so no link is lost, and
     the comparisons of sketches grow with the square of such a node.
@@ -221,14 +236,14 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, recall: float = 0
     Sketches, groups, links and labels are written to the shared folder; none is collected. Null and empty texts have empty sets, link with nothing and are kept. Rows
     with a null id link with nothing, have a null component and are kept. Rows that share an id are named as one. Input columns named like an added one are replaced.
     """
-    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** 2)))
+    trees = n_trees(percent, recall, depth)
     work = pack(docs, ADDED, _id=id_col, _text=text_col).withColumn("_th", F.xxhash64("_text")).withColumn("_id", F.col("_id").cast("long"))
     drawn = materialise(sketches(work, k, trees, depth), "sketches")
     named = drawn.where("n > 0 and _id is not null")
     classes = materialise(named.groupBy("n", "fa", "fb").agg(F.min_by(F.struct("_id", "_th", "sig"), F.struct("_id", "_th")).alias("_m")).select(
         "n", "fa", "fb", F.col("_m._id").alias("rep"), F.col("_m._th").alias("th"), F.col("_m.sig").alias("sig")), "classes")
     texts = work.select("_id", "_th", "_text")
-    agree = trees * depth // 2
+    agree = places(trees * depth, percent / 100)
     leaves, large = nodes(classes, trees, depth, most)
 
     links = materialise(confirm(materialise(likely(leaves, percent, agree), "groups"), texts, k, percent), "links")

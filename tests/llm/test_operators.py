@@ -127,6 +127,16 @@ def test_near_dedup_links_to_members_of_large_nodes(spark):
     assert [i for i in got if got[i]["component_id"] != 0] == []
 
 
+def test_near_dedup_trees_follow_the_depth():
+    import math
+    from kerbline.llm.minhash import n_trees, places
+    for percent, depth in ((85, 2), (85, 4), (80, 4)):
+        n, s = n_trees(percent, 0.9999, depth), percent / 100
+        assert (1 - s ** depth) ** n <= 1e-4 < (1 - s ** depth) ** (n - 1)
+        below = sum(math.comb(n * depth, k) * s ** k * (1 - s) ** (n * depth - k) for k in range(places(n * depth, s)))
+        assert below < 1e-6
+
+
 def test_language(spark):
     from kerbline.llm.language_id import held_out, identify
     path = public_tokenizers.path("piece_bpe_32k.model")
