@@ -137,6 +137,18 @@ def test_near_dedup_trees_follow_the_depth():
         assert below < 1e-6
 
 
+def test_pipeline_near_duplicates_from_four_fifths(spark):
+    from corpus_pipeline import near_duplicates
+    rows = []
+    for i in range(40):
+        w = [f"w{i}_{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:100 - 5 - i // 2], *[f"o{i}_{j}" for j in range(5 + i // 2)]]))]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i for i in sets if i % 2 == 0 or 100 * len(sets[i] & sets[i - 1]) < 80 * len(sets[i] | sets[i - 1])}
+    assert any(80 <= 100 * len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) < 85 for i in sets if i % 2)
+    assert {r["doc_id"] for r in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == want
+
+
 def test_language(spark):
     from kerbline.llm.language_id import held_out, identify
     path = public_tokenizers.path("piece_bpe_32k.model")
