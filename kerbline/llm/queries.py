@@ -158,3 +158,71 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op11(spark, sf_dir):
     from kerbline.llm.bit_sliced import top_k
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@register("op12_ranked_search", f"""
+WITH t AS (SELECT doc_id, unnest({TERMS.format(SQL_AZ.format("text"))}) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({TERMS.format(SQL_AZ.format("text"))}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
+def op12(spark, sf_dir):
+    from kerbline.llm.signatures import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_repair() -> str:
+    """The same dynamic programme over whole strings: one step of the recursion per row of a conversation."""
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20"
+
+    def add(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        kept = f"{state}.r" if line is None else f"{state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {kept}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def when(condition: str, option: str) -> str:
+        return f"CASE WHEN {condition} THEN {option} END"
+
+    def moved(i: str, name: str, *sources: str) -> list[str]:
+        return [o for s in sources for o in (when(f"ini = '{i}' AND NOT gone", add(s, "more", "K", "role || ':' || text")), when("NOT gone", add(s, "more + 1", "R", f"'{name}:' || text")))]
+
+    def closed(columns: str, source: str) -> str:
+        u = least("u", *[add(s, "5", "I", "'user:'") for s in "nsa"])
+        return f"SELECT {columns}, n, s, u, {least('a', add('u', '5', 'I', chr(39) + 'assistant:' + chr(39)))} AS a FROM (SELECT {columns}, n, s, {u} AS u, a FROM ({source}))"
+
+    none = "CAST({'c': 1000000000, 'a': '', 'r': ''} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR))"
+    start = closed("conv_id, pos", f"SELECT conv_id, CAST(0 AS BIGINT) AS pos, CAST({{'c': 0, 'a': '', 'r': ''}} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS n, {none} AS s, {none} AS u, {none} AS a FROM (SELECT DISTINCT conv_id FROM f)")
+    step = closed("conv_id, pos", f"""SELECT f.conv_id, f.pos, {add('n', '2', 'D')} AS n, {least(add('s', '2', 'D'), when("ini = 's' AND NOT gone", add('n', 'more', 'K', "role || ':' || text")))} AS s,
+        {least(add('u', '2', 'D'), *moved('u', 'user', 'n', 's', 'a'))} AS u, {least(add('a', '2', 'D'), *moved('a', 'assistant', 'u'))} AS a
+        FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos + 1""")
+    space = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM (SELECT *, {crc} AS kind FROM k) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS ini, trim(text, {space}) AS bare FROM d),
+m AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini NOT IN ('su', 'ua', 'au'), false) AS bad FROM o),
+f AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, CASE WHEN NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more FROM m),
+v(conv_id, pos, n, s, u, a) AS ({start} UNION ALL {step}),
+t AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+             count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT v.conv_id, {least('n', 'a')} AS best FROM v JOIN t ON v.conv_id IS NOT DISTINCT FROM t.conv_id AND v.pos = t.rows)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON c.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+@register("op13_repair_conversations", _sql_repair())
+def op13(spark, sf_dir):
+    from kerbline.llm.conversations import audited, damage, with_lost
+    rows = table(spark, sf_dir, "conversations")
+    return with_lost(audited(damage(rows)), rows)

@@ -81,3 +81,80 @@ def test_slices_add_up(spark):
     block = Block(np.arange(130), base.tolist(), slices)
     q = values[17]
     assert [s for _, s in sorted(block.search(q, None, 130))] == (values @ q).tolist()
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def ranked(docs, items, k):
+    counted = [(i, t) for i, t in ((i, terms(t)) for i, t in docs) if t]
+    total, many = len(counted), sum(len(t) for _, t in counted)
+    df = {}
+    for _, t in counted:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for item, text in items:
+        rows = []
+        for i, t in counted:
+            m, score = 10 + (90 * len(t) * total) // many, 0
+            for x in set(terms(text)) & set(t):
+                score += math.floor(1000 * math.log((2 * total + 2) / (2 * df[x] + 1))) * ((1000000000 * t.count(x)) // (1000 * t.count(x) + 8 * m))
+            if score > 0:
+                rows.append((-score, i is None, i or 0, i))
+        out += [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(rows)[:k])]
+    return out
+
+
+def corpus(seed, n, words=400):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" if i % 3 else f"Ärt{i}É" for i in range(words)]
+    return [" ".join(vocabulary[min(int(rng.expovariate(4 / words)), words - 1)] + rng.choice(["", ",", " -", "\n"]) for _ in range(rng.randint(1, 120))) for _ in range(n)]
+
+
+DOCS = [(i, t) for i, t in enumerate(corpus(1, 300))]
+DOCS += [(300, None), (301, ""), (302, " .,\n"), (None, DOCS[7][1]), (None, DOCS[8][1] + " W5 w5 w5"), (303, " ".join(corpus(2, 60))), (304, "x" * 3000), (305, "🎉 don't"), (7, DOCS[7][1]), (8, "other w1")]
+DOCS += [(400 + i, DOCS[3][1].upper()) for i in range(150)]
+ITEMS = [(i, DOCS[i * 7][1][:120]) for i in range(12)] + [(20, None), (21, "..."), (22, "nowhere"), (23, DOCS[3][1]), (23, DOCS[3][1]), (None, "w1 w2 w1 W2"), (24, " ".join(corpus(3, 20))), (25, "X" * 3000), (26, "🎉")]
+
+
+@pytest.mark.parametrize("chunk", [200_000, 40])
+def test_ranked_search(spark, monkeypatch, chunk):
+    from kerbline.llm.signatures import ranked_search
+    docs = spark.createDataFrame([(*r, "a", "b") for r in DOCS], "doc_id long, text string, Score string, `a.b` string").repartition(4)
+    items = spark.createDataFrame([(*r, "a") for r in ITEMS], "item_id long, text string, doc_id string").repartition(2)
+    got = ranked_search(docs, items, 10, chunk_terms=chunk)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, ranked(DOCS, ITEMS, 10)))
+
+
+def test_ranked_search_of_empty_tables(spark):
+    from kerbline.llm.signatures import ranked_search
+    docs, items = spark.createDataFrame(DOCS[:5], "doc_id long, text string"), spark.createDataFrame(ITEMS[:3], "item_id long, text string")
+    assert ranked_search(docs.limit(0), items).count() == 0 == ranked_search(docs, items.limit(0)).count()
+
+
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    from kerbline.llm import signatures as s
+    texts = [" ".join(corpus(9, 40)), None, "", "y" * 500, "a b " + "z" * 90 + " b", "!" * 300]
+    whole = s.term_counts(texts)
+    monkeypatch.setattr(s, "PIECE_BYTES", 37)
+    assert all((a == b).all() for a, b in zip(whole, s.term_counts(texts), strict=True))
+    assert [int(whole[2][whole[0] == i].sum()) for i in range(6)] == [len(terms(t)) for t in texts]
+
+
+def test_signatures_overestimate(monkeypatch):
+    """Every fact is found in the bitmaps, also where their number is held down."""
+    from kerbline.llm import signatures as s
+    owner, term, tf = s.term_counts([t for _, t in DOCS])
+    for most in (1 << 18, 64):
+        monkeypatch.setattr(s, "MOST_BITMAPS", most)
+        sig = s.signature(owner, term, tf, len(DOCS))
+        for level, least in enumerate(s.LEVELS):
+            some = tf >= least
+            at = s.places(term[some], level, len(sig))
+            assert all(((sig[at[:, j], owner[some] >> 3] >> (owner[some] & 7)) & 1).all() for j in range(s.FACT_ROWS))
