@@ -23,7 +23,7 @@ PIECE_BYTES = 1 << 20
 LEVELS = (1, 2, 4)
 FACT_BITS, FACT_ROWS, MOST_BITMAPS = 16, 3, 1 << 18
 #: Blocks: most documents, most distinct terms in sum, and what a task gathers before it sorts documents by size.
-BLOCK_DOCS, BLOCK_TERMS, GATHER_TERMS = 2048, 1 << 17, 1 << 19
+BLOCK_DOCS, BLOCK_TERMS, GATHER_TERMS = 2048, 1 << 16, 1 << 18
 STORED = "docs long, terms long, ids array<long>, n binary, ends binary, hash binary, tf binary, bitmaps int, signature binary"
 
 
