@@ -21,6 +21,12 @@ from kerbline.storage import materialise
 # fixed values: dilation radii in pixels (kernel half-width x iterations) and least pixel counts of the label protocol
 RING_RADIUS, CONTEXT_RADIUS, EDGE_RADIUS, WALL_RADIUS = 24, 14, 4, 6
 MIN_RING_PX, MIN_INSIDE_PX = 400, 150
+# fixed values: width of the blur before slopes are taken, least positions of road and rim for normals
+BLUR, MIN_ROAD_NORMALS, MIN_RIM_NORMALS = 15, 10, 5
+
+# fixed values: inputs of the depth model, in their order
+FEATURES = ["mf_p50_mm", "mf_p75_mm", "mf_p90_mm", "mf_p95_mm", "mf_max_mm", "mf_mean_mm", "mf_frac_gt10", "mf_frac_gt25", "mf_plane_rms_mm", "mf_cam_dist_mm", "mf_area_cm2", "mf_log_area_cm2",
+            "mf_diam_mm", "mf_p90_over_dist", "mf_p90_over_diam", "mf_normal_dev_mean", "mf_normal_dev_p90", "mf_valid_frac"]
 
 
 def normalise(px: DataFrame, frame: Sequence[str], z: str, name: str = "zn") -> DataFrame:
@@ -131,7 +137,7 @@ def bowl_depth(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: st
 
 
 def pixel_areas(px: DataFrame, frame: Sequence[str]) -> DataFrame:
-    """Surface area each pixel covers: cross product of the steps to its right and lower neighbour (point columns PX, PY, PZ)."""
+    """Surface area each pixel covers and its unit normal nx, ny, nz: cross product of the steps to its right and lower neighbour (point columns PX, PY, PZ)."""
     right, below = Window.partitionBy(*frame, "y").orderBy("x"), Window.partitionBy(*frame, "x").orderBy("y")
 
     def step(v, w, axis):
@@ -140,7 +146,8 @@ def pixel_areas(px: DataFrame, frame: Sequence[str]) -> DataFrame:
 
     s = px.withColumns({f"_{d}{v}": step(v, w, a) for d, w, a in (("r", right, "x"), ("d", below, "y")) for v in ("PX", "PY", "PZ")})
     cross = [F.col(f"_r{u}") * F.col(f"_d{v}") - F.col(f"_r{v}") * F.col(f"_d{u}") for u, v in (("PY", "PZ"), ("PZ", "PX"), ("PX", "PY"))]
-    return s.withColumn("area", F.sqrt(sum((k * k for k in cross[1:]), cross[0] * cross[0]))).drop(*[f"_{d}{v}" for d in "rd" for v in ("PX", "PY", "PZ")])
+    s = s.withColumn("area", F.sqrt(sum((k * k for k in cross[1:]), cross[0] * cross[0])))
+    return s.withColumns({n: F.try_divide(k, F.col("area")) for n, k in zip(("nx", "ny", "nz"), cross, strict=True)}).drop(*[f"_{d}{v}" for d in "rd" for v in ("PX", "PY", "PZ")])
 
 
 def surface_area(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str) -> DataFrame:
@@ -152,17 +159,31 @@ def surface_area(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline:
 
 def metric_features(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = RING_RADIUS, min_ring: int = MIN_RING_PX,
                     min_inside: int = MIN_INSIDE_PX) -> DataFrame:
-    """Named depth features of each outline: percentiles below the road, shares past 10 and 25 mm, plane noise, camera distance, ratios."""
+    """The model's ``FEATURES`` of each outline, in their order, all from the depth map: percentiles below the road, shares past 10 and 25 mm, plane noise, camera distance, area,
+    diameter, ratios, turn of the surface against the road, and the share of the outline that has readings.
+
+    ``px`` holds the camera point of each reading in mm as PX, PY, PZ. Normals are cross products of the steps to the neighbours; those of the ring, averaged, are the road's, and the
+    angles inside are taken against it (0 where either is unknown). The area is scaled up for pixels without a known one. Outlines without enough road or readings drop out.
+    """
     key = [*frame, outline]
-    d = deviation(px, mask, frame, outline, z, radius, min_ring)
-    dev = F.when(F.col("inside"), F.col("dev"))
+    d = deviation(pixel_areas(px, frame), mask, frame, outline, z, radius, min_ring)
+    ring, dev = F.col("ring") & F.col(z).isNotNull(), F.when(F.col("inside"), F.col("dev"))
+    area = F.when(dev.isNotNull(), F.col("area"))
     f = d.groupBy(*key).agg(F.percentile(dev, F.array(*[F.lit(p) for p in (0.5, 0.75, 0.9, 0.95, 0.99)])).alias("_q"), F.avg(dev).alias("mf_mean_mm"),
                             F.avg(F.when(dev > 10, 1.0).when(dev.isNotNull(), 0.0)).alias("mf_frac_gt10"), F.avg(F.when(dev > 25, 1.0).when(dev.isNotNull(), 0.0)).alias("mf_frac_gt25"),
-                            F.first("rms").alias("mf_plane_rms_mm"), F.percentile(F.when(F.col("ring"), F.col(z)), F.lit(0.5)).alias("mf_cam_dist_mm"), F.count(dev).alias("_n"))
-    f = f.where(F.col("_n") >= min_inside)
-    names = ("mf_p50_mm", "mf_p75_mm", "mf_p90_mm", "mf_p95_mm", "mf_max_mm")
-    f = f.withColumns({n: F.col("_q")[i] for i, n in enumerate(names)})
-    return f.withColumn("mf_p90_over_dist", F.col("mf_p90_mm") / F.greatest("mf_cam_dist_mm", F.lit(1.0))).drop("_q", "_n")
+                            F.first("rms").alias("mf_plane_rms_mm"), F.percentile(F.when(ring, F.col(z)), F.lit(0.5)).alias("mf_cam_dist_mm"), F.count(dev).alias("_n"),
+                            (F.sum(area) / F.count(area)).alias("_area"), *[F.avg(F.when(ring, F.col(v))).alias(f"_{v}") for v in ("nx", "ny", "nz")])
+    f = f.where(F.col("_n") >= min_inside).join(mask.groupBy(*key).agg(F.count(F.lit(1)).alias("_px")), key)
+    size = F.sqrt(F.col("_nx") * F.col("_nx") + F.col("_ny") * F.col("_ny") + F.col("_nz") * F.col("_nz"))
+    road = f.withColumn("_len", size).where("_len > 1e-9").select(*key, "_nx", "_ny", "_nz", "_len")
+    turn = F.degrees(F.acos(clip((F.col("nx") * F.col("_nx") + F.col("ny") * F.col("_ny") + F.col("nz") * F.col("_nz")) / F.col("_len"), -1.0, 1.0)))
+    turned = d.where("inside AND dev IS NOT NULL AND nx IS NOT NULL").join(road, key).withColumn("_a", turn).groupBy(*key).agg(F.avg("_a").alias("_turn"), F.percentile("_a", F.lit(0.9)).alias("_turn90"))
+    f = f.join(turned, key, "left").withColumns({n: F.col("_q")[i] for i, n in enumerate(("mf_p50_mm", "mf_p75_mm", "mf_p90_mm", "mf_p95_mm", "mf_max_mm"))})
+    f = f.withColumns({"mf_area_cm2": F.col("_area") * F.col("_px") / 100.0, "mf_normal_dev_mean": F.coalesce("_turn", F.lit(0.0)), "mf_normal_dev_p90": F.coalesce("_turn90", F.lit(0.0)),
+                       "mf_valid_frac": F.col("_n") / F.greatest("_px", F.lit(1))})
+    f = f.withColumns({"mf_log_area_cm2": F.log(F.greatest("mf_area_cm2", F.lit(1e-3))), "mf_diam_mm": 2.0 * F.sqrt(F.col("mf_area_cm2") * 100.0 / F.pi()),
+                       "mf_p90_over_dist": F.col("mf_p90_mm") / F.greatest("mf_cam_dist_mm", F.lit(1.0))})
+    return f.withColumn("mf_p90_over_diam", F.col("mf_p90_mm") / F.greatest("mf_diam_mm", F.lit(1.0))).select(*key, *FEATURES)
 
 
 def least_squares(df: DataFrame, group: Sequence[str], terms: Sequence[Column], target: Column) -> DataFrame:
@@ -310,8 +331,6 @@ def stencil(px: DataFrame, frame: Sequence[str], z: str, weights: Sequence[Seque
 
 
 LAPLACE = ((0, 1, 0), (1, -4, 1), (0, 1, 0))
-SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
-SOBEL_Y = ((-1, -2, -1), (0, 0, 0), (1, 2, 1))
 
 
 def laplacian_stats(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, v: str) -> DataFrame:
@@ -320,25 +339,81 @@ def laplacian_stats(px: DataFrame, mask: DataFrame, frame: Sequence[str], outlin
     return mask.join(lap, [*frame, "y", "x"]).groupBy(*frame, outline).agg(F.var_pop("_lap").alias("lap_var"), F.avg("_v").alias("brightness"))
 
 
-def surface_normals(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = WALL_RADIUS) -> DataFrame:
+def dense(px: DataFrame, frame: Sequence[str], z: str) -> DataFrame:
+    """Every position between the least and largest row and column of each frame, with its reading or null."""
+    frame = list(frame)
+    lim = px.groupBy(*frame).agg(*[f(v).alias(f"_{v}{i}") for v in ("x", "y") for i, f in ((0, F.min), (1, F.max))])
+    grid = lim.select(*frame, "_x0", "_x1", F.explode(F.sequence("_y0", "_y1")).alias("y")).select(*frame, "y", F.explode(F.sequence("_x0", "_x1")).alias("x"))
+    return grid.join(px.select(*frame, "y", "x", F.col(z).cast("double").alias(z)), [*frame, "y", "x"], "left")
+
+
+def along(px: DataFrame, frame: Sequence[str], line: str, axis: str, sums: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """Weighted sums over the neighbours of each position of a dense frame along one image row or column.
+
+    ``sums`` maps a new column to a column and its weights, the middle one on the position itself; beyond its ends a line is mirrored about its last position. An
+    image line is one array, so nothing larger is held.
+    """
+    names = sorted({v for v, _ in sums.values()})
+    lines = px.groupBy(*frame, line).agg(F.sort_array(F.collect_list(F.struct(axis, *names))).alias("_l"))
+    at = lines.select(*frame, line, *[F.col("_l").getField(v).alias(f"_{v}") for v in (axis, *names)]).withColumn("_n", F.size(f"_{axis}"))
+    turn = F.greatest(2 * (F.col("_n") - 1), F.lit(1))
+
+    def total(v, weights, i):
+        half, out = len(weights) // 2, None
+        for k, w in enumerate(weights):
+            if w:
+                spot = F.pmod(i + (k - half), turn)
+                part = float(w) * F.get(F.col(f"_{v}"), F.least(spot, F.when(F.col("_n") > 1, turn - spot).otherwise(0)))
+                out = part if out is None else out + part
+        return out
+
+    made = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(F.get(f"_{axis}", i).alias(axis), *[total(v, w, i).alias(n) for n, (v, w) in sums.items()]))
+    return at.select(*frame, line, F.explode(made).alias("_s")).select(*frame, line, "_s.*")
+
+
+def gaussian(size: int) -> list[float]:
+    """Weights of a Gaussian of so many pixels, with the deviation that goes with the size."""
+    sd = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    raw = [math.exp(-((i - size // 2) ** 2) / (2 * sd * sd)) for i in range(size)]
+    return [w / sum(raw) for w in raw]
+
+
+def smooth_gradient(px: DataFrame, frame: Sequence[str], z: str, size: int = BLUR) -> DataFrame:
+    """frame..., y, x, gx, gy: Sobel slopes of the readings after a Gaussian blur of ``size`` pixels, at every position of the frame.
+
+    Blur and slopes are separable: along rows, along columns, along rows again. Missing readings have no weight in the blur; a position without any reading in reach has no slope.
+    """
+    frame, blur = list(frame), gaussian(size)
+    d = dense(px, frame, z).withColumns({"_v": F.coalesce(F.col(z), F.lit(0.0)), "_w": F.col(z).isNotNull().cast("double")})
+    d = along(d, frame, "y", "x", {"_v1": ("_v", blur), "_w1": ("_w", blur)})
+    d = along(d, frame, "x", "y", {"_v2": ("_v1", blur), "_w2": ("_w1", blur)}).select(*frame, "y", "x", F.when(F.col("_w2") > 1e-12, F.col("_v2") / F.col("_w2")).alias("_s"))
+    d = along(d, frame, "x", "y", {"_soft": ("_s", (1, 2, 1)), "_step": ("_s", (-1, 0, 1))})
+    return along(d, frame, "y", "x", {"gx": ("_soft", (-1, 0, 1)), "gy": ("_step", (1, 2, 1))})
+
+
+def surface_normals(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = WALL_RADIUS, size: int = BLUR, min_road: int = MIN_ROAD_NORMALS,
+                    min_rim: int = MIN_RIM_NORMALS) -> DataFrame:
     """Angle between the surface along the rim of each outline and the mean road normal: mean, max, sd and p90 in degrees.
 
-    ``z`` is expected smoothed and scaled to 0-1.
+    Readings are scaled to 0-1 within the frame and blurred over ``size`` pixels, and borders are mirrored, so the rim at the edge of an image counts too. Outlines with less than
+    ``min_road`` positions outside or ``min_rim`` on the rim, or without a mean normal, drop out.
     """
-    g = stencil(stencil(px, frame, z, SOBEL_X, "_gx"), frame, z, SOBEL_Y, "_gy").where("_gx IS NOT NULL AND _gy IS NOT NULL")
-    length = F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2 + 1.0)
-    n = g.select(*frame, "y", "x", (-F.col("_gx") / length).alias("nx"), (-F.col("_gy") / length).alias("ny"), (1.0 / length).alias("nz"))
     key = [*frame, outline]
-    total = n.groupBy(*frame).agg(*[F.sum(v).alias(f"_{v}") for v in ("nx", "ny", "nz")])
-    own = n.join(mask, [*frame, "y", "x"]).groupBy(*key).agg(*[F.sum(v).alias(f"_o{v}") for v in ("nx", "ny", "nz")])
-    ref = own.join(total, list(frame))                 # road = everything outside the outline
-    parts = [F.col(f"_{v}") - F.col(f"_o{v}") for v in ("nx", "ny", "nz")]
-    size = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
-    ref = ref.select(*key, *[F.try_divide(p, size).alias(f"r{i}") for i, p in enumerate(parts)]).where("r0 IS NOT NULL")
+    g = smooth_gradient(normalise(px, frame, z, "_z"), frame, "_z", size).where("gx IS NOT NULL AND gy IS NOT NULL")
+    length = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1.0)
+    n = g.select(*frame, "y", "x", (-F.col("gx") / length).alias("nx"), (-F.col("gy") / length).alias("ny"), (1.0 / length).alias("nz"))
+    n = materialise(n, "normals")
+    total = n.groupBy(*frame).agg(*[F.sum(v).alias(f"_{v}") for v in ("nx", "ny", "nz")], F.count(F.lit(1)).alias("_all"))
+    own = n.join(mask, [*frame, "y", "x"]).groupBy(*key).agg(*[F.sum(v).alias(f"_o{v}") for v in ("nx", "ny", "nz")], F.count(F.lit(1)).alias("_own"))
+    ref = own.join(total, list(frame)).where(F.col("_all") - F.col("_own") >= min_road)                # road = everything outside the outline
+    parts = [(F.col(f"_{v}") - F.col(f"_o{v}")) / (F.col("_all") - F.col("_own")) for v in ("nx", "ny", "nz")]
+    length = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    ref = ref.withColumn("_len", length).where("_len >= 1e-8").select(*key, *[(p / F.col("_len")).alias(f"r{i}") for i, p in enumerate(parts)])
     rim = region(n, mask, frame, outline, radius).where("ring").join(ref, key)
     angle = F.degrees(F.acos(clip(F.col("nx") * F.col("r0") + F.col("ny") * F.col("r1") + F.col("nz") * F.col("r2"), -1.0, 1.0)))
-    return rim.withColumn("_a", angle).groupBy(*key).agg(F.avg("_a").alias("mean_normal_deviation"), F.max("_a").alias("max_normal_deviation"),
-                                                         F.stddev_pop("_a").alias("std_normal_deviation"), F.percentile("_a", F.lit(0.9)).alias("p90_normal_deviation"))
+    out = rim.withColumn("_a", angle).groupBy(*key).agg(F.avg("_a").alias("mean_normal_deviation"), F.max("_a").alias("max_normal_deviation"),
+                                                        F.stddev_pop("_a").alias("std_normal_deviation"), F.percentile("_a", F.lit(0.9)).alias("p90_normal_deviation"), F.count(F.lit(1)).alias("_n"))
+    return out.where(F.col("_n") >= min_rim).drop("_n")
 
 
 def inside_vs_ring(r: DataFrame, key: Sequence[str], value: str) -> DataFrame:

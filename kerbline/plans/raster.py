@@ -87,14 +87,26 @@ def _(t):
     return rounded(b, "plane_rms_mm", "mean_depth_mm", "p90_depth_mm", "max_depth_mm", digits=4)
 
 
-@query("metric_features", f"""WITH {BOWL}, i AS (SELECT frame, quantile_cont(dev,[0.5,0.75,0.9,0.95,0.99]) AS q, avg(dev) AS mean, avg((dev>10)::INT) AS g10, avg((dev>25)::INT) AS g25, any_value(rms) AS rms, count(*) AS n FROM dv WHERE inside GROUP BY 1),
-r AS (SELECT frame, quantile_cont(z,0.5) AS cam FROM dv WHERE NOT inside GROUP BY 1)
-SELECT frame, 1 AS outline, round(mean,4) AS mf_mean_mm, round(g10,6) AS mf_frac_gt10, round(g25,6) AS mf_frac_gt25, round(rms,4) AS mf_plane_rms_mm, round(cam,4) AS mf_cam_dist_mm, round(q[1],4) AS mf_p50_mm, round(q[2],4) AS mf_p75_mm, round(q[3],4) AS mf_p90_mm,
-round(q[4],4) AS mf_p95_mm, round(q[5],4) AS mf_max_mm, round(q[3]/greatest(cam,1),6) AS mf_p90_over_dist FROM i JOIN r USING (frame) WHERE n>=20""")
+XYZ = "xyz AS (SELECT frame, y, x, (x-25)*z/500 AS X3, (y-5)*z/500 AS Y3, z AS Z3 FROM px)"
+STEPS = """s AS (SELECT p.frame, p.y, p.x, r.X3-p.X3 AS rx, r.Y3-p.Y3 AS ry, r.Z3-p.Z3 AS rz, d.X3-p.X3 AS dx, d.Y3-p.Y3 AS dy, d.Z3-p.Z3 AS dz FROM xyz p LEFT JOIN xyz r ON r.frame=p.frame AND r.y=p.y AND r.x=p.x+1 LEFT JOIN xyz d ON d.frame=p.frame AND d.x=p.x AND d.y=p.y+1),
+cr AS (SELECT frame, y, x, ry*dz-rz*dy AS c1, rz*dx-rx*dz AS c2, rx*dy-ry*dx AS c3 FROM s), ar AS (SELECT *, sqrt(c1*c1+c2*c2+c3*c3) AS area FROM cr)"""
+
+
+def points(t):
+    return pixels(t).withColumns({"PX": (c("x") - 25) * c("z") / 500, "PY": (c("y") - 5) * c("z") / 500, "PZ": c("z")})
+
+
+@query("metric_features", f"""WITH {BOWL}, {XYZ}, {STEPS}, dn AS (SELECT dv.*, area, c1/nullif(area,0) AS nx, c2/nullif(area,0) AS ny, c3/nullif(area,0) AS nz FROM dv LEFT JOIN ar USING (frame, y, x)),
+i AS (SELECT frame, quantile_cont(dev,[0.5,0.75,0.9,0.95,0.99]) AS q, avg(dev) AS mean, avg((dev>10)::INT) AS g10, avg((dev>25)::INT) AS g25, any_value(rms) AS rms, count(*) AS n, sum(area)/count(area)*(SELECT count(*) FROM mk WHERE mk.frame=dn.frame)/100 AS cm2, (SELECT count(*) FROM mk WHERE mk.frame=dn.frame) AS px FROM dn WHERE inside GROUP BY 1),
+r AS (SELECT frame, quantile_cont(z,0.5) AS cam, avg(nx) AS a, avg(ny) AS b, avg(nz) AS e FROM dn WHERE NOT inside GROUP BY 1),
+tn AS (SELECT frame, avg(t) AS t, quantile_cont(t,0.9) AS t9 FROM (SELECT frame, degrees(acos(least(greatest((nx*a+ny*b+nz*e)/sqrt(a*a+b*b+e*e),-1),1))) AS t FROM dn JOIN r USING (frame) WHERE inside AND nx IS NOT NULL) GROUP BY 1)
+SELECT frame, 1 AS outline, round(q[1],4) AS mf_p50_mm, round(q[2],4) AS mf_p75_mm, round(q[3],4) AS mf_p90_mm, round(q[4],4) AS mf_p95_mm, round(q[5],4) AS mf_max_mm, round(mean,4) AS mf_mean_mm, round(g10,6) AS mf_frac_gt10, round(g25,6) AS mf_frac_gt25, round(rms,4) AS mf_plane_rms_mm, round(cam,4) AS mf_cam_dist_mm,
+round(cm2,4) AS mf_area_cm2, round(ln(greatest(cm2,1e-3)),6) AS mf_log_area_cm2, round(2*sqrt(cm2*100/pi()),4) AS mf_diam_mm, round(q[3]/greatest(cam,1),6) AS mf_p90_over_dist, round(q[3]/greatest(2*sqrt(cm2*100/pi()),1),6) AS mf_p90_over_diam, round(coalesce(t,0),4) AS mf_normal_dev_mean,
+round(coalesce(t9,0),4) AS mf_normal_dev_p90, round(n/px,6) AS mf_valid_frac FROM i JOIN r USING (frame) LEFT JOIN tn USING (frame) WHERE n>=20""")
 def _(t):
-    f = R.metric_features(pixels(t), mask(t), ["frame"], "outline", "z", 4, 60, 20)
-    f = rounded(f, "mf_frac_gt10", "mf_frac_gt25", "mf_p90_over_dist")
-    return rounded(f, *[n for n in f.columns if n.startswith("mf_") and n.endswith("_mm")], digits=4)
+    f = R.metric_features(points(t), mask(t), ["frame"], "outline", "z", 4, 60, 20)
+    fine = ["mf_frac_gt10", "mf_frac_gt25", "mf_log_area_cm2", "mf_p90_over_dist", "mf_p90_over_diam", "mf_valid_frac"]
+    return rounded(rounded(f, *fine), *[n for n in R.FEATURES if n not in fine], digits=4)
 
 
 @query("submerge", f"""WITH {BOWL}, g AS (SELECT frame, quantile_cont(dev,0.9) AS d FROM dv WHERE inside GROUP BY 1), l AS (SELECT dv.frame, dev, d, fill, (1-fill)*d AS lev FROM dv JOIN g USING (frame), (VALUES (0.25::DOUBLE),(0.5),(0.75)) v(fill) WHERE inside)
@@ -113,15 +125,10 @@ def _(t):
     return r.groupBy("frame").agg(F.round(F.percentile("r", F.lit(0.5)), 4).alias("median_error"))
 
 
-XYZ = "xyz AS (SELECT frame, y, x, (x-25)*z/500 AS X3, (y-5)*z/500 AS Y3, z AS Z3 FROM px)"
-
-
-@query("surface_area", f"""WITH {PX}, {MASK}, {XYZ}, s AS (SELECT p.frame, p.y, p.x, r.X3-p.X3 AS rx, r.Y3-p.Y3 AS ry, r.Z3-p.Z3 AS rz, d.X3-p.X3 AS dx, d.Y3-p.Y3 AS dy, d.Z3-p.Z3 AS dz FROM xyz p LEFT JOIN xyz r ON r.frame=p.frame AND r.y=p.y AND r.x=p.x+1 LEFT JOIN xyz d ON d.frame=p.frame AND d.x=p.x AND d.y=p.y+1),
-a AS (SELECT frame, y, x, sqrt((ry*dz-rz*dy)*(ry*dz-rz*dy)+(rz*dx-rx*dz)*(rz*dx-rx*dz)+(rx*dy-ry*dx)*(rx*dy-ry*dx)) AS area FROM s)
-SELECT mk.frame, 1 AS outline, round(sum(area)*count(*)/count(area),3) AS surface, count(area) AS known_px, count(*) AS px, round(2*sqrt(sum(area)*count(*)/count(area)/pi()),4) AS diameter FROM mk LEFT JOIN a ON a.frame=mk.frame AND a.x=mk.x AND a.y=mk.y GROUP BY 1""")
+@query("surface_area", f"""WITH {PX}, {MASK}, {XYZ}, {STEPS}
+SELECT mk.frame, 1 AS outline, round(sum(area)*count(*)/count(area),3) AS surface, count(area) AS known_px, count(*) AS px, round(2*sqrt(sum(area)*count(*)/count(area)/pi()),4) AS diameter FROM mk LEFT JOIN ar ON ar.frame=mk.frame AND ar.x=mk.x AND ar.y=mk.y GROUP BY 1""")
 def _(t):
-    px = pixels(t).select("frame", "y", "x", ((c("x") - 25) * c("z") / 500).alias("PX"), ((c("y") - 5) * c("z") / 500).alias("PY"), c("z").alias("PZ"))
-    return rounded(rounded(R.surface_area(px, mask(t), ["frame"], "outline"), "surface", digits=3), "diameter", digits=4)
+    return rounded(rounded(R.surface_area(points(t), mask(t), ["frame"], "outline"), "surface", digits=3), "diameter", digits=4)
 
 
 @query("laplacian_stats", f"""WITH {PX}, {MASK}, l AS (SELECT p.frame, p.y, p.x, p.v, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL AND d.v IS NOT NULL AND e.v IS NOT NULL THEN a.v+b.v+d.v+e.v-4*p.v END AS lap FROM px p LEFT JOIN px a ON a.frame=p.frame AND a.y=p.y AND a.x=p.x-1 LEFT JOIN px b ON b.frame=p.frame AND b.y=p.y AND b.x=p.x+1
@@ -130,10 +137,32 @@ def _(t):
     return rounded(rounded(R.laplacian_stats(pixels(t), mask(t), ["frame"], "outline", "v"), "lap_var", digits=4), "brightness")
 
 
-@query("surface_normals")
+def _mirrored(name: str, source: str, value: str, line: str, axis: str, weights: str) -> str:
+    """Weighted sums along an axis of the grid: every position meets its neighbours by their mirrored places."""
+    spot = f"((g.{axis}-g.{axis}0+g.ow.o)%(2*g.{axis}n)+2*g.{axis}n)%(2*g.{axis}n)"
+    return f"""{name} AS MATERIALIZED (SELECT g.frame, g.y, g.x, g.x0, g.y0, g.xn, g.yn, {value} FROM (SELECT *, unnest([{weights}]) AS ow FROM {source}) g JOIN {source} s ON s.frame=g.frame AND s.{line}=g.{line} AND s.{axis}=g.{axis}0+least({spot}, 2*g.{axis}n-{spot}) GROUP BY ALL)"""
+
+
+def _offsets(weights) -> str:
+    return ",".join(f"{{'o': {i - len(weights) // 2}, 'w': {float(w)!r}::DOUBLE}}" for i, w in enumerate(weights) if w)
+
+
+BLURS = _offsets(R.gaussian(R.BLUR))
+NORMALS = f"""{NORM}, ex AS (SELECT frame, min(x) AS x0, max(x)-min(x) AS xn, min(y) AS y0, max(y)-min(y) AS yn FROM px GROUP BY 1),
+g0 AS MATERIALIZED (SELECT ex.frame, CAST(b.y AS INT) AS y, CAST(a.x AS INT) AS x, x0, y0, xn, yn, coalesce(zn,0) AS v, (zn IS NOT NULL)::INT::DOUBLE AS c FROM ex, generate_series(0,60) a(x), generate_series(0,20) b(y) LEFT JOIN nz ON nz.frame=ex.frame AND nz.x=a.x AND nz.y=b.y WHERE a.x BETWEEN x0 AND x0+xn AND b.y BETWEEN y0 AND y0+yn),
+{_mirrored("g1", "g0", "sum(g.ow.w*s.v) AS v, sum(g.ow.w*s.c) AS c", "y", "x", BLURS)}, {_mirrored("g2", "g1", "sum(g.ow.w*s.v)/nullif(sum(g.ow.w*s.c),0) AS v", "x", "y", BLURS)},
+{_mirrored("g3", "g2", "sum(g.ow.w*s.v) AS soft", "x", "y", _offsets((1, 2, 1)))}, {_mirrored("g4", "g2", "sum(g.ow.w*s.v) AS step", "x", "y", _offsets((-1, 0, 1)))},
+{_mirrored("g5", "g3", "sum(g.ow.w*s.soft) AS gx", "y", "x", _offsets((-1, 0, 1)))}, {_mirrored("g6", "g4", "sum(g.ow.w*s.step) AS gy", "y", "x", _offsets((1, 2, 1)))},
+nm AS MATERIALIZED (SELECT frame, y, x, -gx/sqrt(gx*gx+gy*gy+1) AS nx, -gy/sqrt(gx*gx+gy*gy+1) AS ny, 1/sqrt(gx*gx+gy*gy+1) AS nz FROM g5 JOIN g6 USING (frame, y, x))"""
+
+
+@query("surface_normals", f"""WITH {PX}, {MASK}, {NORMALS},
+rf AS (SELECT frame, avg(nx) AS a, avg(ny) AS b, avg(nz) AS c FROM nm WHERE NOT EXISTS (SELECT 1 FROM mk m WHERE m.frame=nm.frame AND m.x=nm.x AND m.y=nm.y) GROUP BY 1 HAVING count(*)>=10), {reg(3, 'nm')},
+an AS (SELECT rg.frame, degrees(acos(least(greatest((nx*a+ny*b+nz*c)/sqrt(a*a+b*b+c*c),-1),1))) AS d FROM rg JOIN rf USING (frame) WHERE NOT inside)
+SELECT frame, 1 AS outline, round(avg(d),6) AS mean_normal_deviation, round(max(d),6) AS max_normal_deviation, round(stddev_pop(d),6) AS std_normal_deviation, round(quantile_cont(d,0.9),6) AS p90_normal_deviation FROM an GROUP BY 1 HAVING count(*)>=5""")
 def _(t):
-    px = R.normalise(pixels(t), ["frame"], "z").select("frame", "y", "x", "zn")
-    return R.surface_normals(px, mask(t), ["frame"], "outline", "zn", 3)
+    n = R.surface_normals(pixels(t), mask(t), ["frame"], "outline", "z", 3)
+    return rounded(n, "mean_normal_deviation", "max_normal_deviation", "std_normal_deviation", "p90_normal_deviation")
 
 
 @query("water_cues", f"""WITH {PX}, {MASK}, {reg(4)}, s AS (SELECT frame, avg(v) FILTER (inside) AS vi, avg(v) FILTER (NOT inside) AS vr, stddev_pop(v) FILTER (inside) AS vs, avg(tax) FILTER (inside) AS ti, avg(tax) FILTER (NOT inside) AS tr, count(*) FILTER (NOT inside) AS rp FROM rg GROUP BY 1)
