@@ -172,7 +172,7 @@ def hazard_block(df: DataFrame, drops: DataFrame, key: Sequence[str], depth: str
 
 
 def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Rim curvature of closed outlines: smoothed coordinates, signed curvature, its summary, sign changes and entropy.
+    """Rim curvature of closed outlines: smoothed coordinates, signed curvature, its summary, sign changes and entropy; length of the closed line and elongation of its box.
 
     A contour is bounded by the image's perimeter and travels as one array. The smoothing window is a fixed share of
     its length (odd, 5 to 51), the weights are those of a local cubic.
@@ -189,6 +189,10 @@ def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x",
         return F.aggregate(F.sequence(-m, m), F.lit(0.0), lambda s, i: s + 3.0 * (3 * m * m + 3 * m - 1 - 5 * i * i) / total
                            * F.get(F.col("p"), (F.col("i") + i + n) % n)[axis])
 
+    pts = F.col("p")
+    steps = F.transform(pts, lambda a, i: F.sqrt((F.get(pts, (i + 1) % n)["x"] - a["x"]) ** 2 + (F.get(pts, (i + 1) % n)["y"] - a["y"]) ** 2))
+    side = lambda v: F.array_max(F.transform(pts, lambda a: a[v])) - F.array_min(F.transform(pts, lambda a: a[v])) + 1
+    box = p.select(*key, F.aggregate(steps, F.lit(0.0), lambda s, d: s + d).alias("contour_length"), (side("x") / F.greatest(side("y"), F.lit(1.0))).alias("contour_elongation"))
     rows = (p.select(*key, "n", "m", "p", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
             .select(*key, "n", "i", smooth("x").alias("sx"), smooth("y").alias("sy")))
     w = Window.partitionBy(*key).orderBy("i")
@@ -210,4 +214,4 @@ def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x",
     span = F.col("max_curvature") - F.col("_lo")
     bins = j.withColumn("_b", F.coalesce(F.least(F.floor(F.try_divide(F.col("a") - F.col("_lo"), span) * 30), F.lit(29)), F.lit(0))).groupBy(*key, "_b").agg((F.count(F.lit(1)) / F.max("points")).alias("_p"))
     entropy = bins.groupBy(*key).agg((-F.sum(F.col("_p") * F.log(F.col("_p") + 1e-12))).alias("curvature_entropy"))
-    return s.drop("_lo").join(high, key).join(entropy, key)
+    return s.drop("_lo").join(high, key).join(entropy, key).join(box, key)

@@ -24,6 +24,8 @@ MIN_RING_PX, MIN_INSIDE_PX = 400, 150
 # fixed values: width of the blur before slopes are taken, least positions of road and rim for normals
 BLUR, MIN_ROAD_NORMALS, MIN_RIM_NORMALS = 15, 10, 5
 
+# fixed values: width of the ring of patches, draws of a size-matched variance
+RING_PATCHES, MATCH_DRAWS = 2, 20
 # fixed values: inputs of the depth model, in their order
 FEATURES = ["mf_p50_mm", "mf_p75_mm", "mf_p90_mm", "mf_p95_mm", "mf_max_mm", "mf_mean_mm", "mf_frac_gt10", "mf_frac_gt25", "mf_plane_rms_mm", "mf_cam_dist_mm", "mf_area_cm2", "mf_log_area_cm2",
             "mf_diam_mm", "mf_p90_over_dist", "mf_p90_over_diam", "mf_normal_dev_mean", "mf_normal_dev_p90", "mf_valid_frac"]
@@ -533,12 +535,36 @@ def rasterise(outlines: DataFrame, frame: Sequence[str], outline: str, points: s
     return runs.where("_a <= _b").select(*key, "y", F.explode(F.sequence("_a", "_b")).alias("x"))
 
 
-def embedding_ratio(patches: DataFrame, region_key: Sequence[str], inside: str, vector: str) -> DataFrame:
-    """Texture inside against outside: mean per-dimension sample variance, their ratio and the cosine distance of the mean vectors."""
-    dims = patches.select(*region_key, inside, F.posexplode(vector).alias("d", "v"))
-    side = dims.groupBy(*region_key, "d").agg(
-        *[f(F.when(F.col(inside) == flag, F.col("v").cast("double"))).alias(n + s) for s, flag in (("_in", True), ("_out", False)) for n, f in (("var", F.var_samp), ("mean", F.avg))])
-    dot = F.sum(F.col("mean_in") * F.col("mean_out")) / F.sqrt(F.sum(F.col("mean_in") ** 2) * F.sum(F.col("mean_out") ** 2))
-    out = side.groupBy(*region_key).agg(F.avg("var_in").alias("inside_variance"), F.avg("var_out").alias("ring_variance"), (1.0 - dot).alias("dissimilarity"))
-    n = patches.groupBy(*region_key).agg(F.count_if(inside).alias("patches"))
-    return out.join(n, list(region_key)).withColumn("ratio", F.when(F.col("ring_variance") > 1e-9, F.col("inside_variance") / F.col("ring_variance")))
+def mean_variance(dims: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """Sample variance per dimension (d, v), averaged over the dimensions."""
+    return dims.groupBy(*key, "d").agg(F.var_samp("v").alias("_var")).groupBy(*key).agg(F.avg("_var").alias(name))
+
+
+def embedding_ratio(patches: DataFrame, frame: Sequence[str], outline: str, inside: str, vector: str, ring: int = RING_PATCHES, draws: int = MATCH_DRAWS) -> DataFrame:
+    """Texture of each outline against the road around it: inside_variance, outside_variance (all other patches of the frame), ring_variance, ratio, dissimilarity (cosine distance of the
+    means inside and outside), patches and ring_source.
+
+    ``patches`` has one row per (frame, outline, y, x) with whether the patch lies inside. Variance over many patches is not comparable with variance over few, so ``ring_variance`` takes
+    the patches within ``ring`` of the outline, drawn down to the number inside: the median over ``draws`` draws, each by the order of a hash. A ring of fewer than two patches gives way to
+    the whole scene. Outlines with fewer than two patches inside or outside drop out, and a ring without variance has no ratio. Patches without a vector are left out.
+    """
+    key = [*frame, outline]
+    p = patches.where(F.col(vector).isNotNull()).select(*key, "y", "x", F.coalesce(F.col(inside), F.lit(False)).alias("_in"), F.col(vector).alias("_v"))
+    near = region(p.select(*key, "y", "x").withColumn("_o", F.col(outline)), p.where("_in").select(*key, "y", "x").withColumn("_o", F.col(outline)), key, "_o", ring).where("ring").select(*key, "y", "x", F.lit(True).alias("_ring"))
+    p = p.join(near, [*key, "y", "x"], "left").withColumn("_ring", F.coalesce("_ring", F.lit(False)))
+    n = p.groupBy(*key).agg(F.count_if("_in").alias("patches"), F.count_if(~F.col("_in")).alias("_out"), F.count_if("_ring").alias("_near")).where("patches >= 2 AND _out >= 2")
+    n = n.withColumn("ring_source", F.when(F.col("_near") >= 2, "ring").otherwise("scene"))
+    p = p.join(n, key).withColumn("_road", F.when(F.col("ring_source") == "ring", F.col("_ring")).otherwise(~F.col("_in")))
+    p = materialise(p, "patches")
+    dims = p.select(*key, "_in", F.posexplode("_v").alias("d", "v")).withColumn("v", F.col("v").cast("double"))
+    side = dims.groupBy(*key, "d").agg(*[f(F.when(F.col("_in") == flag, F.col("v"))).alias(f"_{n}{s}") for s, flag in (("in", True), ("out", False)) for n, f in (("var", F.var_samp), ("mean", F.avg))])
+    dot = F.try_divide(F.sum(F.col("_meanin") * F.col("_meanout")), F.sqrt(F.sum(F.col("_meanin") * F.col("_meanin")) * F.sum(F.col("_meanout") * F.col("_meanout"))))
+    both = side.groupBy(*key).agg(F.avg("_varin").alias("inside_variance"), F.avg("_varout").alias("outside_variance"), (1.0 - dot).alias("dissimilarity"))
+    road = p.where("_road").withColumn("_few", F.when(F.col("ring_source") == "ring", F.col("_near")).otherwise(F.col("_out")) <= F.col("patches"))
+    road = road.withColumn("draw", F.explode(F.when(F.col("_few"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.lit(draws)))))
+    order = Window.partitionBy(*key, "draw").orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in (*key, "y", "x", "draw")])), "y", "x")
+    drawn = road.withColumn("_rank", F.row_number().over(order)).where(F.col("_few") | (F.col("_rank") <= F.col("patches")))
+    each = mean_variance(drawn.select(*key, "draw", F.posexplode("_v").alias("d", "v")).withColumn("v", F.col("v").cast("double")), [*key, "draw"], "_variance")
+    matched = each.groupBy(*key).agg(F.percentile("_variance", F.lit(0.5)).alias("ring_variance"))
+    out = n.select(*key, "patches", "ring_source").join(both, key).join(matched, key)
+    return out.withColumn("ratio", F.when(F.col("ring_variance") > 1e-9, F.col("inside_variance") / F.col("ring_variance")))

@@ -114,20 +114,26 @@ def _(t):
     return rounded(H.wheel_centre(px, ["frame", "y"], "x", "h", 40.0, 317.3), "centre_mm", digits=4)
 
 
-CONTOUR = "ct AS (SELECT l_suppkey AS frame, CAST(l_quantity AS INT) AS o, (200+avg(l_extendedprice)/3000)*cos(2*pi()*l_quantity/50) AS x, (200+avg(l_extendedprice)/3000)*sin(2*pi()*l_quantity/50) AS y FROM lineitem GROUP BY l_suppkey, l_quantity)"
-# 40 to 50 points give a smoothing window of 5: cubic weights (-3, 12, 17, 12, -3) / 35
-CURV = f"""{CONTOUR}, n AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY o)-1 AS i, count(*) OVER (PARTITION BY frame) AS n, x, y FROM ct),
-s AS (SELECT a.frame, a.i, a.n, sum(w*b.x) AS x, sum(w*b.y) AS y FROM n a, (VALUES (-2,-3/35),(-1,12/35),(0,17/35),(1,12/35),(2,-3/35)) v(k,w), n b WHERE b.frame=a.frame AND b.i=(a.i+k+a.n)%a.n GROUP BY 1,2,3),
-d AS (SELECT a.frame, a.i, a.n, (b.x-c.x)/(b.i-c.i) AS dx, (b.y-c.y)/(b.i-c.i) AS dy FROM s a JOIN s b ON b.frame=a.frame AND b.i=least(a.i+1,a.n-1) JOIN s c ON c.frame=a.frame AND c.i=greatest(a.i-1,0)),
+# even frames have a point per quantity and a smoothing window of 5, odd ones a point per quantity and discount and a window of about 43
+SPOT = "CASE WHEN l_suppkey%2=0 THEN CAST(l_quantity AS INT) ELSE CAST(l_quantity AS INT)*11+CAST(round(l_discount*100) AS INT) END"
+CURV = f"""ct AS (SELECT frame, o, (200+p/3000)*cos(2*pi()*o/CASE WHEN frame%2=0 THEN 50 ELSE 561 END) AS x, (200+p/3000)*sin(2*pi()*o/CASE WHEN frame%2=0 THEN 50 ELSE 561 END) AS y FROM (SELECT l_suppkey AS frame, {SPOT} AS o, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1,2)),
+n0 AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY o)-1 AS i, count(*) OVER (PARTITION BY frame) AS n, x, y FROM ct), n1 AS (SELECT *, least(CAST(round_even(n*0.08,0) AS INT), n-1, 51) AS win FROM n0 WHERE n>=15),
+n AS MATERIALIZED (SELECT frame, i, n, x, y, CAST((greatest(win-(win%2=0)::INT, 5)-1)//2 AS INT) AS m FROM n1), nw AS (SELECT *, unnest(range(-m, m+1)) AS k FROM n),
+s AS MATERIALIZED (SELECT a.frame, a.i, a.n, sum(3.0*(3*a.m*a.m+3*a.m-1-5*k*k)/((2*a.m-1)*(2*a.m+1)*(2*a.m+3))*b.x) AS x, sum(3.0*(3*a.m*a.m+3*a.m-1-5*k*k)/((2*a.m-1)*(2*a.m+1)*(2*a.m+3))*b.y) AS y FROM nw a JOIN n b ON b.frame=a.frame AND b.i=(a.i+k+a.n)%a.n GROUP BY 1,2,3),
+d AS MATERIALIZED (SELECT a.frame, a.i, a.n, (b.x-c.x)/(b.i-c.i) AS dx, (b.y-c.y)/(b.i-c.i) AS dy FROM s a JOIN s b ON b.frame=a.frame AND b.i=least(a.i+1,a.n-1) JOIN s c ON c.frame=a.frame AND c.i=greatest(a.i-1,0)),
 e AS (SELECT a.*, (b.dx-c.dx)/(b.i-c.i) AS ax, (b.dy-c.dy)/(b.i-c.i) AS ay FROM d a JOIN d b ON b.frame=a.frame AND b.i=least(a.i+1,a.n-1) JOIN d c ON c.frame=a.frame AND c.i=greatest(a.i-1,0)),
-k AS (SELECT frame, i, n, (dx*ay-dy*ax)/greatest(pow(dx*dx+dy*dy,1.5),1e-10) AS s FROM e), g AS (SELECT *, lag(s) OVER (PARTITION BY frame ORDER BY i) AS ps FROM k), m AS (SELECT frame, avg(abs(s)) AS mu, stddev_pop(abs(s)) AS sd FROM k GROUP BY 1)"""
+k AS MATERIALIZED (SELECT frame, i, n, (dx*ay-dy*ax)/greatest(pow(dx*dx+dy*dy,1.5),1e-10) AS s FROM e), g AS (SELECT *, lag(s) OVER (PARTITION BY frame ORDER BY i) AS ps FROM k), m AS (SELECT frame, avg(abs(s)) AS mu, stddev_pop(abs(s)) AS sd, min(abs(s)) AS lo, max(abs(s)) AS hi FROM k GROUP BY 1),
+h AS (SELECT frame, -sum(q*ln(q+1e-12)) AS ent FROM (SELECT frame, count(*)/any_value(n) AS q FROM k JOIN m USING (frame) GROUP BY frame, least(floor((abs(s)-lo)/(hi-lo)*30),29)) GROUP BY 1),
+l AS (SELECT a.frame, sum(sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))) AS len, (max(a.x)-min(a.x)+1)/greatest(max(a.y)-min(a.y)+1,1) AS elo FROM n a JOIN n b ON b.frame=a.frame AND b.i=(a.i+1)%a.n GROUP BY 1)"""
 
 
 @query("curvature", f"""WITH {CURV} SELECT g.frame, CAST(max(n) AS INT) AS points, round(max(abs(s)),6) AS max_curvature, round(avg(abs(s)),6) AS mean_curvature, round(stddev_pop(abs(s)),6) AS std_curvature, round(quantile_cont(abs(s),0.9),6) AS p90_curvature,
-round(avg((s<0)::INT),6) AS concave_fraction, count(*) FILTER (sign(s)<>sign(ps)) AS curvature_sign_changes, round(avg((abs(s)>mu+sd)::INT),6) AS high_curvature_fraction FROM g JOIN m USING (frame) GROUP BY 1""")
+round(avg((s<0)::INT),6) AS concave_fraction, count(*) FILTER (sign(s)<>sign(ps)) AS curvature_sign_changes, round(avg((abs(s)>mu+sd)::INT),6) AS high_curvature_fraction, round(any_value(ent),6) AS curvature_entropy, round(any_value(len),4) AS contour_length, round(any_value(elo),6) AS contour_elongation
+FROM g JOIN m USING (frame) JOIN h USING (frame) JOIN l USING (frame) GROUP BY 1""")
 def _(t):
-    a = 2 * F.pi() * c("l_quantity") / 50
-    r = 200 + c("p") / 3000
-    ct = t.lineitem.groupBy(c("l_suppkey").alias("frame"), "l_quantity").agg(F.avg("l_extendedprice").alias("p")).select("frame", c("l_quantity").cast("int").alias("o"), (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"))
-    k = H.curvature(ct, ["frame"], "o").drop("curvature_entropy")
-    return rounded(k, "max_curvature", "mean_curvature", "std_curvature", "p90_curvature", "concave_fraction", "high_curvature_fraction")
+    q = c("l_quantity").cast("int")
+    spot = F.when(c("l_suppkey") % 2 == 0, q).otherwise(q * 11 + F.round(c("l_discount") * 100).cast("int"))
+    ct = t.lineitem.groupBy(c("l_suppkey").alias("frame"), spot.alias("o")).agg(F.avg("l_extendedprice").alias("p"))
+    r, a = 200 + c("p") / 3000, 2 * F.pi() * c("o") / F.when(c("frame") % 2 == 0, 50).otherwise(561)
+    k = H.curvature(ct.select("frame", "o", (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y")), ["frame"], "o")
+    return rounded(rounded(k, "max_curvature", "mean_curvature", "std_curvature", "p90_curvature", "concave_fraction", "high_curvature_fraction", "curvature_entropy", "contour_elongation"), "contour_length", digits=4)

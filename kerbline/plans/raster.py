@@ -249,9 +249,20 @@ def _(t):
     return R.rasterise(o, ["frame"], "outline", "pts")
 
 
-@query("embedding_ratio", """
-WITH d AS (SELECT label, vec_id%2=0 AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1) AS k FROM embeddings), s AS (SELECT label, k, var_samp(v) FILTER (i) AS vi, var_samp(v) FILTER (NOT i) AS vo, avg(v) FILTER (i) AS mi, avg(v) FILTER (NOT i) AS mo FROM d GROUP BY 1,2)
-SELECT label, round(avg(vi),6) AS inside_variance, round(avg(vo),6) AS ring_variance, round(1-sum(mi*mo)/sqrt(sum(mi*mi)*sum(mo*mo)),6) AS dissimilarity, (SELECT count(*) FROM embeddings e WHERE e.label=s.label AND vec_id%2=0) AS patches, round(avg(vi)/avg(vo),6) AS ratio FROM s GROUP BY label""")
+PATCH = "((x-4)*(x-4)+(y-4)*(y-4)<=CASE frame%3 WHEN 0 THEN 6 WHEN 1 THEN 30 ELSE 200 END AND vec_id%100<98)"
+
+
+@query("embedding_ratio", f"""WITH p0 AS (SELECT vec_id//100 AS frame, vec_id%100//10 AS y, vec_id%10 AS x, vec_id, embedding FROM embeddings), p AS (SELECT *, {PATCH} AS i FROM p0),
+p1 AS MATERIALIZED (SELECT p.*, NOT i AND EXISTS (SELECT 1 FROM p q WHERE q.frame=p.frame AND q.i AND abs(q.x-p.x)<=2 AND abs(q.y-p.y)<=2) AS ring FROM p),
+n AS (SELECT frame, count(*) FILTER (i) AS k, count(*) FILTER (NOT i) AS o, count(*) FILTER (ring) AS r, CASE WHEN count(*) FILTER (ring)>=2 THEN 'ring' ELSE 'scene' END AS src FROM p1 GROUP BY 1 HAVING count(*) FILTER (i)>=2 AND count(*) FILTER (NOT i)>=2),
+d AS (SELECT frame, i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1) AS j FROM p1 JOIN n USING (frame)),
+s AS (SELECT frame, j, var_samp(v) FILTER (i) AS vi, var_samp(v) FILTER (NOT i) AS vo, avg(v) FILTER (i) AS mi, avg(v) FILTER (NOT i) AS mo FROM d GROUP BY 1,2),
+b AS (SELECT frame, avg(vi) AS vi, avg(vo) AS vo, 1-sum(mi*mo)/sqrt(sum(mi*mi)*sum(mo*mo)) AS dis FROM s GROUP BY 1),
+e AS (SELECT frame, embedding, k, draw, CASE WHEN src='ring' THEN r ELSE o END<=k AS few, row_number() OVER (PARTITION BY frame, draw ORDER BY md5(concat_ws(':', frame, 1, y, x, draw)), y, x) AS rk FROM p1 JOIN n USING (frame), (SELECT unnest(range(1,21)) AS draw) WHERE CASE WHEN src='ring' THEN ring ELSE NOT i END),
+w AS (SELECT frame, draw, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1) AS j FROM e WHERE few OR rk<=k), x AS (SELECT frame, draw, j, var_samp(v) AS v FROM w GROUP BY 1,2,3), y AS (SELECT frame, draw, avg(v) AS v FROM x GROUP BY 1,2), z AS (SELECT frame, quantile_cont(v,0.5) AS v FROM y GROUP BY 1)
+SELECT frame, 1 AS outline, k AS patches, src AS ring_source, round(vi,6) AS inside_variance, round(vo,6) AS outside_variance, round(dis,6) AS dissimilarity, round(z.v,6) AS ring_variance, round(CASE WHEN z.v>1e-9 THEN vi/z.v END,6) AS ratio FROM n JOIN b USING (frame) JOIN z USING (frame)""")
 def _(t):
-    p = t.embeddings.select("label", (c("vec_id") % 2 == 0).alias("inside"), "embedding")
-    return rounded(R.embedding_ratio(p, ["label"], "inside", "embedding"), "inside_variance", "ring_variance", "dissimilarity", "ratio")
+    e = t.embeddings.select(F.floor(c("vec_id") / 100).alias("frame"), F.lit(1).alias("outline"), F.floor(c("vec_id") % 100 / 10).alias("y"), (c("vec_id") % 10).alias("x"), "vec_id", "embedding")
+    size = F.when(c("frame") % 3 == 0, 6).when(c("frame") % 3 == 1, 30).otherwise(200)
+    p = e.withColumn("inside", ((c("x") - 4) * (c("x") - 4) + (c("y") - 4) * (c("y") - 4) <= size) & (c("vec_id") % 100 < 98))
+    return rounded(R.embedding_ratio(p, ["frame"], "outline", "inside", "embedding"), "inside_variance", "outside_variance", "ring_variance", "dissimilarity", "ratio")
