@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.linear import products, solved
 from kerbline.operators.raster import region
 from kerbline.storage import materialise
 
@@ -47,25 +48,11 @@ def surface(degree: int) -> Column:
     return total
 
 
-def solved(matrix: Column, k: int) -> Column:
-    """Solution of k equations, an array of rows of k coefficients and the right side; null where one cannot be solved."""
-    def cleared(m: Column, i: Column) -> Column:
-        """Column i is zero but in row i."""
-        pivot = F.element_at(m, i)
-        return F.transform(m, lambda row, r: F.when(r + 1 == i, row).otherwise(
-            F.zip_with(row, pivot, lambda a, b: a - F.try_divide(F.element_at(row, i), F.element_at(pivot, i)) * b)))
-
-    done = F.reduce(F.sequence(F.lit(1), F.lit(k)), matrix, cleared)
-    x = F.transform(done, lambda row, r: F.try_divide(F.element_at(row, k + 1), F.get(row, r)))
-    return F.when(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c)), x)
-
-
 def normal_equations(points: DataFrame, key: Sequence[str], degree: int) -> DataFrame:
     """key, coef and n: least squares over the points (z and terms) of each key, from sums of products in one aggregate."""
     k = len(powers(degree))
-    sums = {(i, j): F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i in range(k) for j in range(i, k)}
-    rows = [F.array(*[sums[min(i, j), max(i, j)] for j in range(k)], F.sum(F.col(f"t{i}") * F.col("z"))) for i in range(k)]
-    return points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array(*rows).alias("_m")).select(*key, "n", solved(F.col("_m"), k).alias("coef"))
+    sums = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), products([F.col(f"t{i}") for i in range(k)], F.col("z")).alias("_m"))
+    return sums.select(*key, "n", solved(F.col("_m"), k).alias("coef"))
 
 
 def samples(points: DataFrame, key: Sequence[str], degree: int, hypotheses: int) -> DataFrame:

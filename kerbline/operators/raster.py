@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from kerbline.functions.linear import products, scaled
 from kerbline.functions.numbers import clip
 from kerbline.storage import materialise
 
@@ -24,6 +25,8 @@ MIN_RING_PX, MIN_INSIDE_PX = 400, 150
 # fixed values: width of the blur before slopes are taken, least positions of road and rim for normals
 BLUR, MIN_ROAD_NORMALS, MIN_RIM_NORMALS = 15, 10, 5
 
+# fixed values: least samples outside an outline for a road parabola, samples inside that a wall fit has to exceed, curvature below which a wall is flat
+ROAD_SAMPLES, WALL_SAMPLES, FLAT_WALL = 4, 10, 1e-5
 # fixed values: width of the ring of patches, draws of a size-matched variance
 RING_PATCHES, MATCH_DRAWS = 2, 20
 # fixed values: inputs of the depth model, in their order
@@ -189,27 +192,11 @@ def metric_features(px: DataFrame, mask: DataFrame, frame: Sequence[str], outlin
 
 
 def least_squares(df: DataFrame, group: Sequence[str], terms: Sequence[Column], target: Column) -> DataFrame:
-    """Coefficients of ``target`` on several terms per group: sums of products, then one small solve per group."""
+    """Coefficients of ``target`` on several terms per group and the number of rows: sums of products in one aggregate, then elimination. Null where terms depend on each other."""
     k = len(terms)
     t = df.withColumns({**{f"_t{i}": c.cast("double") for i, c in enumerate(terms)}, "_y": target.cast("double")}).where(F.col("_y").isNotNull())
-    gram = [F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")) for i in range(k) for j in range(k)]
-    rhs = [F.sum(F.col(f"_t{i}") * F.col("_y")) for i in range(k)]
-    sums = t.groupBy(*group).agg(F.array(*gram, *rhs).alias("_sums"), F.count(F.lit(1)).alias("n"))
-    return sums.select(*group, "n", _solve(k)(F.col("_sums")).alias("coef"))
-
-
-def _solve(k: int):
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def solve(sums: pd.Series) -> pd.Series:
-        """Solve the normal equations of one group; null when they are singular."""
-        def one(s):
-            v = np.asarray(s, dtype=np.float64)
-            a, b = v[:k * k].reshape(k, k), v[k * k:]
-            if not np.isfinite(v).all() or np.linalg.matrix_rank(a) < k:
-                return None
-            return np.linalg.solve(a, b).tolist()
-        return sums.map(one)
-    return solve
+    sums = t.groupBy(*group).agg(products([F.col(f"_t{i}") for i in range(k)], F.col("_y")).alias("_m"), F.count(F.lit(1)).alias("n"))
+    return sums.select(*group, "n", scaled("_m", k).alias("coef"))
 
 
 def _value(coef: str, terms: Sequence[Column]) -> Column:
@@ -472,9 +459,9 @@ def inconsistency_cue(max_curv: Column, mean_curv: Column, high_share: Column, c
 
 
 def depth_profile(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, slices: int = 8) -> DataFrame:
-    """Bowl depth from cuts through the centroid: a quadratic through the road outside is read off at the centre.
+    """Bowl depth from cuts through the centroid: a parabola through the road outside is read off at the centre.
 
-    The sample positions of all cuts are an exploded table that meets the pixels by position.
+    Outlines whose centre has no reading have no bowl depth, those without a cut of six samples have nulls. The sample positions of all cuts are an exploded table that meets the pixels by position.
     """
     key = [*frame, outline]
     n = normalise(px, frame, z).select(*frame, "y", "x", "zn")
@@ -485,26 +472,66 @@ def depth_profile(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline:
            .select(*key, "t", "g.cut", F.round(F.col("_cx") + F.col("t") * F.col("g.co"), 9).cast("int").alias("x"), F.round(F.col("_cy") + F.col("t") * F.col("g.si"), 9).cast("int").alias("y")))
     here = pts.join(n, [*frame, "y", "x"]).join(mask.select(*key, "y", "x", F.lit(True).alias("_in")), [*key, "y", "x"], "left").where("_in IS NULL")
     t = F.col("t").cast("double")
-    fit = least_squares(here, [*key, "cut"], [t * t, t, F.lit(1.0)], F.col("zn")).where("n >= 6 AND coef IS NOT NULL")
+    fit = plane_fit(here.withColumns({"t": t, "t2": t * t}), [*key, "cut"], "zn", "t2", "t").where("n >= 6 AND a IS NOT NULL")
     centre = mid.select(*key, F.col("_cx").cast("int").alias("x"), F.col("_cy").cast("int").alias("y")).join(n, [*frame, "y", "x"]).select(*key, F.col("zn").alias("_c"))
-    cut = fit.join(centre, key).withColumn("_bowl", F.abs(F.col("coef")[2] - F.col("_c")))
-    return cut.groupBy(*key).agg(F.avg("_bowl").alias("mean_bowl_depth"), F.max("_bowl").alias("max_bowl_depth"), F.stddev_pop("_bowl").alias("std_bowl_depth"),
-                                 F.avg(F.abs(F.col("coef")[0])).alias("mean_road_curvature"), F.var_pop(F.abs(F.col("coef")[1])).alias("slope_variance"))
+    cut = fit.join(centre, key, "left").withColumn("_bowl", F.abs(F.col("c") - F.col("_c")))
+    out = cut.groupBy(*key).agg(F.avg("_bowl").alias("mean_bowl_depth"), F.max("_bowl").alias("max_bowl_depth"), F.stddev_pop("_bowl").alias("std_bowl_depth"),
+                                F.avg(F.abs("a")).alias("mean_road_curvature"), F.var_pop(F.abs(F.col("b"))).alias("slope_variance"))
+    return mid.select(*key).join(out, key, "left")
 
 
-def depth_slice(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str) -> DataFrame:
-    """The image row through each centroid with the road surface extrapolated from outside the outline: one row per sample."""
+def slice_lines(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str) -> DataFrame:
+    """The image row through each centroid, 0.8 widths beyond the outline on both sides: at (position from the left end), in_mask and depth (0-1 in the frame)."""
     key = [*frame, outline]
-    n = normalise(px, frame, z).select(*frame, "y", "x", "zn")
+    n = normalise(px, frame, z).select(*frame, "y", "x", F.col("zn").alias("depth"))
     b = boxes(mask, key).join(mask.groupBy(*key).agg(F.avg("y").cast("int").alias("y")), key)
     margin = (F.col("width") * 0.8).cast("int")
     row = (b.select(*key, "y", F.greatest(F.lit(0), F.col("x0") - margin).alias("_from"), (F.col("x1") + margin).alias("_to")).join(n, [*frame, "y"])
            .where(F.col("x").between(F.col("_from"), F.col("_to"))))
-    row = row.join(mask.select(*key, "y", "x", F.lit(True).alias("_in")), [*key, "y", "x"], "left").withColumns({
-        "in_mask": F.coalesce("_in", F.lit(False)), "at": F.col("x") - F.col("_from")})
-    t = F.col("at").cast("double")
-    fit = least_squares(row.where("NOT in_mask"), key, [t * t, t, F.lit(1.0)], F.col("zn")).where("n >= 4")
-    return row.join(fit.select(*key, "coef"), key).select(*key, "at", "in_mask", F.col("zn").alias("depth"), _value("coef", [t * t, t, F.lit(1.0)]).alias("road"))
+    row = row.join(mask.select(*key, "y", "x", F.lit(True).alias("_in")), [*key, "y", "x"], "left")
+    return row.select(*key, (F.col("x") - F.col("_from")).alias("at"), F.coalesce("_in", F.lit(False)).alias("in_mask"), "depth")
+
+
+def parabola(df: DataFrame, key: Sequence[str], name: str, least: int) -> DataFrame:
+    """key, <name>2, <name>1, <name>0: a parabola depth(at) per key; keys with fewer than ``least`` points, or without one, drop out."""
+    at = F.col("at").cast("double")
+    fit = plane_fit(df.withColumns({"_t1": at, "_t2": at * at}), key, "depth", "_t2", "_t1").where((F.col("n") >= least) & F.col("a").isNotNull())
+    return fit.select(*key, F.col("a").alias(f"{name}2"), F.col("b").alias(f"{name}1"), F.col("c").alias(f"{name}0"))
+
+
+def depth_slice(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, facts: DataFrame | None = None) -> DataFrame:
+    """The cut through each outline, one row per sample: at, in_mask, depth, road (a parabola through the samples outside) and predicted.
+
+    Where no parabola fits outside, the road is the mean of the samples there. ``facts`` holds wet and severity per outline. Under water the floor is predicted: a parabola through the
+    wall, the outer fifth of the outline on either side with five samples of road, where it opens upwards; else one as deep as the severity allows for the width. Neither rises above the
+    road nor, inside, above the reading. Dry outlines, those without facts, and those with ten samples or fewer inside keep the reading.
+    """
+    key = [*frame, outline]
+    row = slice_lines(px, mask, frame, outline, z)
+    at = F.col("at").cast("double")
+    inner = F.when(F.col("in_mask"), F.col("at"))
+    lim = row.groupBy(*key).agg(F.min(inner).alias("_a"), F.max(inner).alias("_b"), F.count(inner).alias("_n"), F.avg(F.when(~F.col("in_mask"), F.col("depth"))).alias("_mean"))
+    row = row.join(lim, key).join(parabola(row.where("NOT in_mask AND depth IS NOT NULL"), key, "r", ROAD_SAMPLES), key, "left")
+    row = row.withColumn("road", F.coalesce(F.col("r2") * at * at + F.col("r1") * at + F.col("r0"), F.col("_mean")))
+    if facts is None:
+        return row.select(*key, "at", "in_mask", "depth", "road", F.col("depth").alias("predicted"))
+    row = row.join(facts.select(*key, F.coalesce("wet", F.lit(False)).alias("_wet"), F.col("severity").alias("_severity")), key, "left").withColumn("_under", F.coalesce("_wet", F.lit(False)) & (F.col("_n") > WALL_SAMPLES))
+    width = F.col("_b") - F.col("_a")
+    margin = F.greatest(F.lit(3), (width * 0.20).cast("int"))
+    left, right = F.col("at").between(F.col("_a") - 5, F.col("_a") + margin - 1), F.col("at").between(F.col("_b") - margin, F.col("_b") + 4)
+    wall = parabola(row.where(F.col("_under") & (left | right) & F.col("depth").isNotNull()), key, "w", 3)
+    row = row.join(wall, key, "left")
+    drop = width * F.when(F.col("_severity") == "Shallow", 0.0002).when(F.col("_severity") == "Deep", 0.0012).otherwise(0.0006)
+    guess = 4 * drop / (width * width) * (at - (F.col("_a") + F.col("_b")) / 2.0) ** 2 + F.col("road") - drop
+    floor = F.when(F.col("w2") >= FLAT_WALL, F.col("w2") * at * at + F.col("w1") * at + F.col("w0")).when(F.col("w2").isNotNull() & (width > 0), guess)
+    floor = F.when(floor.isNotNull(), F.least(floor, "road", F.when(F.col("in_mask"), F.col("depth"))))
+    return row.select(*key, "at", "in_mask", "depth", "road", F.coalesce(F.when(F.col("_under"), floor), "depth").alias("predicted"))
+
+
+def slice_depths(slices: DataFrame, key: Sequence[str]) -> DataFrame:
+    """bowl_depth and predicted_bowl_depth per outline: the largest gap to the road inside, of what is seen and of what is predicted."""
+    gap = lambda v: F.coalesce(F.max(F.when(F.col("in_mask"), F.abs(F.col("road") - F.col(v)))), F.lit(0.0))
+    return slices.groupBy(*key).agg(gap("depth").alias("bowl_depth"), gap("predicted").alias("predicted_bowl_depth"))
 
 
 def submerge(dev: DataFrame, key: Sequence[str], fills: Sequence[float]) -> DataFrame:

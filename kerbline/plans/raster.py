@@ -209,13 +209,39 @@ def _(t):
     return n.select("frame", "regions", F.round(R.clustering_score(c("cells") / 150.0, c("regions")), 6).alias("score"))
 
 
-@query("inverse_plane_fit")
+def _plane(source: str, value: str, first: str, second: str, key: str) -> str:
+    """A plane from centred moments: key, n, a, b, c, null where the points lie on a line."""
+    m = f"SELECT {key}, count(*) AS n, avg({first}) AS mx, avg({second}) AS my, avg({value}) AS mz, var_pop({first}) AS xx, var_pop({second}) AS yy, covar_pop({first},{second}) AS xy, covar_pop({first},{value}) AS xz, covar_pop({second},{value}) AS yz FROM {source} GROUP BY {key}"
+    f = f"SELECT *, CASE WHEN xx*yy-xy*xy>1e-12*greatest(xx*yy,1e-300) THEN xx*yy-xy*xy END AS det FROM ({m})"
+    return f"SELECT {key}, n, a, b, mz-a*mx-b*my AS c FROM (SELECT *, (xz*yy-yz*xy)/det AS a, (yz*xx-xz*xy)/det AS b FROM ({f}))"
+
+
+def _trimmed(points: str, fit, residual: str, rounds: int) -> str:
+    """CTEs of a fit that drops rows beyond 2.5 deviations of those kept and starts again; the last is s<rounds>."""
+    out, kept = [], points
+    for k in range(1, rounds + 1):
+        out += [f"f{k} AS MATERIALIZED ({fit(kept)})", f"s{k} AS MATERIALIZED (SELECT p.frame, stddev_pop({residual}) AS sd FROM {kept} p JOIN f{k} f USING (frame) GROUP BY 1)",
+                f"k{k} AS (SELECT p.* FROM {points} p JOIN f{k} f USING (frame) JOIN s{k} s USING (frame) WHERE abs({residual})<2.5*s.sd)"]
+        kept = f"k{k}"
+    return ", ".join(out)
+
+
+@query("inverse_plane_fit", f"WITH {PX}, pz AS (SELECT frame, x, y, z+1000 AS z, 1/(z+1000) AS iz FROM px), {_trimmed('pz', lambda src: _plane(src, 'iz', 'x', 'y', 'frame'), 'p.z-1/(f.a*p.x+f.b*p.y+f.c)', 3)} SELECT frame, round(c,9) AS c, round(sd,3) AS sd FROM f3 JOIN s3 USING (frame)")
 def _(t):
     f = R.inverse_plane_fit(pixels(t).withColumn("z", c("z") + 1000), ["frame"], "z")
     return f.select("frame", F.round(c("coef")[2], 9).alias("c"), F.round("sd", 3).alias("sd"))
 
 
-@query("quadratic_road")
+def _six(source: str) -> str:
+    rows = ",".join("[" + ",".join(f"sum(t[{i}]*t[{j}])" for j in range(1, 7)) + f",sum(t[{i}]*z)]" for i in range(1, 7))
+    m = f"SELECT frame, [{rows}] AS m FROM (SELECT *, [u,v,1.0::DOUBLE,u*u,u*v,v*v] AS t FROM {source}) GROUP BY frame"
+    for i in range(1, 7):
+        m = f"SELECT frame, list_transform(m, lambda row, r: CASE WHEN r={i} THEN row ELSE list_transform(row, lambda a, n: a-row[{i}]/m[{i}][{i}]*m[{i}][n]) END) AS m FROM ({m})"
+    return f"SELECT frame, list_transform(m, lambda row, r: row[7]/row[r]) AS e FROM ({m})"
+
+
+@query("quadratic_road", f"""WITH {PX}, pq AS (SELECT frame, x*20.0/1000 AS u, (y*100.0+2000)/1000 AS v, z FROM px), {_trimmed('pq', _six, 'p.z-(f.e[1]*p.u+f.e[2]*p.v+f.e[3]+f.e[4]*p.u*p.u+f.e[5]*p.u*p.v+f.e[6]*p.v*p.v)', 4)}
+SELECT frame, round(1/sqrt(1+pow(e[1]/1000,2)+pow(e[2]/1000,2)),6) AS cosine, round(sd/sqrt(1+pow(e[1]/1000,2)+pow(e[2]/1000,2)),4) AS road_sd FROM f4 JOIN s4 USING (frame)""")
 def _(t):
     px = pixels(t).select("frame", (c("x") * 20.0).alias("a"), (c("y") * 100.0 + 2000).alias("b"), "z")
     return R.quadratic_road(px, ["frame"], "a", "b", "z").select("frame", F.round("cosine", 6).alias("cosine"), F.round("road_sd", 4).alias("road_sd"))
@@ -227,14 +253,42 @@ def _(t):
     return R.plane_3d(pts, ["frame"], ["PX", "PY", "PZ"]).select("frame", F.round("rms", 6).alias("rms"), F.round("tilt_deg", 4).alias("tilt_deg"))
 
 
-@query("depth_profile")
+OUTLINE = "bx AS (SELECT frame, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, max(x) AS x1, greatest(1,max(x)-min(x)) AS w, greatest(1,max(y)-min(y)) AS h FROM mk GROUP BY 1)"
+
+
+@query("depth_profile", f"""WITH {PX}, {MASK}, {NORM}, {OUTLINE}, g AS (SELECT frame, cx, cy, unnest(range(-CAST(floor(greatest(w,h)*1.5) AS INT), CAST(floor(greatest(w,h)*1.5) AS INT)+1)) AS t FROM bx),
+pt AS (SELECT frame, t, cut, CAST(trunc(round(cx+t*cos(pi()*cut/8),9)) AS INT) AS x, CAST(trunc(round(cy+t*sin(pi()*cut/8),9)) AS INT) AS y FROM g, (SELECT unnest(range(0,8)) AS cut)),
+o AS (SELECT frame, cut, t::DOUBLE AS t, (t*t)::DOUBLE AS t2, zn FROM pt JOIN nz USING (frame, x, y) WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.frame=pt.frame AND mk.x=pt.x AND mk.y=pt.y)), f AS ({_plane('o', 'zn', 't2', 't', 'frame, cut')}),
+ce AS (SELECT bx.frame, zn AS mid FROM bx JOIN nz ON nz.frame=bx.frame AND nz.x=CAST(trunc(cx) AS INT) AND nz.y=CAST(trunc(cy) AS INT)), cu AS (SELECT frame, abs(c-mid) AS bowl, abs(a) AS a, abs(b) AS b FROM f LEFT JOIN ce USING (frame) WHERE n>=6 AND a IS NOT NULL)
+SELECT frame, 1 AS outline, round(avg(bowl),6) AS mean_bowl_depth, round(max(bowl),6) AS max_bowl_depth, round(stddev_pop(bowl),6) AS std_bowl_depth, round(avg(a),7) AS mean_road_curvature, round(var_pop(b),8) AS slope_variance FROM bx LEFT JOIN cu USING (frame) GROUP BY 1""")
+def _(t):
+    got = rounded(R.depth_profile(pixels(t), mask(t), ["frame"], "outline", "z"), "mean_bowl_depth", "max_bowl_depth", "std_bowl_depth")
+    return rounded(rounded(got, "mean_road_curvature", digits=7), "slope_variance", digits=8)
+
+
+SEVERITY = {0: "Shallow", 1: "Moderate", 2: "Deep"}
+SLICE = f"""{PX}, {MASK}, {NORM}, {OUTLINE}, ln AS (SELECT bx.frame, nz.y, nz.x, nz.x-greatest(0,x0-CAST(floor(w*0.8) AS INT)) AS pos, zn AS d, EXISTS (SELECT 1 FROM mk WHERE mk.frame=nz.frame AND mk.x=nz.x AND mk.y=nz.y) AS i FROM bx JOIN nz ON nz.frame=bx.frame AND nz.y=CAST(trunc(cy) AS INT) AND nz.x BETWEEN greatest(0,x0-CAST(floor(w*0.8) AS INT)) AND x1+CAST(floor(w*0.8) AS INT)),
+ou AS (SELECT frame, pos::DOUBLE AS t, (pos*pos)::DOUBLE AS t2, d FROM ln WHERE NOT i), fo AS ({_plane('ou', 'd', 't2', 't', 'frame')}), lm AS (SELECT frame, min(pos) FILTER (i) AS lo, max(pos) FILTER (i) AS hi, count(*) FILTER (i) AS n, avg(d) FILTER (NOT i) AS mean FROM ln GROUP BY 1),
+rw AS MATERIALIZED (SELECT ln.frame, pos, i, d, lo, hi, frame%3<>0 AND lm.n>10 AS under, (frame//3)%3 AS sev, greatest(3,CAST(floor((hi-lo)*0.2) AS INT)) AS mg, CASE WHEN fo.n>=4 AND fo.a IS NOT NULL THEN fo.a*pos*pos+fo.b*pos+fo.c ELSE mean END AS road FROM ln JOIN lm USING (frame) LEFT JOIN fo USING (frame)),
+wl AS (SELECT frame, pos::DOUBLE AS t, (pos*pos)::DOUBLE AS t2, d FROM rw WHERE under AND (pos BETWEEN lo-5 AND lo+mg-1 OR pos BETWEEN hi-mg AND hi+4)), fw AS (SELECT * FROM ({_plane('wl', 'd', 't2', 't', 'frame')}) WHERE n>=3),
+pr AS (SELECT rw.*, fw.a, fw.b, fw.c, (hi-lo)*CASE sev WHEN 0 THEN 0.0002 WHEN 2 THEN 0.0012 ELSE 0.0006 END AS dm FROM rw LEFT JOIN fw USING (frame)),
+sl AS (SELECT frame, pos, i, d, road, coalesce(CASE WHEN under AND a IS NOT NULL THEN least(CASE WHEN a>=1e-5 THEN a*pos*pos+b*pos+c ELSE 4*dm/((hi-lo)*(hi-lo))*pow(pos-(lo+hi)/2.0,2)+road-dm END, road, CASE WHEN i THEN d END) END, d) AS pred FROM pr)"""
+
+
+def slices(t):
+    level = F.when(F.floor(c("frame") / 3) % 3 == 0, SEVERITY[0]).when(F.floor(c("frame") / 3) % 3 == 2, SEVERITY[2]).otherwise(SEVERITY[1])
+    facts = t.supplier.select(c("s_suppkey").alias("frame"), F.lit(1).alias("outline"), (c("s_suppkey") % 3 != 0).alias("wet")).withColumn("severity", level)
+    return R.depth_slice(pixels(t), mask(t), ["frame"], "outline", "z", facts)
+
+
+@query("depth_slice", f"WITH {SLICE} SELECT frame, 1 AS outline, pos AS \"at\", i AS in_mask, round(d,6) AS depth, round(road,6) AS road, round(pred,6) AS predicted FROM sl")
 def _(t):
-    return rounded(R.depth_profile(pixels(t), mask(t), ["frame"], "outline", "z"), "mean_bowl_depth", "max_bowl_depth", "std_bowl_depth")
+    return rounded(slices(t), "depth", "road", "predicted")
 
 
-@query("depth_slice")
+@query("slice_depths", f"WITH {SLICE} SELECT frame, 1 AS outline, round(coalesce(max(abs(road-d)) FILTER (i),0),6) AS bowl_depth, round(coalesce(max(abs(road-pred)) FILTER (i),0),6) AS predicted_bowl_depth FROM sl GROUP BY 1")
 def _(t):
-    return rounded(R.depth_slice(pixels(t), mask(t), ["frame"], "outline", "z"), "depth", "road")
+    return rounded(R.slice_depths(slices(t), KEY), "bowl_depth", "predicted_bowl_depth")
 
 
 @query("rasterise_outlines", """

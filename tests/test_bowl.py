@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators.bowl import normal_equations, recover_bowl, solved, with_terms
+from kerbline.functions.linear import solved
+from kerbline.operators.bowl import normal_equations, powers, recover_bowl, with_terms
 
 
 def frame(number, floor, wet=lambda d: d < 0.5, noise=0.0):
@@ -58,6 +59,5 @@ def test_solver_and_normal_equations(spark):
     assert np.allclose(good, np.linalg.solve(a, b)) and none is None is null
     pts = [(1, float(u), float(v), float(z)) for u, v, z in rng.normal(size=(200, 3))]
     coef = normal_equations(with_terms(spark.createDataFrame(pts, "k int, u double, v double, z double"), 3), ["k"], 3).first()["coef"]
-    from kerbline.operators.bowl import powers
     design = np.array([[u ** i * v ** j for i, j in powers(3)] for _, u, v, _ in pts])
     assert np.allclose(coef, np.linalg.lstsq(design, np.array([p[3] for p in pts]), rcond=None)[0])
