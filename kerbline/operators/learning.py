@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.functions.linear import solved
 from kerbline.operators.evaluation import regression_scores
 from kerbline.operators.ordered import percentiles
 
@@ -79,6 +80,42 @@ def regressors(features: str, label: str) -> dict:
             "boosting": GBTRegressor(maxIter=5, maxDepth=3, seed=SEED, **base)}
 
 
+def ridge_folds(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, alpha: float = 1.0) -> DataFrame:
+    """One ridge on standardised features per fold (``by``; several names are repeats and folds), fitted on all rows outside it: by..., n, intercept and coef, in the features' own units.
+
+    The rows are read once: every fold gives its sums of products, a fold's training sums are those of its repeat less its own, and each fit is a small system in closed form. Rows with a null
+    feature or label take no part; a feature without spread in the training rows has no weight.
+    """
+    *repeat, fold = by
+    x, k = [F.col(f).cast("double") for f in features], len(features)
+    known = df.where(F.forall(F.array(*x, F.col(label).cast("double")), lambda v: v.isNotNull()))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    y = F.col(label).cast("double")
+    own = known.groupBy(*by).agg(F.array(F.count(F.lit(1)).cast("double"), F.sum(y), *[F.sum(v) for v in x], *[F.sum(v * y) for v in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).alias("_s"))
+    size = 2 + 2 * k + len(pairs)
+    total = own.groupBy(*repeat).agg(F.array(*[F.sum(F.get("_s", F.lit(i))) for i in range(size)]).alias("_t"))
+    both = (own.join(total, repeat) if repeat else own.withColumn("_t", total.scalar())).select(*by, F.zip_with("_t", "_s", lambda t, s: t - s).alias("_s")).where(F.get("_s", F.lit(0)) > 0)
+    at = {**{("x", i): 2 + i for i in range(k)}, **{("xy", i): 2 + k + i for i in range(k)}, **{p: 2 + 2 * k + n for n, p in enumerate(pairs)}}
+    s = {key: F.get("_s", F.lit(i)) for key, i in at.items()}
+    n, mean_y = F.get("_s", F.lit(0)), F.get("_s", F.lit(1)) / F.get("_s", F.lit(0))
+    stats = both.select("*", n.alias("_n"), mean_y.alias("_y"), *[(s["x", i] / n).alias(f"_m{i}") for i in range(k)])
+    spread = [F.sqrt(F.greatest(s[i, i] / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{i}"), F.lit(0.0))) for i in range(k)]
+    stats = stats.select("*", *[F.when(v > 1e-12 * F.greatest(F.abs(f"_m{i}"), F.lit(1e-300)), v).otherwise(1.0).alias(f"_d{i}") for i, v in enumerate(spread)])
+    cross = lambda i, j: (s[min(i, j), max(i, j)] - F.col("_n") * F.col(f"_m{i}") * F.col(f"_m{j}")) / (F.col(f"_d{i}") * F.col(f"_d{j}"))
+    rows = [F.array(*[cross(i, j) + (alpha if i == j else 0.0) for j in range(k)], (s["xy", i] - F.col("_n") * F.col(f"_m{i}") * F.col("_y")) / F.col(f"_d{i}")) for i in range(k)]
+    fit = stats.withColumn("_w", solved(F.array(*rows), k)).withColumn("coef", F.transform("_w", lambda w, i: w / F.get(F.array(*[F.col(f"_d{j}") for j in range(k)]), i)))
+    shift = sum((F.get("coef", F.lit(i)) * F.col(f"_m{i}") for i in range(k)), F.lit(0.0))
+    return fit.select(*by, F.col("_n").cast("long").alias("n"), (F.col("_y") - shift).alias("intercept"), "coef")
+
+
+def ridge_out_of_fold(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, alpha: float = 1.0, out: str = "prediction") -> DataFrame:
+    """Rows with the prediction of the ridge that never saw their fold; null where it cannot be made. One row of coefficients per fold is broadcast."""
+    fits = ridge_folds(df, by, features, label, alpha).withColumnsRenamed({b: f"_f_{b}" for b in by}).drop("n")
+    met = df.join(F.broadcast(fits), [F.col(b).eqNullSafe(F.col(f"_f_{b}")) for b in by], "left")
+    value = sum((F.get("coef", F.lit(i)) * F.col(f).cast("double") for i, f in enumerate(features)), F.col("intercept"))
+    return met.withColumn(out, value).drop("coef", "intercept", *[f"_f_{b}" for b in by])
+
+
 def out_of_fold(df: DataFrame, fold: str, k: int, model) -> DataFrame:
     """Predictions of every row by a model that never saw its fold."""
     out = None

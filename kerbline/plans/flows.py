@@ -133,7 +133,26 @@ def _(t):
     return out.select("event_id", "user_id", "drive")
 
 
-# ── learning (rows only) ──
+ARRIVALS = """a AS (SELECT event_id, ts, CASE WHEN event_id%10=0 THEN 3 ELSE least(3, CAST(floor(4*epoch_us(ts-lo)/(epoch_us(hi-lo)+1)) AS INT)) END AS arrival FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events)),
+m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS wm FROM a WHERE arrival<2)"""
+
+
+@query("stream_late_rows", f"WITH {ARRIVALS} SELECT count(*) AS arrived, count(*) FILTER (arrival<3 OR ts>wm) AS kept, count(*) FILTER (arrival=3 AND ts<=wm) AS dropped FROM a, m")
+def _(t):
+    """Events arrive in four parts by time, every tenth only in the last one; what the watermark drops is read from the stream's progress. Rows are held against the watermark of the part before the last."""
+    lim = t.events.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
+    us = lambda v: F.unix_micros(v.cast("timestamp"))
+    quarter = F.floor(4 * (us(c("ts")) - us(lim.getField("lo"))) / (us(lim.getField("hi")) - us(lim.getField("lo")) + 1))
+    parts = t.events.select("event_id", c("ts").cast("timestamp").alias("at"), F.when(c("event_id") % 10 == 0, 3).otherwise(F.least(quarter.cast("int"), F.lit(3))).alias("arrival"))
+    folder = new_folder(t.spark, "arrivals")
+    for k in range(4):                                                          # files of a part are older than those of the next
+        parts.where(c("arrival") == k).select("event_id", "at").repartition(4).write.mode("append").parquet(folder)
+    arriving = K.read_stream(t.spark, folder, parts.select("event_id", "at").schema, per_trigger=4)
+    kept, dropped = K.late_rows(arriving, ["event_id"], "at", "1 hour", "late_rows")
+    return t.events.agg(F.count(F.lit(1)).alias("arrived")).select("arrived", F.lit(kept.count()).cast("long").alias("kept"), F.lit(dropped).cast("long").alias("dropped"))
+
+
+# ── learning: closed forms with SQL, the rest rows only ──
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -178,6 +197,39 @@ def _(t):
     return L.compare_models(measured(t), "fold", 3, L.regressors("features", "gt"), "gt")
 
 
+def _ridge(alpha: float) -> str:
+    """Ridge per fold from the training rows themselves, standardised, by elimination."""
+    k, f = len(FEATURES), FEATURES
+    stats = ", ".join(f"avg({v}) AS m{i}, stddev_pop({v}) AS d{i}" for i, v in enumerate(f))
+    z = ", ".join(f"({v}-m{i})/d{i} AS z{i}" for i, v in enumerate(f))
+    rows = ",".join("[" + ",".join(f"sum(z{i}*z{j})" + (f"+{alpha}" if i == j else "") for j in range(k)) + f",sum(z{i}*(gt-my))]" for i in range(k))
+    m = f"SELECT q, [{rows}] AS m FROM zs GROUP BY q"
+    for i in range(1, k + 1):
+        m = f"SELECT q, list_transform(m, lambda row, r: CASE WHEN r={i} THEN row ELSE list_transform(row, lambda a, n: a-row[{i}]/m[{i}][{i}]*m[{i}][n]) END) AS m FROM ({m})"
+    w = ", ".join(f"m[{i + 1}][{k + 1}]/m[{i + 1}][{i + 1}]/d{i} AS w{i}" for i in range(k))
+    return f"""me AS MATERIALIZED (SELECT l_orderkey, l_linenumber, {", ".join(f)}, l_extendedprice/1000 AS gt, l_orderkey%3 AS fold, l_suppkey%2 AS half FROM lineitem),
+tr AS (SELECT q.half AS qh, q.fold AS qf, me.* FROM me JOIN (SELECT DISTINCT half, fold FROM me) q ON q.half=me.half AND q.fold<>me.fold), zq AS (SELECT (qh, qf) AS q, * FROM tr), st AS (SELECT q, count(*) AS n, avg(gt) AS my, {stats} FROM zq GROUP BY q),
+zs AS (SELECT q, gt, my, {z} FROM zq JOIN st USING (q)), fit AS MATERIALIZED (SELECT q, n, my-{"-".join(f"w{i}*m{i}" for i in range(k))} AS b, {", ".join(f"w{i}" for i in range(k))} FROM (SELECT st.*, {w} FROM ({m}) JOIN st USING (q)))"""
+
+
+def grouped(t):
+    """Line items with a fold and a repeat: two halves of the suppliers, three folds of orders each."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", *FEATURES, (c("l_extendedprice") / 1000).alias("gt"), (c("l_orderkey") % 3).alias("fold"), (c("l_suppkey") % 2).alias("half"))
+
+
+@query("ridge_folds", f"WITH {_ridge(1.0)} SELECT q[1] AS half, q[2] AS fold, n, round(b,6) AS intercept, round(w0,6) AS w0, round(w1,6) AS w1, round(w2,6) AS w2 FROM fit")
+def _(t):
+    r = L.ridge_folds(grouped(t), ["half", "fold"], FEATURES, "gt")
+    return r.select("half", "fold", "n", F.round("intercept", 6).alias("intercept"), *[F.round(c("coef")[i], 6).alias(f"w{i}") for i in range(len(FEATURES))])
+
+
+@query("ridge_out_of_fold", f"""WITH {_ridge(1.0)}, p AS (SELECT half, abs(least(greatest(b+w0*l_quantity+w1*l_discount+w2*l_tax,0),250)-gt) AS e FROM me JOIN fit ON fit.q=(me.half, me.fold))
+SELECT half, count(*) AS n, round(avg(e),6) AS mae, round(avg((e<=10)::INT),6) AS within10, round(avg((e<=25)::INT),6) AS within25 FROM p GROUP BY 1""")
+def _(t):
+    p = L.ridge_out_of_fold(grouped(t), ["half", "fold"], FEATURES, "gt").withColumn("e", F.abs(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(250.0)) - c("gt")))
+    return p.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e"), 6).alias("mae"), F.round(F.avg((c("e") <= 10).cast("int")), 6).alias("within10"), F.round(F.avg((c("e") <= 25).cast("int")), 6).alias("within25"))
+
+
 @query("ordinal_grades")
 def _(t):
     e = t.events.select("event_id", "value", c("user_id").cast("double").alias("u"), F.least(F.floor(c("value") / 40) + 1, F.lit(5)).cast("int").alias("y"))

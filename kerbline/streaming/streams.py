@@ -59,6 +59,20 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def late_rows(stream: DataFrame, key: Sequence[str], ts: str, late: str, name: str) -> tuple[DataFrame, int]:
+    """The rows that arrive in time, once each, and how many came after the watermark had passed them, as the query's progress reports.
+
+    The watermark follows ``late`` behind the newest row of a micro-batch and drops rows from the second micro-batch after it on; a batch run over all rows has what was dropped here too.
+    """
+    spark = stream.sparkSession
+    out, mark = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
+    timely = stream.withWatermark(ts, late).dropDuplicates([*key, ts])
+    q = timely.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q.awaitTermination()
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), dropped
+
+
 def drain_batches(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a batch operator on every micro-batch, each into its own folder so that a retried batch replaces itself."""
     spark = stream.sparkSession
