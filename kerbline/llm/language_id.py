@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,18 +16,19 @@ from kerbline.llm.flat import BASE, between, inverse_powers, mixed, prefix_hash,
 
 ADDED = ["lang_pred", "score"]
 MARK = "▁"                 # a piece that begins a word begins with this
-LONGEST = 16                    # letters of a piece
-WORD = 64                       # letters of a word; longer runs are cut into words of this length
+WORD = 64                       # letters up to which words are scored side by side; longer ones one by one, and the fit leaves them out
+SLICE = 300_000                 # characters that a task takes at a time
 SCALE = 64.0                    # probability per letter is multiplied by this, so that products keep to the range of a double
 UNKNOWN = 1e-7                  # of a letter that is no piece
 
 
 def pieces(path: str) -> list[str]:
-    """Pieces of a public vocabulary that can occur in lower-case words."""
+    """Pieces of a public vocabulary that can occur in words: lower-case letters, with or without the mark of a beginning. Left out are control, byte and unknown pieces and those that
+    hold capitals, digits, punctuation or signs, none of which a lower-cased run of letters can contain."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in found if p == p.lower() and p.removeprefix(MARK).isalpha() and len(p) <= LONGEST)
+    return sorted(p for p in found if p == p.lower() and p.removeprefix(MARK).isalpha())
 
 
 def letters(codes: np.ndarray) -> np.ndarray:
@@ -53,19 +57,35 @@ def word_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     is_letter[1:-1] = letters(codes)
     edge = np.diff(is_letter)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(start) and (end - start).max() > WORD:
-        parts = -(-(end - start) // WORD)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, stop = np.repeat(start, parts) + nth * WORD, np.repeat(end, parts)
-        end = np.minimum(start + WORD, stop)
     return codes, np.searchsorted(np.cumsum(sizes + 1), start, side="right"), start, end
 
 
+def parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(number of the text of each part, parts) with about ``SLICE`` characters at a time; longer texts are cut after a character that is no letter."""
+    number, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            end = min(len(text), at + SLICE)
+            while end < len(text) and text[end - 1].isalpha():
+                end += 1
+            number.append(i)
+            held.append(text[at:end])
+            size, at = size + end - at + 1, end
+            if size >= SLICE:
+                yield np.array(number), held
+                number, held, size = [], [], 0
+            if not text:
+                break
+    if held:
+        yield np.array(number), held
+
+
 class Lattice:
     """All ways to cut words into pieces of a vocabulary."""
 
     def __init__(self, vocabulary: list[str]):
-        self.size = len(vocabulary)
+        self.size, self.longest = len(vocabulary), max(map(len, vocabulary), default=1)
         flat = scattered(codes_of("".join(vocabulary)))
         stop = np.cumsum([len(p) for p in vocabulary])
         own = between(prefix_hash(flat), np.concatenate([[0], stop[:-1]]), stop)
@@ -78,16 +98,37 @@ class Lattice:
         codes = codes_of(MARK + MARK.join(words))
         lens = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
         first = np.cumsum(lens) - lens
-        left = np.repeat(first + lens, lens) - np.arange(len(codes))
+        return first, lens, self.places(codes, np.repeat(first + lens, lens) - np.arange(len(codes)))
+
+    def places(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The piece that begins at each place by length; ``left`` is what is left of the word there."""
         prefix = prefix_hash(scattered(codes))
         inverse_powers(len(prefix))
-        at = np.full((LONGEST, len(codes)), self.size + 1, dtype=np.int32)
-        for k in range(1, LONGEST + 1):
+        at = np.full((self.longest, len(codes)), self.size + 1, dtype=np.int32)
+        for k in range(1, self.longest + 1):
             start = np.flatnonzero(left >= k)
             h = between(prefix, start, start + k)
             i = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
             at[k - 1, start] = np.where(self.sorted[i] == h, self.order[i], self.size + (k > 1))
-        return first, lens, at
+        return at
+
+    def long_score(self, word: str, p: np.ndarray, step: int = 50_000) -> np.ndarray:
+        """Log probability of one word of any length: only the last places of the forward pass are held, brought to size one as they go, and pieces are looked up a slice at a time."""
+        codes = codes_of(MARK + word)
+        ahead, log = np.zeros((self.longest + 1, p.shape[1])), np.zeros(p.shape[1])
+        ahead[0] = 1.0
+        for lo in range(0, len(codes), step):
+            n = min(step, len(codes) - lo)
+            some = codes[lo:lo + n + self.longest - 1]
+            at = self.places(some, len(some) - np.arange(len(some)))
+            for s in range(n):
+                ahead[1:] += ahead[0] * p[at[:, s]]
+                ahead[:-1], ahead[-1] = ahead[1:].copy(), 0.0
+                if (lo + s) % 8 == 7:
+                    size = np.maximum(ahead.max(axis=0), 1e-300)
+                    ahead /= size
+                    log += np.log(size)
+        return log + np.log(np.maximum(ahead[0], 1e-300))
 
     def forward(self, lat, p: np.ndarray) -> np.ndarray:
         """Scaled probability of each word's beginning up to each place, one column per language; a word has a place more than letters."""
@@ -99,7 +140,7 @@ class Lattice:
         for e in range(1, int(lens.max(initial=0)) + 1):
             live = order[:np.searchsorted(-lens[order], -e, side="right")]
             total = np.zeros((len(live), p.shape[1]))
-            for k in range(1, min(LONGEST, e) + 1):
+            for k in range(1, min(self.longest, e) + 1):
                 piece = at[k - 1, first[live] + e - k]
                 has = np.flatnonzero(piece <= self.size)
                 total[has] += a[off[live[has]] + e - k] * p[piece[has]] * SCALE ** k
@@ -108,24 +149,27 @@ class Lattice:
 
     def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word, summed over its segmentations, per language."""
-        out = []
-        for lo, hi in slices([(len(w) + 1) * p.shape[1] for w in words], 4_000_000):
-            lat = self.of(words[lo:hi])
+        out, short = np.zeros((len(words), p.shape[1])), [i for i, w in enumerate(words) if len(w) <= WORD]
+        for lo, hi in slices([(len(words[i]) + 1) * p.shape[1] for i in short], 1_000_000):
+            lat = self.of([words[i] for i in short[lo:hi]])
             end = lat[0] + np.arange(hi - lo) + lat[1]
-            out.append(np.log(np.maximum(self.forward(lat, p)[end], 1e-300)) - lat[1][:, None] * np.log(SCALE))
-        return np.concatenate(out) if out else np.zeros((0, p.shape[1]))
+            out[short[lo:hi]] = np.log(np.maximum(self.forward(lat, p)[end], 1e-300)) - lat[1][:, None] * np.log(SCALE)
+        for i, w in enumerate(words):
+            if len(w) > WORD:
+                out[i] = self.long_score(w, p)
+        return out
 
     def expected(self, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words of one language, each word counted n times."""
         counts = np.zeros(self.size + 1)
-        for lo, hi in slices([len(w) + 1 for w in words], 1_000_000):
+        for lo, hi in slices([len(w) + 1 for w in words], 250_000):
             lat = first, lens, at = self.of(words[lo:hi])
             a, off = self.forward(lat, p)[:, 0], first + np.arange(hi - lo)
             b = np.zeros(len(a))
             b[off + lens] = 1.0
             weight = np.divide(n[lo:hi], a[off + lens], out=np.zeros(hi - lo), where=a[off + lens] > 0)
             for e in range(int(lens.max(initial=0)) - 1, -1, -1):
-                for k in range(1, LONGEST + 1):
+                for k in range(1, self.longest + 1):
                     live = np.flatnonzero(lens >= e + k)
                     piece = at[k - 1, first[live] + e]
                     live, piece = live[piece <= self.size], piece[piece <= self.size]
@@ -144,7 +188,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 codes, _, start, end = word_runs([text])
                 low = text.lower()
-                by.setdefault(lang, Counter()).update(low[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True))
+                by.setdefault(lang, Counter()).update(low[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True) if e - s <= WORD)
             for lang, c in by.items():
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": list(c.values())})
     return sample.select("_lang", "_text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -189,8 +233,8 @@ def identify(docs: DataFrame, train: Column, vocabulary_path: str, per_language:
 
     Each language has a probability for every piece of a fixed public vocabulary, fitted on the rows where ``train`` holds and a language is
     given: at most about ``per_language`` texts of each, a bound of the fit alone. A word's probability is the sum over all
-    its segmentations, by a forward pass; a text's is the product over its words, so every letter of a whole text counts. Words are scored
-    once per batch and remembered up to a bounded number.
+    its segmentations, by a forward pass, however long the word; a text's is the product over its words, so every letter of a whole text counts. Words are scored
+    once per slice of a batch and remembered up to a bounded number. Texts of any length are read a slice at a time. The fit leaves out words of more than ``WORD`` letters.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if nothing could be learned. Ties go to the language
     that sorts first. Repeated rows get equal results; input columns named like an added one are replaced.
@@ -204,13 +248,15 @@ def identify(docs: DataFrame, train: Column, vocabulary_path: str, per_language:
     def score(batches):
         known, table = np.zeros(0, dtype=np.uint64), np.zeros((0, len(langs)))
         for batch in batches:
-            texts = [x or "" for x in batch.column("_row").field(text_col).to_pylist()]
-            pred, sure = [], []
-            for lo, hi in slices([len(x) + 1 for x in texts], 3_000_000):
-                some = texts[lo:hi]
-                codes, doc, start, end = word_runs(some)
-                total = np.zeros((len(some), len(langs)))
-                if len(start) and langs:
+            texts = batch.column("_row").field(text_col)
+            sizes = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices([int(n) + 1 for n in sizes], SLICE):
+                some = [x or "" for x in texts.slice(lo, hi - lo).to_pylist()]
+                total, has = np.zeros((len(some), len(langs))), np.zeros(len(some), dtype=bool)
+                for doc, part in (parts(some) if langs else ()):
+                    codes, nth, start, end = word_runs(part)
+                    if not len(start):
+                        continue
                     h, one, inverse = np.unique(between(prefix_hash(scattered(codes)), start, end), return_index=True, return_inverse=True)
                     if len(known) > 400_000:
                         known, table = known[:0], table[:0]
@@ -219,17 +265,17 @@ def identify(docs: DataFrame, train: Column, vocabulary_path: str, per_language:
                     text = codes.tobytes().decode("utf-32-le", "surrogatepass")
                     more = lattice.scores([text[s:e] for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)], p)
                     known, table = np.insert(known, at[new], h[new]), np.insert(table, at[new], more, axis=0)
-                    by_word = table[np.searchsorted(known, h)]
+                    by_word, of = table[np.searchsorted(known, h)], doc[nth]
+                    has[of] = True
                     for k in range(len(langs)):
-                        total[:, k] = np.bincount(doc, by_word[inverse, k], len(some))
-                has = np.bincount(doc, minlength=len(some)) > 0 if langs else np.zeros(len(some), dtype=bool)
+                        total[:, k] += np.bincount(of, by_word[inverse, k], len(some))
+                pred, sure = ["und"] * len(some), [0.0] * len(some)
                 if langs:
                     best = total.argmax(axis=1)
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
-                    top = 1.0 / odds.sum(axis=1)
-                pred += [langs[best[i]] if has[i] else "und" for i in range(len(some))]
-                sure += [float(top[i]) if has[i] else 0.0 for i in range(len(some))]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=["_row", *ADDED])
+                    top = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                    pred = [langs[best[i]] if has[i] else "und" for i in range(len(some))]
+                    sure = [float(top[i]) if has[i] else 0.0 for i in range(len(some))]
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=["_row", *ADDED])
 
     out = work.mapInArrow(score, T.StructType([T.StructField("_row", row_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return out.select("_row.*", *ADDED)
