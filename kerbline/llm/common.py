@@ -22,9 +22,10 @@ def pack(df: DataFrame, added: Sequence[str], **named: str) -> DataFrame:
     """The columns an operator works on under names of its own, and all others, but those it adds, as one struct ``_row``.
 
     So no column of the input, whatever its name, can collide with a working column; an input column named like an added
-    one gives way to it.
+    one, in capitals or not, gives way to it.
     """
-    rest = [c for c in df.columns if c not in set(added)]
+    gone = {a.lower() for a in added}
+    rest = [c for c in df.columns if c.lower() not in gone]
     return df.select(F.struct(*[df[f"`{c}`"] for c in rest]).alias("_row"), *[df[f"`{c}`"].alias(k) for k, c in named.items()])
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,7 +123,7 @@ def index_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             text, ids = batch.column("_text"), batch.column("_id")
-            size = np.frombuffer(pa.compute.binary_length(text).fill_null(0).cast(pa.int64()).buffers()[1], dtype=np.int64)[:batch.num_rows]
+            size = np.frombuffer(pc.binary_length(text).fill_null(0).cast(pa.int64()).buffers()[1], dtype=np.int64)[:batch.num_rows]
             cuts = np.flatnonzero(np.diff(np.cumsum(size) // PIECE_BYTES)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if hi > lo:

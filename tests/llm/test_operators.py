@@ -394,3 +394,56 @@ def test_hashes_of_the_queries(spark):
     for r in rows:
         if r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == 0:
             assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """A run of 1,000 letters has the sum over all its segmentations, also when its pieces are looked up a few letters at a time."""
+    from kerbline.llm.language_id import MARK, Lattice
+    vocabulary = sorted([MARK, MARK + "a", "a", "ab", "abbab", "b", "ba", "c"])
+    lattice, rng = Lattice(vocabulary), np.random.default_rng(1)
+    p = np.vstack([rng.random((len(vocabulary), 3)), [[1e-7] * 3, [0.0] * 3]])
+    at = {x: i for i, x in enumerate(vocabulary)}
+    word = "".join(rng.choice(list("abcz"), size=1000, p=[.5, .3, .15, .05]))
+    s = MARK + word
+    log, way = [np.zeros(3)], None
+    for e in range(1, len(s) + 1):                                             # plain recursion in logarithms
+        way = [log[e - k] + np.log(p[at[s[e - k:e]]] if s[e - k:e] in at else p[-2]) for k in range(1, min(e, 6) + 1) if s[e - k:e] in at or k == 1]
+        log.append(np.logaddexp.reduce(way))
+    for step in (50_000, 7):
+        assert np.allclose(lattice.long_score(word, p, step), log[-1])
+    assert np.allclose(lattice.scores([word, "ab"], p)[0], log[-1])
+    assert np.allclose(lattice.long_score("ab" * 30, p), lattice.scores(["ab" * 30], p)[0])
+
+
+def test_long_texts_are_read_in_slices(spark, monkeypatch):
+    from kerbline.llm import language_id as m
+    texts = [prose(3, 400), "", "x" * 500 + " end", "no1digits2here " * 30]
+    whole = m.word_runs(texts)
+    monkeypatch.setattr(m, "SLICE", 50)
+    got = []
+    for doc, part in m.parts(texts):
+        codes, nth, start, end = m.word_runs(part)
+        text = codes.tobytes().decode("utf-32-le")
+        got += [(int(doc[n]), text[s:e]) for n, s, e in zip(nth, start, end, strict=True)]
+    text = whole[0].tobytes().decode("utf-32-le")
+    assert got == [(int(n), text[s:e]) for n, s, e in zip(*whole[1:], strict=True)]
+
+
+def test_clashing_names_in_capitals(spark):
+    from kerbline.llm.line_dedup import line_dedup
+    from kerbline.llm.mixing import mix_draws
+    df = spark.createDataFrame([(1, "a b", "x", "in", "in", "in")], "doc_id long, text string, source string, N_LINES string, SIZE string, `a.b` string")
+    assert line_dedup(df).columns == ["doc_id", "text", "source", "SIZE", "a.b", "n_lines", "n_dropped", "kept_text"] and line_dedup(df).count() == 1
+    assert "SIZE" not in mix_draws(df).columns and mix_draws(df).count() == 1
+
+
+def test_line_dedup_of_a_text_of_200_000_lines(spark):
+    import time
+
+    from kerbline.llm.line_dedup import line_dedup
+    text = "\n".join(f"line number {i:07d} of a very long document that is there six times" for i in range(200_000))
+    df = spark.range(6).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    start = time.time()
+    got = {r[0]: r[1:] for r in line_dedup(df).select("doc_id", "n_lines", "n_dropped", F.length("kept_text")).collect()}
+    assert got == {i: (200_000, 200_000, 0) for i in range(5)} | {5: (200_000, 0, len(text))}
+    assert time.time() - start < 90
