@@ -60,14 +60,21 @@ def band(mm: Column, moderate_from=SHALLOW_MAX_MM, deep_from=MODERATE_MAX_MM) ->
     return F.when(mm < moderate_from, "Shallow").when(mm < deep_from, "Moderate").when(mm.isNotNull(), "Deep")
 
 
-def served_depth(relief: Column, regressor: Column, relief_q80: Column, regressor_q80: Column) -> Column:
-    """Relief reading first, else the regressor, else null; with its error interval."""
-    mm = clip(F.coalesce(relief, regressor), 0.0, MAX_PLAUSIBLE_MM)
-    q80 = F.when(relief.isNotNull(), relief_q80).otherwise(regressor_q80)
+def served_depth(relief: Column, regressor: Column, relief_q80: Column, regressor_q80: Column, zoomed: Column | None = None, relief_cuts: tuple[float, float] = (SHALLOW_MAX_MM, MODERATE_MAX_MM),
+                 regressor_cuts: tuple[float, float] = (SHALLOW_MAX_MM, MODERATE_MAX_MM)) -> Column:
+    """What is served for a depth: the relief reading (of the close-up where there is one), else the regressor's, else null.
+
+    Fields: depth_mm, interval_mm (width to either side), low_mm and high_mm, severity (at the cut-offs of the estimator that is served), band (at those of a measured depth), source, and
+    read_from (close-up or frame, null for the regressor). Without an error interval its three fields are null.
+    """
+    read = relief if zoomed is None else F.coalesce(zoomed, relief)
+    mm = clip(F.coalesce(read, regressor), 0.0, MAX_PLAUSIBLE_MM)
+    q80 = F.when(read.isNotNull(), relief_q80).otherwise(regressor_q80)
+    close = F.lit(False) if zoomed is None else zoomed.isNotNull()
     return F.when(mm.isNotNull(), F.struct(
-        F.bround(mm, 1).alias("depth_mm"), F.bround(F.greatest(mm - q80, F.lit(0.0)), 1).alias("low_mm"),
-        F.bround(mm + q80, 1).alias("high_mm"), F.when(relief.isNotNull(), "relief").otherwise("regressor").alias("source"),
-        band(mm).alias("band")))
+        F.bround(mm, 1).alias("depth_mm"), F.bround(q80, 1).alias("interval_mm"), F.bround(F.when(q80.isNotNull(), F.greatest(mm - q80, F.lit(0.0))), 1).alias("low_mm"),
+        F.bround(mm + q80, 1).alias("high_mm"), F.when(read.isNotNull(), band(mm, *relief_cuts)).otherwise(band(mm, *regressor_cuts)).alias("severity"), band(mm).alias("band"),
+        F.when(read.isNotNull(), "relief").otherwise("regressor").alias("source"), F.when(close, "close-up").when(read.isNotNull(), "frame").alias("read_from")))
 
 
 def semantic_override(consensus: Column, rule: Column, ratio: Column, patches: Column) -> Column:

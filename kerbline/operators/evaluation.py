@@ -26,11 +26,25 @@ def stack(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column], nam
 
 
 def regression_scores(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), within: Sequence[float] = (10, 25)) -> DataFrame:
-    """MAE, bias, RMSE, correlation and shares within a distance, per ``by``."""
+    """MAE, bias, RMSE, correlation and shares within a distance, per ``by``. Distances hold to nine digits, so an error of exactly the limit counts whatever its last bit."""
     e = F.col(pred) - F.col(truth)
     return df.where(e.isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.corr(pred, truth).alias("r"), *[one_hot_mean(F.abs(e) <= k).alias(f"within{k:g}") for k in within])
+        F.corr(pred, truth).alias("r"), *[one_hot_mean(F.round(F.abs(e), 9) <= k).alias(f"within{k:g}") for k in within])
+
+
+def share_within(df: DataFrame, truth: str, plain: str, zoomed: str, within: Sequence[float] = (10, 25), by: Sequence[str] = ()) -> DataFrame:
+    """How much a close-up gains: scores of the plain reading and of what is served (the close-up where it applies), over all rows and for those where it applies and where it does not.
+
+    One row per ``by`` and subset: n, and for either reading MAE, bias and the shares within each distance. Rows without truth or plain reading take no part.
+    """
+    served = F.coalesce(zoomed, plain)
+    rows = df.where(F.col(truth).isNotNull() & F.col(plain).isNotNull()).withColumn("subset", F.explode(F.array(F.lit("all"), F.when(F.col(zoomed).isNull(), "no zoom").otherwise("zoom applies"))))
+    out = []
+    for name, reading in (("plain", F.col(plain)), ("zoomed", served)):
+        e = reading - F.col(truth)
+        out += [F.avg(F.abs(e)).alias(f"{name}_mae"), F.avg(e).alias(f"{name}_bias"), *[one_hot_mean(F.round(F.abs(e), 9) <= k).alias(f"{name}_within{k:g}") for k in within]]
+    return rows.groupBy(*by, "subset").agg(F.count(F.lit(1)).alias("n"), *out)
 
 
 def classification_scores(df: DataFrame, truth: Column, pred: Column, by: Sequence[str] = ()) -> DataFrame:

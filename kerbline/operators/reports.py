@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.geometry import polygon_area
 from kerbline.functions.grading import age_factor, band, severity_rank
 
 # fixed values: cubic cm per cubic foot and repair cost per cubic foot, as the segment report uses them
@@ -83,3 +84,14 @@ def insight_rollup(df: DataFrame, method: str, truth: str, pred: str, moderate_f
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(pred).isNull()).alias("missed"), F.avg(F.abs(F.col(pred) - F.col(truth))).alias("mae"),
         F.avg((p == y).cast("int")).alias("correct"), F.count_if(severity_rank(F.coalesce(p, F.lit(""))) < severity_rank(y)).alias("under"))
     return board.withColumn("place", F.row_number().over(Window.orderBy("mae", method)))
+
+
+def outlines_per_image(images: DataFrame, outlines: DataFrame, image: str) -> DataFrame:
+    """How many images have how many outlines; images without any count as 0."""
+    n = outlines.groupBy(image).agg(F.count(F.lit(1)).alias("_n"))
+    return images.select(image).distinct().join(n, image, "left").groupBy(F.coalesce("_n", F.lit(0)).alias("outlines")).agg(F.count(F.lit(1)).alias("images"))
+
+
+def mean_area(outlines: DataFrame, source: str, points: str) -> DataFrame:
+    """Outlines with three points or more of each source and their mean polygon area, in the units of the points."""
+    return outlines.where(F.size(points) >= 3).groupBy(source).agg(F.count(F.lit(1)).alias("outlines"), F.avg(polygon_area(F.col(points))).alias("mean_area"))

@@ -27,13 +27,13 @@ def rounded(df, *names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-SCORES = "count(*) AS n, round(avg(abs(pred-gt)),6) AS mae, round(avg(pred-gt),6) AS bias, round(sqrt(avg((pred-gt)*(pred-gt))),6) AS rmse, round(corr(pred,gt),6) AS r, round(avg((abs(pred-gt)<=10.0001)::INT),6) AS within10_05, round(avg((abs(pred-gt)<=25)::INT),6) AS within25"
+SCORES = "count(*) AS n, round(avg(abs(pred-gt)),6) AS mae, round(avg(pred-gt),6) AS bias, round(sqrt(avg((pred-gt)*(pred-gt))),6) AS rmse, round(corr(pred,gt),6) AS r, round(avg((round(abs(pred-gt),9)<=10)::INT),6) AS within10, round(avg((round(abs(pred-gt),9)<=25)::INT),6) AS within25"
 
 
-@query("regression_scores", f"WITH {PAIR} SELECT camera, {SCORES.replace('10.0001', '10.05')} FROM p GROUP BY 1")
+@query("regression_scores", f"WITH {PAIR} SELECT camera, {SCORES} FROM p GROUP BY 1")
 def _(t):
-    s = E.regression_scores(pairs(t), "gt", "pred", ["camera"], (10.05, 25))
-    return rounded(s.withColumnRenamed("within10.05", "within10_05"), "mae", "bias", "rmse", "r", "within10_05", "within25")
+    s = E.regression_scores(pairs(t), "gt", "pred", ["camera"])
+    return rounded(s, "mae", "bias", "rmse", "r", "within10", "within25")
 
 
 BIN = "SELECT count(*) FILTER (q AND x) AS tp, count(*) FILTER (NOT q AND x) AS fp, count(*) FILTER (q AND NOT x) AS fn, count(*) FILTER (NOT q AND NOT x) AS tn"
@@ -297,14 +297,11 @@ def _(t):
 
 @query("share_within_zoomed", f"""WITH {PAIR}, z AS (SELECT camera, gt, pred AS plain, CASE WHEN part%3=0 THEN (pred+gt)/2 END AS zoomed FROM p), s AS (SELECT *, coalesce(zoomed,plain) AS served FROM z),
 x AS (SELECT 'all' AS subset, * FROM s UNION ALL SELECT CASE WHEN zoomed IS NULL THEN 'no zoom' ELSE 'zoom applies' END, * FROM s)
-SELECT subset, count(*) AS n, round(avg(abs(plain-gt)),6) AS plain_mae, round(avg(plain-gt),6) AS plain_bias, round(avg(abs(served-gt)),6) AS zoomed_mae, round(avg(served-gt),6) AS zoomed_bias FROM x GROUP BY 1""")
+SELECT subset, count(*) AS n, round(avg(abs(plain-gt)),6) AS plain_mae, round(avg(plain-gt),6) AS plain_bias, round(avg((round(abs(plain-gt),9)<=10)::INT),6) AS plain_within10, round(avg((round(abs(plain-gt),9)<=25)::INT),6) AS plain_within25,
+round(avg(abs(served-gt)),6) AS zoomed_mae, round(avg(served-gt),6) AS zoomed_bias, round(avg((round(abs(served-gt),9)<=10)::INT),6) AS zoomed_within10, round(avg((round(abs(served-gt),9)<=25)::INT),6) AS zoomed_within25 FROM x GROUP BY 1""")
 def _(t):
-    p = pairs(t).withColumn("zoomed", F.when(c("part") % 3 == 0, (c("pred") + c("gt")) / 2)).withColumn("served", F.coalesce("zoomed", "pred"))
-    kind = F.when(c("zoomed").isNull(), "no zoom").otherwise("zoom applies")
-    e = lambda v: c(v) - c("gt")
-    out = p.withColumn("subset", kind).rollup("subset").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e("pred"))).alias("plain_mae"), F.avg(e("pred")).alias("plain_bias"),
-                                                           F.avg(F.abs(e("served"))).alias("zoomed_mae"), F.avg(e("served")).alias("zoomed_bias"))
-    return rounded(out.withColumn("subset", F.coalesce("subset", F.lit("all"))), "plain_mae", "plain_bias", "zoomed_mae", "zoomed_bias")
+    s = E.share_within(pairs(t).withColumn("zoomed", F.when(c("part") % 3 == 0, (c("pred") + c("gt")) / 2)), "gt", "pred", "zoomed")
+    return rounded(s, *[n for n in s.columns if n not in ("subset", "n")])
 
 
 @query("shape_agreement", f"""
@@ -372,9 +369,16 @@ def _(t):
 
 @query("outlines_per_image", "WITH n AS (SELECT o_orderkey, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1) SELECT k AS outlines, count(*) AS images FROM n GROUP BY 1")
 def _(t):
-    n = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k"))
-    j = t.orders.select("o_orderkey").join(n, c("o_orderkey") == c("l_orderkey"), "left")
-    return j.groupBy(F.coalesce("k", F.lit(0)).alias("outlines")).agg(F.count(F.lit(1)).alias("images"))
+    return R.outlines_per_image(t.orders.select("o_orderkey"), t.lineitem.select(c("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("mean_area_by_source", """WITH b AS (SELECT l_returnflag AS source, (l_quantity+l_discount*50)/200 AS w, (5+l_tax*100)/100 AS h FROM lineitem)
+SELECT source, count(*) AS outlines, round(avg(w*h),7) AS mean_area FROM b GROUP BY 1""")
+def _(t):
+    w, h = (c("l_quantity") + c("l_discount") * 50) / 200, (5 + c("l_tax") * 100) / 100
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    o = t.lineitem.select(c("l_returnflag").alias("source"), F.array(pt(F.lit(0.1), F.lit(0.2)), pt(0.1 + w, F.lit(0.2)), pt(0.1 + w, 0.2 + h), pt(F.lit(0.1), 0.2 + h)).alias("pts"))
+    return R.mean_area(o, "source", "pts").select("source", "outlines", F.round("mean_area", 7).alias("mean_area"))
 
 
 @query("repair_rows", "SELECT l_suppkey, l_linenumber, count(*) AS area_px, round(max(l_discount),6) AS max_depth, round(avg(l_discount),6) AS mean_depth, round(sum(l_discount)*0.25*50,4) AS volume_cm3 FROM lineitem GROUP BY 1,2")

@@ -35,14 +35,16 @@ def _(t):
 
 
 @query("served_interval", f"""
-WITH s AS (SELECT {K}, CASE WHEN l_returnflag='A' THEN l_quantity*6 END AS rel, CASE WHEN l_returnflag<>'R' THEN l_quantity*5.5 END AS reg FROM lineitem),
-m AS (SELECT {K}, rel IS NOT NULL AS r, CASE WHEN rel IS NULL AND reg IS NULL THEN NULL ELSE least(greatest(coalesce(rel,reg),0),250) END AS mm FROM s)
-SELECT {K}, mm AS depth_mm, round_even(CASE WHEN mm IS NOT NULL THEN greatest(mm-CASE WHEN r THEN 13.25 ELSE 18.5 END,0) END,1) AS low_mm,
-round_even(mm+CASE WHEN r THEN 13.25 ELSE 18.5 END,1) AS high_mm, CASE WHEN mm IS NULL THEN NULL WHEN r THEN 'relief' ELSE 'regressor' END AS source FROM m""")
+WITH s AS (SELECT {K}, CASE WHEN l_returnflag='A' THEN l_quantity*6 END AS rel, CASE WHEN l_returnflag='A' AND l_linestatus='F' AND l_linenumber>3 OR l_linenumber=7 THEN l_quantity*5 END AS zo, CASE WHEN l_returnflag<>'R' THEN l_quantity*5.5 END AS reg FROM lineitem),
+m AS (SELECT *, coalesce(zo, rel) IS NOT NULL AS r, CASE WHEN coalesce(zo, rel, reg) IS NULL THEN NULL ELSE least(greatest(coalesce(zo,rel,reg),0),250) END AS mm FROM s), q AS (SELECT *, CASE WHEN r THEN 13.25 ELSE 18.5 END AS q80 FROM m WHERE mm IS NOT NULL)
+SELECT {K}, round_even(mm,1) AS depth_mm, CASE WHEN mm IS NOT NULL THEN round_even(q80,1) END AS interval_mm, round_even(greatest(mm-q80,0),1) AS low_mm, round_even(mm+q80,1) AS high_mm, CASE WHEN r THEN CASE WHEN mm<22.5 THEN 'Shallow' WHEN mm<48 THEN 'Moderate' ELSE 'Deep' END
+WHEN mm<19 THEN 'Shallow' WHEN mm<41 THEN 'Moderate' ELSE 'Deep' END AS severity, CASE WHEN mm<25 THEN 'Shallow' WHEN mm<50 THEN 'Moderate' ELSE 'Deep' END AS band, CASE WHEN r THEN 'relief' ELSE 'regressor' END AS source, CASE WHEN zo IS NOT NULL THEN 'close-up' WHEN r THEN 'frame' END AS read_from FROM q
+UNION ALL SELECT {K}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM m WHERE mm IS NULL""")
 def _(t):
     rel, reg = F.when(c("l_returnflag") == "A", c("l_quantity") * 6), F.when(c("l_returnflag") != "R", c("l_quantity") * 5.5)
-    out = D.served_depth(rel, reg, F.lit(13.25), F.lit(18.5))
-    return t.lineitem.select(*KEY, out.alias("s")).select(*KEY, "s.depth_mm", "s.low_mm", "s.high_mm", "s.source")
+    zoomed = F.when((c("l_returnflag") == "A") & (c("l_linestatus") == "F") & (c("l_linenumber") > 3) | (c("l_linenumber") == 7), c("l_quantity") * 5)
+    out = D.served_depth(rel, reg, F.lit(13.25), F.lit(18.5), zoomed, (22.5, 48.0), (19.0, 41.0))
+    return t.lineitem.select(*KEY, out.alias("s")).select(*KEY, "s.*")
 
 
 SEV = "CASE l_returnflag WHEN 'A' THEN 'Deep' WHEN 'N' THEN 'Moderate' ELSE 'Shallow' END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbline.operators import annotation as N
+from kerbline.operators import detection as X
 from kerbline.operators import joins as J
 from kerbline.operators import quality as Q
 from kerbline.operators import windows as W
@@ -55,17 +56,12 @@ def _(t):
     return matched(t).withColumn("best_iou", F.round("best_iou", 6))
 
 
-@query("detection_scores", f"""WITH {BEST}, fp AS (SELECT count(*) AS n FROM sb LEFT JOIN (SELECT frame, pred, max(iou) AS best FROM i GROUP BY ALL) m ON m.frame=sb.frame AND m.pred=sb.outline WHERE coalesce(best,0)<0.05)
-SELECT count(*) AS potholes, round(avg((best_iou>=0.1)::INT),6) AS found_strict, round(avg((best_iou>=0.05)::INT),6) AS found, round(avg(best_iou),6) AS mean_iou,
-(SELECT n FROM fp) AS false_outlines FROM f""")
+@query("detection_scores", f"""WITH {BEST.replace("best>=0.05", "best>=0.1")}, fp AS (SELECT count(*) AS n FROM sb LEFT JOIN (SELECT frame, pred, max(iou) AS best FROM i GROUP BY ALL) m ON m.frame=sb.frame AND m.pred=sb.outline WHERE coalesce(best,0)<0.1)
+SELECT count(*) AS potholes, round(avg((best_iou>=0.5)::INT),6) AS found_strict, round(avg((best_iou>=0.1)::INT),6) AS found, round(avg(best_iou),6) AS mean_iou, (SELECT n FROM fp) AS false_outlines FROM f""")
 def _(t):
-    pairs = overlaps(t)
-    preds = pixels(t, "N").select("frame", c("outline").alias("pred")).distinct()
-    real = pairs.where("iou >= 0.05").select("frame", "pred")
-    false_n = preds.join(real, ["frame", "pred"], "left_anti").agg(F.count(F.lit(1))).scalar()
-    return matched(t).agg(F.count(F.lit(1)).alias("potholes"), F.round(F.avg((c("best_iou") >= 0.1).cast("int")), 6).alias("found_strict"),
-                          F.round(F.avg((c("best_iou") >= 0.05).cast("int")), 6).alias("found"), F.round(F.avg("best_iou"), 6).alias("mean_iou")
-                          ).withColumn("false_outlines", false_n)
+    truth, preds = pixels(t, "A").select("frame", "outline").distinct(), pixels(t, "N").select("frame", c("outline").alias("pred")).distinct()
+    s = X.detection_scores(truth, preds, overlaps(t), ["frame"], "outline", "pred")
+    return s.withColumns({n: F.round(n, 6) for n in ("found_strict", "found", "mean_iou")})
 
 
 @query("coverage", f"WITH {px_sql('A', 'a')}, {px_sql('R', 'w')}, d AS (SELECT DISTINCT frame, y, x FROM w) SELECT a.frame, a.outline, round(avg((d.x IS NOT NULL)::INT),6) AS coverage, count(*) AS px FROM a LEFT JOIN d ON a.frame=d.frame AND a.y=d.y AND a.x=d.x GROUP BY ALL")
@@ -91,15 +87,18 @@ def _(t):
     return in_boxes(t)[1]
 
 
-@query("box_recall", f"""WITH {INSIDE}, h AS (SELECT i.*, pred_px, inside>=0.5*pred_px AND inside>=0.1*box_px AS hit FROM ins i JOIN sz ON sz.frame=i.frame AND sz.outline=i.outline),
-per AS (SELECT bx.frame, bx.box, coalesce(bool_or(hit),false) AS found FROM bx LEFT JOIN h ON h.frame=bx.frame AND h.box=bx.box GROUP BY ALL)
-SELECT count(*) AS boxes, round(avg(found::INT),6) AS recall, (SELECT count(*) FROM sz WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.frame=sz.frame AND h.outline=sz.outline AND inside>=0.1*h.pred_px)) AS stray FROM per""")
+@query("box_recall", f"""WITH fr AS (SELECT s_suppkey AS frame, CASE s_suppkey%4 WHEN 0 THEN 'neg_test' ELSE 'box_test' END AS role FROM supplier), {px_sql('N', 'p')}, {BOXES},
+lo AS (SELECT frame, box, CAST(trunc(greatest(0,x0-(x1-x0)*0.1/2)) AS INT) AS x0, CAST(trunc(least(51,x1+(x1-x0)*0.1/2)) AS INT) AS x1, CAST(trunc(greatest(0,y0-(y1-y0)*0.1/2)) AS INT) AS y0, CAST(trunc(least(11,y1+(y1-y0)*0.1/2)) AS INT) AS y1 FROM bx JOIN fr USING (frame) WHERE role='box_test'),
+pp AS (SELECT p.*, role FROM p JOIN fr USING (frame)), sz AS (SELECT frame, outline, role, count(*) AS n, avg(y) AS my FROM pp GROUP BY ALL),
+h AS (SELECT lo.frame, box, sz.outline, any_value(sz.n) AS n, count(*) AS inside, any_value(greatest((x1-x0)*(y1-y0),1)) AS area FROM lo JOIN pp ON pp.frame=lo.frame AND x>=x0 AND x<x1 AND y>=y0 AND y<y1 JOIN sz ON sz.frame=pp.frame AND sz.outline=pp.outline GROUP BY 1,2,3),
+r AS (SELECT count(*) AS n_boxes, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.frame=lo.frame AND h.box=lo.box AND inside>=0.5*n AND inside>=0.1*area)) AS found FROM lo),
+st AS (SELECT count(*) AS stray FROM sz WHERE role='box_test' AND NOT EXISTS (SELECT 1 FROM h WHERE h.frame=sz.frame AND h.outline=sz.outline AND inside>=0.1*h.n)), ng AS (SELECT count(*) AS masks, count(*) FILTER (my<11/3) AS top, count(DISTINCT frame) AS hit FROM sz WHERE role='neg_test')
+SELECT round(found/n_boxes,6) AS box_recall, n_boxes, stray, round(stray/(SELECT count(*) FROM fr WHERE role='box_test'),6) AS stray_per_img, (SELECT count(*) FROM fr WHERE role='neg_test') AS n_neg_frames, round(coalesce(hit/nullif((SELECT count(*) FROM fr WHERE role='neg_test'),0),0),6) AS neg_frames_hit,
+masks AS neg_masks, round(coalesce(masks/nullif((SELECT count(*) FROM fr WHERE role='neg_test'),0),0),6) AS neg_masks_per_img, top AS neg_masks_top_third FROM r, st, ng""")
 def _(t):
-    boxes, inside = in_boxes(t)
-    hits = inside.groupBy("frame", "box").agg(F.bool_or("hit").alias("found"))
-    preds = pixels(t, "N").select("frame", "outline").distinct()
-    stray = preds.join(inside.where("inside >= 0.1 * pred_px"), ["frame", "outline"], "left_anti").agg(F.count(F.lit(1))).scalar()
-    return boxes.join(hits, ["frame", "box"], "left").agg(F.count(F.lit(1)).alias("boxes"), F.round(F.avg(F.coalesce(c("found"), F.lit(False)).cast("int")), 6).alias("recall")).withColumn("stray", stray)
+    frames = t.supplier.select(c("s_suppkey").alias("frame"), F.when(c("s_suppkey") % 4 == 0, "neg_test").otherwise("box_test").alias("role"), F.lit(51).alias("w"), F.lit(11).alias("h"))
+    s = X.box_recall(pixels(t, "N"), in_boxes(t)[0], frames, ["frame"], "outline", "box")
+    return s.withColumns({n: F.round(n, 6) for n in ("box_recall", "stray_per_img", "neg_frames_hit", "neg_masks_per_img")})
 
 
 @query("pair_frames", """
