@@ -126,11 +126,12 @@ def _(t):
 
 
 @query("stream_asof_drive", """
-SELECT e.event_id, e.user_id, d.event_id AS drive FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type='purchase') d ON e.user_id=d.user_id AND e.ts>=d.ts""")
+SELECT e.event_id, e.user_id, d.event_id AS drive FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type='purchase') d ON e.user_id=d.user_id AND e.ts>=d.ts
+WHERE e.ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
-    starts = t.events.where("event_type = 'purchase'").select("user_id", c("ts").alias("start_ts"), c("event_id").alias("start_id"))
-    out = K.asof_drive(events(t).select("event_id", "user_id", "ts"), starts, ["user_id"], "ts", "start_ts", "start_id", "drive")
-    return out.select("event_id", "user_id", "drive")
+    starts = events(t).where("event_type = 'purchase'").select("user_id", "at", c("event_id").alias("start_id"))
+    out = K.asof_drive(events(t).select("user_id", "at", "event_id"), starts, ["user_id"], "at", "event_id", "start_id", "1 hour", "drive")
+    return K.drain(out, "stream_asof_drive").select("event_id", "user_id", "drive")
 
 
 ARRIVALS = """a AS (SELECT event_id, ts, CASE WHEN event_id%10=0 THEN 3 ELSE least(3, CAST(floor(4*epoch_us(ts-lo)/(epoch_us(hi-lo)+1)) AS INT)) END AS arrival FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events)),

@@ -5,12 +5,14 @@ Every function maps a streaming DataFrame to a streaming DataFrame; ``drain`` ru
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from kerbline.operators.joins import asof
 from kerbline.storage import new_folder
 
 
@@ -73,19 +75,35 @@ def late_rows(stream: DataFrame, key: Sequence[str], ts: str, late: str, name: s
     return spark.read.schema(stream.schema).parquet(out), dropped
 
 
-def drain_batches(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a batch operator on every micro-batch, each into its own folder so that a retried batch replaces itself."""
-    spark = stream.sparkSession
-    out, mark = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
+def asof_drive(frames: DataFrame, starts: DataFrame, key: Sequence[str], ts: str, frame_id: str, start_id: str, late: str, name: str) -> DataFrame:
+    """key..., ``ts``, ``frame_id``, ``name``: the latest drive start at or before every frame, of two streams with the columns key, ``ts`` and a whole-number id.
 
-    def write(batch: DataFrame, number: int) -> None:
-        each(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
-
-
-def asof_drive(stream: DataFrame, starts: DataFrame, part: Sequence[str], ts: str, start_ts: str, value: str, name: str) -> DataFrame:
-    """Latest drive start for every arriving frame, micro-batch by micro-batch."""
-    return drain_batches(stream, "asof_drive", lambda b: asof(b, starts, part, ts, start_ts, value, name))
+    Both streams meet by key in state: frames wait until the watermark, ``late`` behind the newest row of either, has passed them, so starts that arrive out of order within that span count as in
+    a batch join; then they are given out. A key keeps its waiting frames, the starts the watermark has not passed, and the last one before. Rows older than the watermark are dropped. A
+    frame before every start has a null; of starts at the same time the largest id counts. Rows without an id or a time take no part.
+    """
+    rows = frames.select(*key, ts, F.col(frame_id).cast("long").alias("_id"), F.lit(False).alias("_start")).unionByName(
+        starts.select(*key, ts, F.col(start_id).cast("long").alias("_id"), F.lit(True).alias("_start"))).where(F.col("_id").isNotNull() & F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts)))
+    out = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key] + ["_us long", f"`{frame_id}` long", f"`{name}` long"])
+
+    def advance(of, chunks, state):
+        waiting, known = (list(zip(*part, strict=True)) for part in ((state.get[:2], state.get[2:]) if state.exists else (([], []), ([], []))))
+        for chunk in chunks:
+            for at, number, start in zip(chunk["_us"].tolist(), chunk["_id"].tolist(), chunk["_start"].tolist(), strict=True):
+                (known if start else waiting).append((at, number))
+        mark = state.getCurrentWatermarkMs() * 1000
+        known.sort()
+        ready, waiting = sorted(w for w in waiting if w[0] < mark), [w for w in waiting if w[0] >= mark]
+        if ready:
+            found = np.searchsorted(np.array([k[0] for k in known], dtype=np.int64), [r[0] for r in ready], side="right")
+            yield pd.DataFrame({**{k: [v] * len(ready) for k, v in zip(key, of, strict=True)}, "_us": [r[0] for r in ready], frame_id: [r[1] for r in ready],
+                                name: pd.array([known[i - 1][1] if i else None for i in found.tolist()], dtype="Int64")})
+        passed = sum(k[0] < mark for k in known)
+        known = known[max(0, passed - 1):]
+        state.update(tuple([x[i] for x in part] for part in (waiting, known) for i in (0, 1)))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    kept = rows.withWatermark(ts, late).groupBy(*key).applyInPandasWithState(
+        advance, out, "a array<long>, b array<long>, c array<long>, d array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(*key, F.timestamp_micros("_us").alias(ts), frame_id, name)

@@ -56,3 +56,45 @@ def test_first_existing_feature_table(spark, tmp_path):
     assert read_feature_rows(spark, [f"{tmp_path}/b.csv"], ["depth"], 2).count() == 2
     assert read_feature_rows(spark, [f"{tmp_path}/a.csv"], ["depth"]) is None
     assert read_json_or_empty(spark, f"{tmp_path}/none.json", "k long").count() == 0
+
+
+def test_asof_in_state_equals_batch(spark, tmp_path):
+    """Frames and starts that arrive late and out of order, in several micro-batches, against the batch join; what the watermark dropped is known."""
+    import datetime
+    import random
+
+    from kerbline.operators.joins import asof
+    rng, base = random.Random(6), datetime.datetime(2026, 1, 1)
+    rows = [(f"k{rng.randrange(3)}", base + datetime.timedelta(minutes=m + rng.choice([0, 0, -20, -50])), n, rng.random() < 0.2) for n, m in enumerate(range(0, 1200, 3))]
+    schema = "key string, at timestamp, id long, start boolean"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100:k * 100 + 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: K.read_stream(spark, f"{tmp_path}/in", schema, per_trigger=1)
+    out = K.asof_drive(stream().where("not start"), stream().where("start").withColumnRenamed("id", "sid"), ["key"], "at", "id", "sid", "1 hour", "drive")
+    got = {r["id"]: (r["key"], r["at"], r["drive"]) for r in K.drain(out, "asof_state").collect()}
+    whole = spark.createDataFrame(rows, schema)
+    want = {r["id"]: (r["key"], r["at"], r["drive"]) for r in asof(whole.where("not start").drop("start"), whole.where("start").select("key", "at", "id"), ["key"], "at", "at", "id", "drive").collect()}
+    mark = max(r[1] for r in rows) - datetime.timedelta(hours=1)
+    assert got == {i: v for i, v in want.items() if v[1] < mark}                  # nothing here is later than an hour
+
+
+def test_ridge_per_fold(spark):
+    import numpy as np
+
+    from kerbline.operators.learning import ridge_folds, ridge_out_of_fold
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 3)) * [1, 50, 0.01] + [5, -20, 3]
+    y = x @ [2.0, -0.3, 40.0] + rng.normal(size=240)
+    rows = [(i % 2, i % 3, *map(float, v), 7.0, float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))] + [(0, 1, None, 1.0, 1.0, 7.0, 1.0)]
+    df = spark.createDataFrame(rows, "repeat int, fold int, a double, b double, c double, flat double, y double")
+    got = {(r["repeat"], r["fold"]): r for r in ridge_folds(df, ["repeat", "fold"], ["a", "b", "c", "flat"], "y", 2.0).collect()}
+    for repeat in range(2):
+        for fold in range(3):
+            train = [i for i in range(240) if i % 2 == repeat and i % 3 != fold]
+            mean, sd = x[train].mean(0), x[train].std(0)
+            z, c = (x[train] - mean) / sd, y[train] - y[train].mean()
+            w = np.linalg.solve(z.T @ z + 2.0 * np.eye(3), z.T @ c) / sd
+            r = got[repeat, fold]
+            assert r["n"] == len(train) and np.allclose(r["coef"], [*w, 0.0]) and np.isclose(r["intercept"], y[train].mean() - w @ mean)
+    p = ridge_out_of_fold(df, ["repeat", "fold"], ["a", "b", "c", "flat"], "y")
+    assert p.count() == 241 and p.where("prediction is null").count() == 1 and p.columns[-1] == "prediction"
