@@ -23,10 +23,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Looser shapes that are candidates only.
-LOOSE = [(3, re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")), (4, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-         (0, re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,5}")),
-         (5, re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b"))]
+#: Looser shapes that are candidates only, each with a pattern of what a text must hold for it to occur at all.
+DIGIT, TITLE = re.compile("[0-9]"), re.compile("Mr|Ms|Dr|Prof")
+LOOSE = [(3, re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"), DIGIT), (4, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), DIGIT),
+         (0, re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,5}"), re.compile(r"at[)\]]")),
+         (5, re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b"), TITLE)]
 #: Gazetteers.
 ENDINGS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be se no dk fi pl pt ie in jp cn br mx ru".split())
 NAMES = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter paul maria laura julia hans "
@@ -64,7 +65,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     good, failed = [], []
     if "@" in text:
         good += [(0, *x) for x in emails(text)]
-    if re.search("[0-9]", text):
+    if DIGIT.search(text):
         for m in IP.finditer(text):
             parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
             if all(len(p) <= 3 and int(p) <= 255 for p in parts):
@@ -83,8 +84,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """Base spans and other candidates that overlap none of them, in order."""
     good, failed = base_spans(text)
-    loose = [(kind, m.start(), m.end()) for kind, shape in LOOSE if ("-" in text or "." in text) and (kind in (0, 5) or re.search("[0-9]", text)) and (kind != 0 or "at)" in text or "at]" in text)
-             for m in shape.finditer(text)] + failed
+    loose = [(kind, m.start(), m.end()) for kind, shape, needed in LOOSE if needed.search(text) for m in shape.finditer(text)] + failed
     out = [(*s, True) for s in good]
     starts, reach = [s[1] for s in good], np.maximum.accumulate([s[2] for s in good]).tolist() if good else []
     for kind, a, b in sorted(set(loose), key=lambda s: (s[1], s[0])):

@@ -447,3 +447,24 @@ def test_line_dedup_of_a_text_of_200_000_lines(spark):
     got = {r[0]: r[1:] for r in line_dedup(df).select("doc_id", "n_lines", "n_dropped", F.length("kept_text")).collect()}
     assert got == {i: (200_000, 200_000, 0) for i in range(5)} | {5: (200_000, 0, len(text))}
     assert time.time() - start < 90
+
+
+def test_candidates_need_neither_dots_nor_hyphens():
+    from kerbline.llm.pii import candidates
+    for text, kind in (("john (at) example (dot) com", 0), ("call (555) 123 4567 now", 3), ("then Mr Smith called", 5), ("Prof Jones", 5), ("id 123-45-6789", 4)):
+        for t in (text, text + " 1. and - more"):
+            assert [c[0] for c in candidates(t) if not c[3]][:1] == [kind], t
+    assert candidates("no such thing here") == [] == candidates("")
+
+
+def test_reliabilities_of_planted_labelers():
+    """Expectation-maximisation tells a good labeler from a coin and from one that says nothing."""
+    from kerbline.llm.pii import reliabilities
+    rng = np.random.default_rng(4)
+    truth = rng.random(6000) < 0.4
+    hit = {0: 0.95, 1: 0.9, 2: 0.85, 3: 0.5}
+    said = np.stack([np.where(rng.random(6000) < hit[j], truth, ~truth).astype(int) for j in range(4)] + [np.full(6000, 2)], axis=1)
+    shapes, n = np.unique(np.concatenate([np.zeros((6000, 1), dtype=int), said, np.zeros((6000, 1), dtype=int)], axis=1), axis=0, return_counts=True)
+    p, table = reliabilities(shapes, n)
+    assert all(abs(table[j, 1, 1] / (table[j, 1, 1] + table[j, 1, 0]) - hit[j]) < 0.05 and abs(table[j, 0, 0] / (table[j, 0, 0] + table[j, 0, 1]) - hit[j]) < 0.05 for j in range(4))
+    assert np.allclose(table[4, 0, 2], table[4, 1, 2], atol=0.05) and abs(np.average(p, weights=n) - truth.mean()) < 0.03
