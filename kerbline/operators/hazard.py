@@ -105,7 +105,7 @@ def wheel_drops(relief: DataFrame, key: Sequence[str], scale: DataFrame, size: t
     per = [*key, "tyre", "radius_mm", "axis", "deepest_mm", "mm_per_px"]
     line = band.withColumn("_wide", wide).groupBy(*per, "_at").agg(F.when(F.count(F.lit(1)) == F.max("_wide"), F.min("r")).otherwise(0.0).alias("_d"))
     lines = line.groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("_at", "_d"))).alias("_l"))
-    lines = lines.withColumn("_drop", _drop(F.col("_l"), F.col("mm_per_px"), F.col("radius_mm")))
+    lines = with_drop(lines.where("mm_per_px IS NOT NULL"), "_l", "mm_per_px", "radius_mm")
     best = F.max(F.struct("_drop", "axis")).alias("b")
     found = lines.groupBy(*key, "tyre").agg(best)
     base = rolls.where("axis = 0").select(*key, "tyre", F.col("mm_per_px").isNotNull().alias("_scaled"), F.least("deepest_mm", "radius_mm").alias("drop_bound_mm"))
@@ -130,30 +130,36 @@ def wheel_centre(px: DataFrame, profile: Sequence[str], position: str, height: s
     def lift(dx: Column) -> Column:
         return F.sqrt(F.greatest(F.lit(radius_mm ** 2) - F.pow(dx * step_mm, F.lit(2.0)), F.lit(0.0)))
 
-    def centre(p: Column) -> Column:
-        under = F.transform(F.filter("l", lambda q: F.abs(q["p"] - p) <= reach), lambda q: q["h"] + lift(q["p"] - p))
+    def centre(p: Column, i: Column) -> Column:
+        """Positions within reach are at most so many places away in the line."""
+        first = F.greatest(i - reach, F.lit(0))
+        near = F.filter(F.slice("l", first + 1, i + reach + 1 - first), lambda q: F.abs(q["p"] - p) <= reach)
         left, right = p - F.col("_lo") + 1, F.col("_hi") + 1 - p
         flat = F.greatest(F.when(left <= reach, lift(left)), F.when(right <= reach, lift(right)))
-        return F.greatest(F.array_max(under), flat)
+        return F.greatest(F.array_max(F.transform(near, lambda q: q["h"] + lift(q["p"] - p))), flat)
 
-    out = line.withColumn("c", F.transform("l", lambda q: F.struct(q["p"].alias("p"), centre(q["p"]).alias("c"))))
+    out = line.withColumn("c", F.transform("l", lambda q, i: F.struct(q["p"].alias("p"), centre(q["p"], i).alias("c"))))
     return out.select(*profile, F.explode("c").alias("c")).select(*profile, F.col("c.p").alias(position), F.col("c.c").alias("centre_mm"))
 
 
-def _drop(line: Column, step: Column, radius: Column) -> Column:
-    """Largest fall of a wheel centre over a line of (position, depth). Only positions below the road can lower it;
-    gaps and both ends are flat road."""
-    first, last = F.get(line, 0)["_at"] - 1, F.get(line, F.size(line) - 1)["_at"] + 1
-    depth = F.map_from_entries(line)
-    dense = F.transform(F.sequence(first, last), lambda p: F.coalesce(F.try_element_at(depth, p), F.lit(0.0)))
-    reach = F.ceil(radius / step).cast("int")
+def with_drop(lines: DataFrame, line: str, step: str, radius: str, name: str = "_drop") -> DataFrame:
+    """Largest fall of a wheel centre over a line of (position, depth). Only positions below the road can lower it; gaps and both ends are flat road.
+
+    The lift of the tyre at each distance is one table per line, and a position looks at what lies within the tyre's reach, so a line costs its length times the reach.
+    """
+    first = F.get(line, 0)["_at"]
+    gaps = F.flatten(F.transform(line, lambda e, i: F.concat(F.array_repeat(F.lit(0.0), F.greatest(e["_at"] - F.coalesce(F.when(i > 0, F.get(line, i - 1)["_at"]), first - 1) - 1, F.lit(0)).cast("int")), F.array(e["_d"]))))
+    reach = F.ceil(F.col(radius) / F.col(step)).cast("int")
+    lifts = F.transform(F.sequence(F.lit(0), reach), lambda k: F.sqrt(F.greatest(F.col(radius) * F.col(radius) - F.pow(k * F.col(step), F.lit(2.0)), F.lit(0.0))))
+    wide = lines.withColumns({"_dense": F.concat(F.array(F.lit(0.0)), gaps, F.array(F.lit(0.0))), "_lifts": lifts})
 
     def centre(p: Column) -> Column:
-        near = F.transform(dense, lambda d, q: F.when(F.abs(p - q) <= reach, F.sqrt(F.greatest(radius * radius - F.pow((p - q) * step, F.lit(2.0)), F.lit(0.0))) - d))
-        return F.array_max(near)
+        low = F.greatest(p - F.size("_lifts") + 1, F.lit(0))
+        near = F.slice("_dense", low + 1, F.least(p + F.size("_lifts"), F.size("_dense")) - low)
+        return F.array_max(F.transform(near, lambda d, i: F.get("_lifts", F.abs(low + i - p)) - d))
 
-    lowest = F.array_min(F.transform(F.sequence(F.lit(1), F.size(dense) - 2), centre))
-    return F.greatest(F.lit(0.0), radius - lowest)
+    lowest = F.array_min(F.transform(F.sequence(F.lit(1), F.size("_dense") - 2), centre))
+    return wide.withColumn(name, F.greatest(F.lit(0.0), F.col(radius) - lowest)).drop("_dense", "_lifts")
 
 
 def hazard_block(df: DataFrame, drops: DataFrame, key: Sequence[str], depth: str, likelihood: Column, route: Column) -> DataFrame:

@@ -278,11 +278,14 @@ SIM = (f"w AS (SELECT doc_id, source, unnest({WORDS}) AS w FROM documents), "
 def simhash(df, key, text):
     """Demo stand-in for a photo hash, over the whole text: each of 64 bits is the majority over the md5 of its distinct
     words. The library itself takes the hash as a column. Words are counted where they are read, so one row of sums per text moves."""
+    lanes = 1 | 1 << 21 | 1 << 42                                               # three counters of 21 bits to a number: bits a, a + 21 and a + 42 of all words at once
     word = df.select(*key, F.explode(F.array_distinct(F.split(F.lower(text), "[ \t\n\r]+"))).alias("w")).withColumn("w", F.md5("w"))
-    half = word.select(*key, *[F.conv(F.substring("w", at, 8), 16, 10).cast("long").alias(k) for k, at in (("hi", 1), ("lo", 9))])
-    ones = half.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("hi" if i < 32 else "lo", 31 - i % 32).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
-    bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit((1 << 63 - i) - (1 << 64 if i == 0 else 0))).otherwise(F.lit(0)).cast("long") for i in range(64)]
-    return ones.select(*key, sum(bits[1:], bits[0]).alias("phash"))
+    hi, lo = (F.conv(F.substring("w", at, 8), 16, 10).cast("long") for at in (1, 9))
+    h = word.select(*key, F.shiftleft(hi, 32).bitwiseOR(lo).alias("h"))
+    some = h.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", a).bitwiseAND(lanes)).alias(f"s{a}") for a in range(21)], F.sum(F.shiftrightunsigned("h", 63)).alias("s63"))
+    ones = {k: F.col("s63") if k == 63 else F.shiftright(F.col(f"s{k % 21}"), 21 * (k // 21)).bitwiseAND((1 << 21) - 1) for k in range(64)}
+    bits = [F.when(2 * v > F.col("n"), F.lit((1 << k) - (1 << 64 if k == 63 else 0))).otherwise(F.lit(0)).cast("long") for k, v in ones.items()]
+    return some.select(*key, sum(bits[1:], bits[0]).alias("phash"))
 
 
 def hashed(t):
