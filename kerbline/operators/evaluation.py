@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.hashing import order_key, unit_draw
 from kerbline.operators.ordered import hash_cut, percentiles, prefix_sums, value_chunk, value_counts
+from kerbline.storage import materialise
 
 # fixed values: cost of a band too mild and too severe; cumulative Poisson(1) probabilities
 COST_UNDER, COST_OVER = 3.0, 1.0
@@ -108,6 +109,7 @@ def choose_thresholds(df: DataFrame, truth: str, pred: str, by: Sequence[str] =
              .agg(F.count(F.lit(1)).alias("_n")))
     cost = lambda y, b: COST_UNDER * (y - b) if b < y else COST_OVER * (b - y)
     grade = lambda f: F.element_at(F.array(*[F.lit(float(f(y))) for y in range(3)]), (F.col("_y") + 1).cast("int")) * F.col("_n")
+    cells = materialise(cells, "threshold_cells")                               # a few numbers per ``by``
     parts = cells.groupBy(*by, "_cell").agg(
         F.sum(grade(lambda y: cost(y, 0) - cost(y, 1))).alias("_f1"), F.sum(grade(lambda y: cost(y, 1) - cost(y, 2))).alias("_f2"),
         F.sum(grade(lambda y: cost(y, 2))).alias("_base"))
@@ -132,7 +134,7 @@ def choose_thresholds(df: DataFrame, truth: str, pred: str, by: Sequence[str] =
 def half_flag(df: DataFrame, group: str, seed) -> Column:
     """True for half of the groups (rounded down), in hash order."""
     key = order_key(seed, group)
-    groups = df.groupBy(key.alias("h")).agg(F.max(F.lit(1)).alias("w"))
+    groups = materialise(df.groupBy(key.alias("h")).agg(F.max(F.lit(1)).alias("w")), "hash_groups")
     return key <= hash_cut(groups, "h", "w", F.floor(groups.agg(F.count(F.lit(1))).scalar() / 2))
 
 
@@ -219,7 +221,8 @@ def bootstrap_mean(df: DataFrame, key: Sequence[str], value: Column, replicates:
 
 def bootstrap_median(df: DataFrame, key: Sequence[str], value: str, replicates: int, seed) -> DataFrame:
     """Median with its 95% interval."""
-    drawn = resamples(df.where(F.col(value).isNotNull()), key, replicates, seed)
+    df = materialise(df.where(F.col(value).isNotNull()).select(*key, value), "bootstrap")
+    drawn = resamples(df, key, replicates, seed)
     per = percentiles(drawn, ["replicate"], value, {"m": 0.5}, weight="weight")
     point = percentiles(df, [], value, {"median": 0.5}).select("median").scalar()
     return per.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).withColumn("median", point)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.hashing import hash_chunk, order_key
 from kerbline.operators.ordered import hash_cut, prefix_sums, row_numbers
+from kerbline.storage import materialise
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -67,8 +68,8 @@ def random_pairs(pool: DataFrame, key: str, photo: str, factor: int = 4, seed=20
     Each row draws partners by hashed position, so the work is linear in the pool; spare draws replace
     rejected ones and the lowest pair hashes are kept.
     """
-    numbered = row_numbers(pool.select(key, photo).withColumn("_h", order_key(seed, key)), ["_h"], hash_chunk(F.col("_h")), "_pos")
-    size = pool.agg(F.count(F.lit(1))).scalar()
+    numbered = materialise(row_numbers(pool.select(key, photo).withColumn("_h", order_key(seed, key)), ["_h"], hash_chunk(F.col("_h")), "_pos"), "pool")
+    size = numbered.agg(F.count(F.lit(1))).scalar()
     draws = (numbered.select(F.col(key).alias("_ka"), F.col(photo).alias("_pa"),
                              F.explode(F.sequence(F.lit(1), F.lit(factor + 2))).alias("_d"))
              .withColumn("_pos", F.conv(F.substring(order_key(seed, F.col("_ka"), F.col("_d")), 1, 8), 16, 10).cast("long") % size + 1))
@@ -77,7 +78,8 @@ def random_pairs(pool: DataFrame, key: str, photo: str, factor: int = 4, seed=20
              .select(F.least("_ka", "_kb").alias("pool_a"), F.greatest("_ka", "_kb").alias("pool_b"))
              .where("pool_a <> pool_b").distinct()
              .withColumns({"h": order_key(seed, "pool_a", "pool_b"), "w": F.lit(1)}))
-    wanted = pool.agg(F.bround(F.count(F.lit(1)) * F.lit(factor / 2)).cast("long")).scalar()
+    pairs = materialise(pairs, "pairs")
+    wanted = numbered.agg(F.bround(F.count(F.lit(1)) * F.lit(factor / 2)).cast("long")).scalar()
     return pairs.where(F.col("h") <= hash_cut(pairs, "h", "w", wanted)).select("pool_a", "pool_b")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.hashing import hash_chunk, order_key
 from kerbline.operators.ordered import hash_cut, row_numbers
+from kerbline.storage import materialise
 
 
 def _weights(df: DataFrame, key: Column, per_row: bool) -> DataFrame:
-    """One row per group hash, weighing its row count or 1."""
-    return df.groupBy(key.alias("h")).agg((F.count(F.lit(1)) if per_row else F.max(F.lit(1))).alias("w"))
+    """One row per group hash, weighing its row count or 1. It is written once, as totals and cuts read it several times."""
+    return materialise(df.groupBy(key.alias("h")).agg((F.count(F.lit(1)) if per_row else F.max(F.lit(1))).alias("w")), "hash_groups")
 
 
 def grouped_split(df: DataFrame, group: Sequence[str], share: float, seed=20260909, name: str = "split") -> DataFrame:
@@ -29,8 +30,8 @@ def fraction_split(df: DataFrame, key: Sequence[str], fractions: Mapping[str, fl
                    seed=42, name: str = "split") -> DataFrame:
     """Shuffle rows and cut at floor(n * cumulative fraction); the last part takes the rest."""
     h = order_key(seed, *key)
-    rows = df.select(h.alias("h"), F.lit(1).alias("w"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    rows = _weights(df, h, per_row=True)
+    total = rows.agg(F.coalesce(F.sum("w"), F.lit(0))).scalar()
     out, upto = None, 0
     for part, share in fractions.items():
         upto = upto + F.floor(total * F.lit(share))
@@ -44,7 +45,7 @@ def cumulative_assignment(df: DataFrame, group: Sequence[str], test: float = 0.2
     """Assign whole groups in hash order until test holds its share of rows, then val, then train."""
     key = order_key(seed, *group)
     groups = _weights(df, key, per_row=True)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = groups.agg(F.coalesce(F.sum("w"), F.lit(0))).scalar()
     first = hash_cut(groups, "h", "w", total * F.lit(test))
     second = hash_cut(groups, "h", "w", total * F.lit(test + val))
     return df.withColumn(name, F.when(key <= first, "test").when(key <= second, "val").otherwise("train"))
