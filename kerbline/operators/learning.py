@@ -198,6 +198,21 @@ def cue_logistic(df: DataFrame, cues: Sequence[str], label: str) -> tuple[dict[s
     return coef, float(m.intercept), {c: round(max(v, 0.0) / total, 4) for c, v in coef.items()}
 
 
+def cue_logistic_f1(df: DataFrame, cues: Sequence[str], label: str, fold: str, k: int = 5) -> DataFrame:
+    """fold, rows, precision, recall, f1 of a class-balanced logistic on cue scores, each fold scored by a model fitted on the others; the label is 0 or 1, a null cue counts as 0."""
+    data = VectorAssembler(inputCols=list(cues), outputCol="features").transform(df.fillna(0.0, subset=list(cues)).withColumn(label, F.col(label).cast("double")))
+    parts = None
+    for f in range(k):
+        model = LogisticRegression(labelCol=label, weightCol="weight", maxIter=100).fit(balanced_weights(data.where(F.col(fold) != f), label))
+        part = model.transform(data.where(F.col(fold) == f)).select(fold, F.col(label).alias("_y"), F.col("prediction").alias("_p"))
+        parts = part if parts is None else parts.unionByName(part)
+    hit = lambda y, p: F.count_if((F.col("_y") == y) & (F.col("_p") == p))
+    c = parts.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"), hit(1, 1).alias("_tp"), hit(0, 1).alias("_fp"), hit(1, 0).alias("_fn"))
+    part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    return c.select(fold, "rows", part(F.col("_tp"), F.col("_tp") + F.col("_fp")).alias("precision"), part(F.col("_tp"), F.col("_tp") + F.col("_fn")).alias("recall"),
+                    part(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")).alias("f1"))
+
+
 def learned_selector(df: DataFrame, options: Mapping[str, str], truth: str, features: str) -> DataFrame:
     """One model per option predicts that option's error; the option with the least predicted error is read, skipping missing ones."""
     out, wanted = df, []

@@ -52,6 +52,19 @@ def _(t):
     return o.agg(F.count(F.lit(1)).alias("outlines"), F.round(F.sum(c("pts")[0]["x"]), 2).alias("x_total"), F.sum(F.size("pts")).alias("points"))
 
 
+@query("read_voc", """SELECT l_orderkey||'-'||l_linenumber||'.jpg' AS filename, 640 AS w, 480 AS h, CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS boxes, CASE WHEN l_returnflag='R' THEN 0 ELSE 1 END AS n_other,
+CASE WHEN l_returnflag='R' THEN round(l_quantity+50-l_quantity,6) END AS width FROM lineitem""")
+def _(t):
+    path = new_folder(t.spark, "voc")
+    edge = lambda v: v.cast("double")
+    box = F.struct(edge(c("l_quantity")).alias("xmin"), F.lit(2.0).alias("ymin"), edge(c("l_quantity") + 50).alias("xmax"), F.lit(40.0).alias("ymax"))
+    item = F.struct(F.when(c("l_returnflag") == "R", "D40").otherwise("D00").alias("name"), box.alias("bndbox"))
+    t.lineitem.select(F.concat_ws("", c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string"), F.lit(".jpg")).alias("filename"), F.struct(F.lit(640).alias("width"), F.lit(480).alias("height")).alias("size"),
+                      F.array(item).alias("object")).write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    v = I.read_voc(t.spark, path, "D40")
+    return v.select("filename", "w", "h", F.size("boxes").alias("boxes"), "n_other", F.round(F.get("boxes", F.lit(0))[2] - F.get("boxes", F.lit(0))[0], 6).alias("width"))
+
+
 @query("parse_reports", "SELECT doc_id, round(n_chars/100000.0::DOUBLE,7) AS accuracy, CASE WHEN lang='en' THEN round(n_chars/200000.0::DOUBLE,7) END AS macro_f1 FROM documents")
 def _(t):
     num = lambda e: F.format_string("%.7f", e)
@@ -258,6 +271,14 @@ def _(t):
     return d.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(rows).alias("r")).select("rows", "r.*")
 
 
+@query("cue_logistic_folds", """SELECT CAST(doc_id%5 AS INT) AS fold, count(*) AS rows, true AS scored FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def _(t):
+    """Both engines can state how many rows each fold has and that each was scored between 0 and 1; the scores themselves are the model's."""
+    d = t.documents.join(t.labels, "doc_id").select((c("quality") == 0).cast("int").alias("y"), (c("n_chars") / 1000).alias("edge"), c("toxic").cast("double").alias("semantic"), (c("doc_id") % 5).cast("int").alias("fold"))
+    s = L.cue_logistic_f1(d, ["edge", "semantic"], "y", "fold")
+    return s.select("fold", "rows", (c("f1").between(0, 1) & c("precision").between(0, 1) & c("recall").between(0, 1)).alias("scored"))
+
+
 @query("learned_selector")
 def _(t):
     m = measured(t).withColumns({"plain": c("l_quantity") * 0.9, "zoomed": F.when(c("l_tax") > 0.02, c("l_quantity") + c("l_discount") * 40)})

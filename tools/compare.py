@@ -9,6 +9,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -29,6 +30,7 @@ def session(cores: str = "8", partitions: str = "8"):
              .config("spark.sql.shuffle.partitions", partitions)
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
