@@ -17,7 +17,7 @@ from kerbline.llm.flat import BASE, between, inverse_powers, mixed, prefix_hash,
 ADDED = ["lang_pred", "score"]
 MARK = "▁"                 # a piece that begins a word begins with this
 WORD = 64                       # letters up to which words are scored side by side; longer ones one by one, and the fit leaves them out
-SLICE = 300_000                 # characters that a task takes at a time
+SLICE = 150_000                 # characters that a task takes at a time
 SCALE = 64.0                    # probability per letter is multiplied by this, so that products keep to the range of a double
 UNKNOWN = 1e-7                  # of a letter that is no piece
 
@@ -150,7 +150,7 @@ class Lattice:
     def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word, summed over its segmentations, per language."""
         out, short = np.zeros((len(words), p.shape[1])), [i for i, w in enumerate(words) if len(w) <= WORD]
-        for lo, hi in slices([(len(words[i]) + 1) * p.shape[1] for i in short], 1_000_000):
+        for lo, hi in slices([(len(words[i]) + 1) * p.shape[1] for i in short], 400_000):
             lat = self.of([words[i] for i in short[lo:hi]])
             end = lat[0] + np.arange(hi - lo) + lat[1]
             out[short[lo:hi]] = np.log(np.maximum(self.forward(lat, p)[end], 1e-300)) - lat[1][:, None] * np.log(SCALE)
@@ -162,7 +162,7 @@ class Lattice:
     def expected(self, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words of one language, each word counted n times."""
         counts = np.zeros(self.size + 1)
-        for lo, hi in slices([len(w) + 1 for w in words], 250_000):
+        for lo, hi in slices([len(w) + 1 for w in words], 100_000):
             lat = first, lens, at = self.of(words[lo:hi])
             a, off = self.forward(lat, p)[:, 0], first + np.arange(hi - lo)
             b = np.zeros(len(a))
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, train: Column, vocabulary_path: str, per_language:
                     if not len(start):
                         continue
                     h, one, inverse = np.unique(between(prefix_hash(scattered(codes)), start, end), return_index=True, return_inverse=True)
-                    if len(known) > 400_000:
+                    if len(known) > 200_000:
                         known, table = known[:0], table[:0]
                     at = np.searchsorted(known, h)
                     new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != h) if len(known) else np.arange(len(h))

@@ -24,7 +24,7 @@ BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the runs of k words of each text, A-Z in lower case; a text of fewer words is one run, one of none is empty."""
     odd = [np.uint64(pow(BASE, i + 1, 1 << 64)) for i in range(k)]
-    for lo, hi in slices([len(x) + 1 for x in texts], 2_000_000):
+    for lo, hi in slices([len(x) + 1 for x in texts], 400_000):
         raw = [x.encode().lower() for x in texts[lo:hi]]
         codes = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
         edge = np.diff(BLANK[codes].astype(np.int8))
