@@ -56,7 +56,7 @@ STAND_IN = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 el
 class Encoder:
     """Whole texts to token ids. Equal stretches of a batch are encoded once, and remembered up to a bounded number."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
@@ -98,7 +98,7 @@ class Encoder:
         for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
             out[i] = ids
         even = [i for i in range(len(texts)) if out[i] is None]
-        for lo, hi in slices([len(texts[i]) + 1 for i in even], 2_000_000):
+        for lo, hi in slices([len(texts[i]) + 1 for i in even], 400_000):
             some = even[lo:hi]
             for i, ids in zip(some, self._flat([texts[i].encode() for i in some]), strict=True):
                 out[i] = ids if ids is not None else self.plain([texts[i]])[0]
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
             ids, texts = batch.column("_id").to_pylist(), [x or "" for x in batch.column("_text").to_pylist()]
-            for lo, hi in slices([len(x) + 1 for x in texts], 2_000_000):
+            for lo, hi in slices([len(x) + 1 for x in texts], 400_000):
                 frames, sizes = [], []
                 for x in encoder.encode(texts[lo:hi]):
                     x = np.append(x, end_id)
