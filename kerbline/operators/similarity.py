@@ -2,7 +2,8 @@
 
 Within distance d, two hashes split into d + 2 blocks agree in at least two blocks. Rows meet only when they
 share a block pair. A bucket too full for that is split by the same argument on the remaining bits. Equal hashes are
-folded into one row first, so copies of one photo cost nothing extra.
+folded into one row first, so copies of one photo cost nothing extra. Tables of hashes are merged, never broadcast: the
+planner takes a hash and its many block pairs for one row.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def hash_pairs(a: DataFrame, b: DataFrame, max_distance: int = 6, hot: int = 409
                         F.coalesce("full", F.lit(False)).alias("full")))
 
     met = (refined(left).withColumnRenamed("h", "ha")
-           .join(refined(right).select(F.col("h").alias("hb"), "p", "v", "s", "sv"), ["p", "v", "s", "sv"])
+           .join(refined(right).select(F.col("h").alias("hb"), "p", "v", "s", "sv").hint("merge"), ["p", "v", "s", "sv"])
            .withColumn("_x", F.col("ha").bitwiseXOR(F.col("hb")))
            .withColumn("distance", F.bit_count("_x"))
            .where(F.col("distance") <= max_distance))
@@ -69,7 +70,7 @@ def near_duplicates(df: DataFrame, source: str, name: str, phash: str, max_dista
     pairs = hash_pairs(folded, folded, max_distance)
     right = folded.select(F.col("src").alias("source_b"), F.col("h").alias("hb"), F.col("first").alias("fb"))
     near = (folded.select(F.col("src").alias("source_a"), F.col("h").alias("ha"), "n", F.col("first").alias("fa"))
-            .join(pairs, "ha").join(right, "hb").where("source_a < source_b"))
+            .join(pairs.hint("merge"), "ha").join(right.hint("merge"), "hb").where("source_a < source_b"))
     hits = near.groupBy("source_a", "source_b", "ha").agg(F.max("n").alias("n"), F.min(F.struct("fa", "fb")).alias("example"))
     return hits.groupBy("source_a", "source_b").agg(
         F.sum("n").alias("files_a"), F.min("example").alias("e")).select(
@@ -83,8 +84,8 @@ def nearest_reference(df: DataFrame, phash: str, ref: DataFrame, ref_hash: str,
              .agg(F.min(F.struct(F.col(ref_name).alias("name"), F.col(ref_split).alias("split"))).alias("r")))
     probe = df.where(F.col(phash).isNotNull()).select(F.col(phash).alias("h"))
     best = (hash_pairs(probe, known, max_distance)
-            .join(known.withColumnRenamed("h", "hb"), "hb")
+            .join(known.withColumnRenamed("h", "hb").hint("merge"), "hb")
             .groupBy("ha").agg(F.min(F.struct("distance", "r")).alias("b")))
-    return (df.join(best, df[phash] == best["ha"], "left")
+    return (df.join(best.hint("merge"), df[phash] == best["ha"], "left")
             .select(*df.columns, F.col("b.r.name").alias("dup_of"), F.col("b.r.split").alias("dup_split"),
                     F.col("b.distance").alias("dup_distance")))
