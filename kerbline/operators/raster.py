@@ -275,19 +275,20 @@ def grid_components(cells: DataFrame, frame: Sequence[str], min_size: int = 1, k
     """
     frame = list(frame)
     at = [*frame, "y", "x"]
-    code = F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    code = F.shiftleft(F.col("y"), 32) + F.col("x") + (1 << 31)                 # one number in the order of (y, x), so that the least label needs no sort
     lab = materialise(cells.select(*frame, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct().withColumn("c", code), "components")
     around = F.array(*[F.struct(F.lit(j).alias("dy"), F.lit(i).alias("dx")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
     while True:
-        sent = lab.withColumn("_o", F.explode(around)).select(*frame, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "c")
-        low = sent.groupBy(*at).agg(F.min("c").alias("_low"))
-        step = lab.join(low, at).select(*at, "c", "_low")
-        roots = step.select(*frame, F.struct("y", "x").alias("_low"), F.col("_low").alias("_jump"))
-        new = materialise(step.join(roots, [*frame, "_low"], "left").select(
+        own = F.when((F.col("_o.dy") == 0) & (F.col("_o.dx") == 0), F.col("c"))
+        sent = lab.withColumn("_o", F.explode(around)).select(*frame, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "c", own.alias("_own"))
+        step = sent.groupBy(*at).agg(F.min("c").alias("_low"), F.max("_own").alias("c")).where("c IS NOT NULL")
+        roots = step.select(*frame, code.alias("_low"), F.col("_low").alias("_jump"))
+        new = materialise(step.join(roots.hint("merge"), [*frame, "_low"], "left").select(                # cells grow with the table, whatever the planner estimates: never a broadcast
             *at, F.col("c").alias("_old"), F.least("_low", F.coalesce("_jump", "_low")).alias("c")), "components")
         if new.where("c <> _old").isEmpty():
             break
         lab = new.drop("_old")
+    lab = lab.withColumn("c", F.struct(F.shiftright("c", 32).alias("y"), (F.col("c").bitwiseAND((1 << 32) - 1) - (1 << 31)).alias("x")))
     sizes = lab.groupBy(*frame, "c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     rank = F.row_number().over(Window.partitionBy(*frame).orderBy(F.desc("size"), "c"))
     ranked = sizes.withColumn("rank", rank)

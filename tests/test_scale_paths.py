@@ -1,5 +1,7 @@
 """The distributed forms give exactly what a plain computation gives, also where one key holds most rows."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from kerbline.operators import raster as R
 from kerbline.operators import similarity as S
 from kerbline.operators import splits as L
 from kerbline.operators import windows as W
+from kerbline.storage import materialise
 
 
 def skewed(spark, n=4000):
@@ -126,3 +129,32 @@ def test_bootstrap_interval_is_plausible(spark):
     r = E.bootstrap_mean(spark.createDataFrame(pd.DataFrame({"id": range(300), "x": x})), ["id"], F.col("x"), 400, 1).first()
     half = 1.96 * x.std() / np.sqrt(300)
     assert abs((r["high"] - r["low"]) / 2 - half) < 0.3 * half and r["low"] < x.mean() < r["high"]
+
+
+def plans(spark, work):
+    """Physical plans of the executions that ``work`` starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    now = store.executionsList()
+    return [now.apply(i).physicalPlanDescription() for i in range(now.size()) if now.apply(i).executionId() not in before]
+
+
+def test_cells_are_never_broadcast(spark):
+    cells = spark.createDataFrame([(f, y, x) for f in range(3) for y in (-2, -1, 5) for x in range(-3, 4, 1 + y % 2)], "f int, y int, x int")
+    done = plans(spark, lambda: R.grid_components(cells, ["f"]).collect())
+    assert done and not any("BroadcastExchange" in p for p in done)
+
+
+def test_cells_left_of_and_above_the_origin(spark):
+    cells = [(1, -1, -1), (1, 0, 0), (1, -7, 3), (1, -7, 4), (1, -6, 5)]
+    got = {(r["c"]["y"], r["c"]["x"]): r["size"] for r in R.grid_components(spark.createDataFrame(cells, "f int, y int, x int"), ["f"]).collect()}
+    assert got == {(-1, -1): 2, (-7, 3): 3}
+
+
+def test_hashes_with_their_block_pairs_are_never_broadcast(spark):
+    written = materialise(near(spark, [1, 2, 3]), "hashes")
+    plan = S.hash_pairs(written, written)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[p#\w+, v#\w+, s#\w+, sv#\w+\]", plan)
