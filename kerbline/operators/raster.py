@@ -64,13 +64,14 @@ def region(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, r
     key = [*frame, outline]
     box = mask.groupBy(*key).agg(*[f(v).alias(f"_{v}{i}") for v in ("x", "y") for i, f in ((0, F.min), (1, F.max))])
     span = lambda v: F.explode(F.sequence(F.col(f"_{v}0") - radius, F.col(f"_{v}1") + radius))
-    spots = box.withColumn("y", span("y")).withColumn("x", span("x")).select(*key, "y", "x")
-    near = spots.join(mask.select(*key, "y", "x", F.lit(1).alias("_m")), [*key, "y", "x"], "left")
+    spots = box.withColumn("y", span("y")).withColumn("x", span("x")).select(*key, "y", "x", F.lit(None).cast("int").alias("_m"))
+    near = spots.unionByName(mask.select(*key, F.col("y").cast(spots.schema["y"].dataType).alias("y"), F.col("x").cast(spots.schema["x"].dataType).alias("x"), F.lit(1).alias("_m")))
+    near = near.repartition(*key).groupBy(*key, "y", "x").agg(F.max("_m").alias("_m"))       # one shuffle serves the aggregate and both windows
     across = Window.partitionBy(*key, "y").orderBy("x").rangeBetween(-radius, radius)
     down = Window.partitionBy(*key, "x").orderBy("y").rangeBetween(-radius, radius)
     near = near.withColumn("_a", F.max("_m").over(across)).withColumn("_d", F.max("_a").over(down)).where("_d IS NOT NULL")
     near = near.select(*key, "y", "x", F.col("_m").isNotNull().alias("inside"), F.col("_m").isNull().alias("ring"))
-    return px.join(near, [*frame, "y", "x"])
+    return px.join(near.hint("merge"), [*frame, "y", "x"])                      # the planner takes an outline and all its positions for one row: never a broadcast
 
 
 def depth_stats(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = CONTEXT_RADIUS, edge: int = EDGE_RADIUS) -> DataFrame:
@@ -125,9 +126,12 @@ def road_plane(r: DataFrame, key: Sequence[str], z: str, min_ring: int = MIN_RIN
 
 
 def deviation(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline: str, z: str, radius: int = RING_RADIUS, min_ring: int = MIN_RING_PX) -> DataFrame:
-    """Region pixels with ``dev``, their depth below the road plane; outlines without enough road drop out."""
+    """Region pixels with ``dev``, their depth below the road plane; outlines without enough road drop out.
+
+    The region is written once: readings that are averages may end in another digit each time they are computed, and one that is itself a limit of the road would then drop out.
+    """
     key = [*frame, outline]
-    r = region(px, mask, frame, outline, radius)
+    r = materialise(region(px, mask, frame, outline, radius), "region")
     plane = road_plane(r, key, z, min_ring).select(*key, "a", "b", "c", "rms", "ring_px").where(F.col("a").isNotNull())
     return r.join(plane, key).withColumn("dev", F.col(z) - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))).drop("a", "b", "c")
 

@@ -158,3 +158,23 @@ def test_hashes_with_their_block_pairs_are_never_broadcast(spark):
     written = materialise(near(spark, [1, 2, 3]), "hashes")
     plan = S.hash_pairs(written, written)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[p#\w+, v#\w+, s#\w+, sv#\w+\]", plan)
+
+
+def test_readings_are_computed_once_for_the_road_and_its_limits(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(v):
+        seen.add(1)
+        return v
+
+    px = spark.createDataFrame([(1, y, x, float(x + y)) for y in range(30) for x in range(30)], "f int, y int, x int, v double")
+    mask = spark.createDataFrame([(1, 1, y, x) for y in range(10, 20) for x in range(10, 20)], "f int, o int, y int, x int")
+    px = px.select("f", "y", "x", F.udf(read, "double")("v").alias("z"))
+    assert R.bowl_depth(px, mask, ["f"], "o", "z", 4, 60, 20).first()["inside_px"] == 100 and seen.value == 900
+
+
+def test_outlines_are_never_broadcast_as_positions(spark):
+    px = materialise(spark.createDataFrame([(1, y, x, float(x + y)) for y in range(30) for x in range(30)], "f int, y int, x int, z double"), "pixels")
+    mask = materialise(spark.createDataFrame([(1, 1, y, x) for y in range(10, 20) for x in range(10, 20)], "f int, o int, y int, x int"), "mask")
+    plan = R.region(px, mask, ["f"], "o", 4)
+    assert "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 18 * 18
