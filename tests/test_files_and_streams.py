@@ -98,3 +98,14 @@ def test_ridge_per_fold(spark):
             assert r["n"] == len(train) and np.allclose(r["coef"], [*w, 0.0]) and np.isclose(r["intercept"], y[train].mean() - w @ mean)
     p = ridge_out_of_fold(df, ["repeat", "fold"], ["a", "b", "c", "flat"], "y")
     assert p.count() == 241 and p.where("prediction is null").count() == 1 and p.columns[-1] == "prediction"
+
+
+def test_annotation_files_stay_small(spark, monkeypatch):
+    from kerbline.plans import flows
+    from kerbline.plans.catalog import CATALOG
+    from kerbline.plans.registry import Tables
+    monkeypatch.setattr(flows, "ROWS_PER_FILE", 1000)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = t.lineitem.count()
+    read = CATALOG["read_voc"][0](t)
+    assert read.count() == rows and len(read.inputFiles()) >= rows // 1000
