@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,34 @@ def solved(matrix: Column, k: int, least: float = 0.0) -> Column:
     return F.when(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c)), x)
 
 
+def eliminated(m: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Solutions of many systems (systems, k, k + 1), step by step as in ``solved``; not a number where a pivot is ``least`` or smaller."""
+    k = m.shape[1]
+    with np.errstate(all="ignore"):
+        for i in range(k):
+            size = np.where(np.abs(m[:, i, i]) > least, m[:, i, i], np.nan)
+            others = np.arange(k) != i
+            m[:, others] -= (m[:, others, i] / size[:, None])[:, :, None] * m[:, i, None, :]
+        size = np.diagonal(m, axis1=1, axis2=2)
+        return m[:, :, k] / np.where(np.abs(size) > least, size, np.nan)
+
+
+def solved_in_batches(matrix: Column, k: int) -> Column:
+    """``solved`` for many large systems: the same steps for all systems of an Arrow batch at once."""
+
+    @F.arrow_udf("array<double>")
+    def solve(flat: pa.Array) -> pa.Array:
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        m, x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, k, k + 1), np.full((len(flat), k), np.nan)
+        at = np.flatnonzero(there)
+        for lo in range(0, len(at), 1_000):
+            x[at[lo:lo + 1_000]] = eliminated(m[lo:lo + 1_000].astype(np.float64))
+        none = np.isnan(x).any(axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(x.ravel()), mask=pa.array(none))
+
+    return solve(F.flatten(matrix))
+
+
 def products(terms: Sequence[Column], target: Column) -> Column:
     """Aggregate: the normal equations of ``target`` on the terms, an array of rows."""
     k = len(terms)

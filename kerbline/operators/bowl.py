@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions.linear import products, solved
+from kerbline.functions.linear import products, solved_in_batches
 from kerbline.operators.raster import region
 from kerbline.storage import materialise
 
@@ -52,7 +52,7 @@ def normal_equations(points: DataFrame, key: Sequence[str], degree: int) -> Data
     """key, coef and n: least squares over the points (z and terms) of each key, from sums of products in one aggregate."""
     k = len(powers(degree))
     sums = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), products([F.col(f"t{i}") for i in range(k)], F.col("z")).alias("_m"))
-    return sums.select(*key, "n", solved(F.col("_m"), k).alias("coef"))
+    return sums.select(*key, "n", solved_in_batches(F.col("_m"), k).alias("coef"))
 
 
 def samples(points: DataFrame, key: Sequence[str], degree: int, hypotheses: int) -> DataFrame:
@@ -69,7 +69,7 @@ def samples(points: DataFrame, key: Sequence[str], degree: int, hypotheses: int)
     dealt = dealt.where(F.col("_run") < runs).withColumn("sample", (F.col("_round") - 1) * runs + F.col("_run")).where(F.col("sample") < hypotheses)
     row = F.array(*[F.col(f"t{i}") for i in range(k)], F.col("z"))
     met = dealt.groupBy(*key, "sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", row.alias("row")))), lambda s: s["row"]).alias("_m"))
-    return met.select(*key, "sample", solved(F.col("_m"), k).alias("coef")).where("coef IS NOT NULL")
+    return met.select(*key, "sample", solved_in_batches(F.col("_m"), k).alias("coef")).where("coef IS NOT NULL")
 
 
 def consensus(points: DataFrame, wet: DataFrame, key: Sequence[str], degree: int, hypotheses: int, inlier_mm: float, top: int) -> DataFrame:
@@ -128,6 +128,7 @@ def recover_bowl(px: DataFrame, mask: DataFrame, frame: Sequence[str], outline:
     across, down = Window.partitionBy(*key, "y").orderBy("x").rangeBetween(-2, 2), Window.partitionBy(*key, "x").orderBy("y").rangeBetween(-2, 2)
     near = near.withColumn("under", F.col("inside") & F.col("wet"))
     near = near.withColumn("_all", F.min(F.col("under").cast("int")).over(across)).withColumn("edge", F.min("_all").over(down) == 0).drop("_all")
+    near = materialise(near, "bowl_region")
     point = ~F.col("under") & F.col("z").isNotNull()
     seen = F.when(F.col("inside"), F.col("z"))
     size = mask.groupBy(*key).agg(F.count(F.lit(1)).alias("mask_px"), F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.functions.linear import solved
+from kerbline.functions.linear import solved, solved_in_batches
 from kerbline.operators.bowl import normal_equations, powers, recover_bowl, with_terms
 
 
@@ -61,3 +61,15 @@ def test_solver_and_normal_equations(spark):
     coef = normal_equations(with_terms(spark.createDataFrame(pts, "k int, u double, v double, z double"), 3), ["k"], 3).first()["coef"]
     design = np.array([[u ** i * v ** j for i, j in powers(3)] for _, u, v, _ in pts])
     assert np.allclose(coef, np.linalg.lstsq(design, np.array([p[3] for p in pts]), rcond=None)[0])
+
+
+def test_systems_are_solved_in_batches(spark):
+    """Batches give the same digits as the expression, null where there is no solution, and a fit evaluates no expression per number."""
+    rows = np.random.default_rng(1).normal(size=(1200, 6, 7)).tolist()
+    rows[3], rows[5][2], rows[9][0][0], rows[11][0][0] = [[0.0] * 7] * 6, rows[5][1], float("nan"), 0.0
+    df = spark.createDataFrame([*enumerate(rows), (-1, None)], "i int, m array<array<double>>")
+    got = df.select("i", solved(F.col("m"), 6).alias("a"), solved_in_batches(F.col("m"), 6).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sorted(r.i for r in got if r.b is None) == [-1, 3, 5, 9, 11]
+    points = with_terms(df.select("i", F.lit(1.0).alias("u"), F.lit(2.0).alias("v"), F.lit(3.0).alias("z")), 4)
+    plan = normal_equations(points, ["i"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "reduce(" not in plan
