@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -53,8 +54,13 @@ CUT, CLASS = _cuts(), _classes()
 STAND_IN = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else chr(256 + sum(not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255) for x in range(b))) for b in range(256)}
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text holds what ``SPECIAL`` names; most ASCII texts are told by a few plain searches."""
+    return bool(SPECIAL.search(text)) if not text.isascii() else any(x in text for x in ("<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f"))
+
+
 class Encoder:
-    """Whole texts to token ids. Equal stretches of a batch are encoded once, and remembered up to a bounded number."""
+    """Whole texts to token ids. Equal stretches of a batch are encoded once, and remembered up to a bounded number; then those met least often are forgotten."""
 
     def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +72,20 @@ class Encoder:
         self.known, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.ids, self.id_at, self.id_n = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.bytes, self.byte_at = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int32)
+
+    def forget(self) -> None:
+        """Keep the stretches met in several slices, half of the bound at most."""
+        most = np.argsort(-self.met, kind="stable")[:self.remember // 2]
+        kept = np.sort(most[self.met[most] > 1])
+        size = np.diff(np.append(self.byte_at, len(self.bytes)))[kept]
+        place = np.full(len(self.met), -1, dtype=np.int64)
+        place[kept] = np.arange(len(kept))
+        there = place[self.row] >= 0
+        self.known, self.row = self.known[there], place[self.row[there]]
+        self.ids, self.bytes = self.ids[ragged(self.id_at[kept], self.id_n[kept])], self.bytes[ragged(self.byte_at[kept], size)]
+        self.id_n, self.met = self.id_n[kept], self.met[kept] // 2
+        self.id_at, self.byte_at = np.cumsum(self.id_n) - self.id_n, np.cumsum(size) - size
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -90,10 +110,11 @@ class Encoder:
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(chunks), dtype=np.uint8)])
         at = np.searchsorted(self.known, hashes)
         self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, row)
+        self.met = np.append(self.met, np.zeros(len(out), dtype=np.int32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizer itself gives them for it."""
-        odd = [i for i, x in enumerate(texts) if SPECIAL.search(x)]
+        odd = [i for i, x in enumerate(texts) if is_odd(x)]
         out: list = [None] * len(texts)
         for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
             out[i] = ids
@@ -110,7 +131,7 @@ class Encoder:
         if not len(codes):
             return [np.zeros(0, dtype=np.int32)] * len(raw)
         if len(self.known) > self.remember:
-            self.clear()
+            self.forget()
         kind = CLASS[codes]
         begin = np.zeros(len(codes), dtype=bool)
         begin[1:] = CUT[kind[:-1], kind[1:]]
@@ -126,7 +147,9 @@ class Encoder:
         if len(new):
             text = codes.tobytes()
             self.learn(hashes[new], [text[s:e] for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
-        row = self.row[np.searchsorted(self.known, hashes)][inverse]
+        row = self.row[np.searchsorted(self.known, hashes)]
+        self.met[row] += 1
+        row = row[inverse]
         same = self.bytes[ragged(self.byte_at[row], end - start)] == codes        # an equal hash of other bytes is found out here
         n = self.id_n[row]
         ids = self.ids[ragged(self.id_at[row], n)]
@@ -136,6 +159,12 @@ class Encoder:
         return [None if i in bad else ids[(upto[i - 1] if i else 0):upto[i]] for i in range(len(raw))]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python process: what one task has met serves the next."""
+    return Encoder(path)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int, size: int, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary of id arrays from about ``sample`` texts chosen by hash; empty where too few can be had."""
     import zstandard
@@ -145,7 +174,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int, size: in
     chosen = docs.where(F.xxhash64(F.lit("dictionary"), id_col) / F.lit(2.0 ** 64) + 0.5 < min(1.0, sample / n)).select(F.coalesce(text_col, F.lit("")).alias("t"))
 
     def arrays(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"b": [x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in encoder.encode(batch.column("t").to_pylist())]})
 
@@ -185,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encoded(batches: Iterator[pa.RecordBatch]):
         import zstandard
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
             ids, texts = batch.column("_id").to_pylist(), [x or "" for x in batch.column("_text").to_pylist()]
