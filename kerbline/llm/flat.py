@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from kerbline.functions.ranges import slices  # noqa: F401
+
 #: An odd base of the polynomial hash and the multipliers of a well-known 64-bit finaliser.
 BASE = 0x9E3779B97F4A7C15
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,15 +63,3 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lens), lens)
-
-
-def slices(sizes: list[int], most: int):
-    """Ranges of consecutive items with about ``most`` in sum, one item at least."""
-    lo, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield lo, i
-            lo, held = i, 0
-        held += n
-    if lo < len(sizes):
-        yield lo, len(sizes)

@@ -7,16 +7,19 @@ per-row windows below sort at most one image, or one image row, whatever the num
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from kerbline.functions.linear import products, scaled
 from kerbline.functions.numbers import clip
+from kerbline.functions.ranges import slices
 from kerbline.storage import materialise
 
 # fixed values: dilation radii in pixels (kernel half-width x iterations) and least pixel counts of the label protocol
@@ -349,20 +352,46 @@ def along(px: DataFrame, frame: Sequence[str], line: str, axis: str, sums: dict[
     """
     names = sorted({v for v, _ in sums.values()})
     lines = px.groupBy(*frame, line).agg(F.sort_array(F.collect_list(F.struct(axis, *names))).alias("_l"))
-    at = lines.select(*frame, line, *[F.col("_l").getField(v).alias(f"_{v}") for v in (axis, *names)]).withColumn("_n", F.size(f"_{axis}"))
-    turn = F.greatest(2 * (F.col("_n") - 1), F.lit(1))
-
-    def total(v, weights, i):
-        half, out = len(weights) // 2, None
-        for k, w in enumerate(weights):
-            if w:
-                spot = F.pmod(i + (k - half), turn)
-                part = float(w) * F.get(F.col(f"_{v}"), F.least(spot, F.when(F.col("_n") > 1, turn - spot).otherwise(0)))
-                out = part if out is None else out + part
-        return out
-
-    made = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(F.get(f"_{axis}", i).alias(axis), *[total(v, w, i).alias(n) for n, (v, w) in sums.items()]))
-    return at.select(*frame, line, F.explode(made).alias("_s")).select(*frame, line, "_s.*")
+    shape = ", ".join([f"`{axis}` {px.schema[axis].dataType.simpleString()}", *[f"`{n}` double" for n in sums]])
+    made = lines.select(*frame, line, line_sums(axis, sums, f"array<struct<{shape}>>")("_l").alias("_l"))
+    return made.select(*frame, line, F.explode("_l").alias("_s")).select(*frame, line, "_s.*")
+
+
+def few_at_a_time(lines: pa.Array, most: int = 200_000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of whole lines of about ``most`` positions, each as (lines, length of each line, first position and length of its line for every position)."""
+    sizes = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in slices(sizes.tolist(), most):
+        n = sizes[lo:hi]
+        yield lines[lo:hi], n, np.repeat(np.cumsum(n) - n, n), np.repeat(n, n)
+
+
+def as_lines(n: np.ndarray, columns: Mapping[str, pa.Array]) -> pa.Array:
+    """Columns over all positions as one array of structs per line."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def line_sums(axis: str, sums: Mapping[str, tuple[str, Sequence[float]]], returns: str):
+    """Column function of ``along``: the sums over the lines of an Arrow batch, in the order of the weights; null where a summand is null."""
+    @F.arrow_udf(returns)
+    def total(lines: pa.Array) -> pa.Array:
+        out = []
+        for part, n, start, length in few_at_a_time(lines):
+            flat = part.flatten()
+            fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+            i, turn, made = np.arange(len(flat)) - start, np.maximum(2 * (length - 1), 1), {axis: fields[axis]}
+            for name, (v, weights) in sums.items():
+                x, there = fields[v].to_numpy(zero_copy_only=False).astype(np.float64), fields[v].is_valid().to_numpy(zero_copy_only=False)
+                value, known = None, np.ones(len(flat), dtype=bool)
+                for k, w in enumerate(weights):
+                    if w:
+                        spot = (i + (k - len(weights) // 2)) % turn
+                        at = start + np.minimum(spot, np.where(length > 1, turn - spot, 0))
+                        value, known = float(w) * x[at] if value is None else value + float(w) * x[at], known & there[at]
+                made[name] = pa.array(value, mask=~known)
+            out.append(as_lines(n, made))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([(axis, lines.type.value_type.field(axis).type), *[(k, pa.float64()) for k in sums]])))
+
+    return total
 
 
 def gaussian(size: int) -> list[float]:
@@ -393,7 +422,9 @@ def surface_normals(px: DataFrame, mask: DataFrame, frame: Sequence[str], outlin
     ``min_road`` positions outside or ``min_rim`` on the rim, or without a mean normal, drop out.
     """
     key = [*frame, outline]
-    g = smooth_gradient(normalise(px, frame, z, "_z"), frame, "_z", size).where("gx IS NOT NULL AND gy IS NOT NULL")
+    known = materialise(normalise(px.select(*frame, "y", "x", z), frame, z, "_z").select(*frame, "y", "x", "_z"), "scaled")
+    mask = materialise(mask.select(*key, "y", "x"), "outlines")
+    g = smooth_gradient(known, frame, "_z", size).where("gx IS NOT NULL AND gy IS NOT NULL")
     length = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1.0)
     n = g.select(*frame, "y", "x", (-F.col("gx") / length).alias("nx"), (-F.col("gy") / length).alias("ny"), (1.0 / length).alias("nz"))
     n = materialise(n, "normals")
