@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from kerbline.functions import grading as D
+from kerbline.operators.raster import as_lines, few_at_a_time
+from kerbline.storage import materialise
 
 # fixed values: tyre sizes as (id, rim in inches or null, section width mm, aspect ratio %); the bicycle rim is
 # 622 mm at the bead seat.
@@ -177,6 +182,28 @@ def hazard_block(df: DataFrame, drops: DataFrame, key: Sequence[str], depth: str
                                    score.alias("score"), D.response_for(score, route).alias("response"), F.col("tyres").alias("tyres")).alias("hazard"))
 
 
+@F.arrow_udf(ArrayType(StructType().add("sx", DoubleType()).add("sy", DoubleType())))
+def smoothed(contours: pa.Array, halves: pa.Array) -> pa.Array:
+    """Coordinates of closed contours under the weights of a local cubic over m points to either side; null where one of them is null."""
+    out, done = [], 0
+    for part, n, start, length in few_at_a_time(contours):
+        each = halves[done:done + len(part)].to_numpy(zero_copy_only=False).astype(np.int64)
+        done, m, flat = done + len(part), np.repeat(each, n), part.flatten()
+        i, total, made = np.arange(len(flat)) - start, (2 * m - 1) * (2 * m + 1) * (2 * m + 3), {}
+        for name in ("x", "y"):
+            v = flat.flatten()[flat.type.get_field_index(name)]
+            x, there = v.to_numpy(zero_copy_only=False).astype(np.float64), v.is_valid().to_numpy(zero_copy_only=False)
+            value, known = np.zeros(len(flat)), np.ones(len(flat), dtype=bool)
+            for step in range(-int(each.max()), int(each.max()) + 1):
+                near = np.flatnonzero(m >= abs(step))
+                at = start[near] + (i[near] + step) % length[near]
+                value[near] += 3.0 * (3 * m[near] * m[near] + 3 * m[near] - 1 - 5 * step * step) / total[near] * x[at]
+                known[near] &= there[at]
+            made[f"s{name}"] = pa.array(value, mask=~known)
+        out.append(as_lines(n, made))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("sx", pa.float64()), ("sy", pa.float64())])))
+
+
 def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
     """Rim curvature of closed outlines: smoothed coordinates, signed curvature, its summary, sign changes and entropy; length of the closed line and elongation of its box.
 
@@ -188,19 +215,12 @@ def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x",
     p = p.withColumn("n", F.size("p")).where("n >= 15")
     win = F.least(F.bround(F.col("n") * CURVATURE_SHARE).cast("int"), F.col("n") - 1, F.lit(CURVATURE_MAX))
     p = p.withColumn("m", F.floor((F.greatest(win - (win % 2 == 0).cast("int"), F.lit(CURVATURE_MIN)) - 1) / 2).cast("int"))
-    m, n = F.col("m"), F.col("n")
-    total = (2 * m - 1) * (2 * m + 1) * (2 * m + 3)
-
-    def smooth(axis):
-        return F.aggregate(F.sequence(-m, m), F.lit(0.0), lambda s, i: s + 3.0 * (3 * m * m + 3 * m - 1 - 5 * i * i) / total
-                           * F.get(F.col("p"), (F.col("i") + i + n) % n)[axis])
-
+    p, n = materialise(p, "contours"), F.col("n")
     pts = F.col("p")
     steps = F.transform(pts, lambda a, i: F.sqrt((F.get(pts, (i + 1) % n)["x"] - a["x"]) ** 2 + (F.get(pts, (i + 1) % n)["y"] - a["y"]) ** 2))
     side = lambda v: F.array_max(F.transform(pts, lambda a: a[v])) - F.array_min(F.transform(pts, lambda a: a[v])) + 1
     box = p.select(*key, F.aggregate(steps, F.lit(0.0), lambda s, d: s + d).alias("contour_length"), (side("x") / F.greatest(side("y"), F.lit(1.0))).alias("contour_elongation"))
-    rows = (p.select(*key, "n", "m", "p", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-            .select(*key, "n", "i", smooth("x").alias("sx"), smooth("y").alias("sy")))
+    rows = p.select(*key, "n", smoothed("p", "m").alias("_s")).select(*key, "n", F.posexplode("_s").alias("i", "_s")).select(*key, "n", "i", "_s.sx", "_s.sy")
     w = Window.partitionBy(*key).orderBy("i")
 
     def gradient(v):
@@ -211,13 +231,14 @@ def curvature(contours: DataFrame, key: Sequence[str], order: str, x: str = "x",
     rows = rows.withColumns({"dx": gradient("sx"), "dy": gradient("sy")})
     rows = rows.withColumns({"ax": gradient("dx"), "ay": gradient("dy")})
     kappa = (F.col("dx") * F.col("ay") - F.col("dy") * F.col("ax")) / F.greatest(F.pow(F.col("dx") ** 2 + F.col("dy") ** 2, F.lit(1.5)), F.lit(1e-10))
-    rows = rows.select(*key, "n", "i", kappa.alias("s")).withColumns({"a": F.abs("s"), "prev": F.lag("s").over(w)})
+    rows = materialise(rows.select(*key, "n", "i", kappa.alias("s")).withColumns({"a": F.abs("s"), "prev": F.lag("s").over(w)}), "curvatures")
     s = rows.groupBy(*key).agg(F.max("n").alias("points"), F.max("a").alias("max_curvature"), F.avg("a").alias("mean_curvature"), F.stddev_pop("a").alias("std_curvature"),
                                F.percentile("a", F.lit(0.9)).alias("p90_curvature"), F.min("a").alias("_lo"), F.avg((F.col("s") < 0).cast("int")).alias("concave_fraction"),
                                F.count_if(F.signum("s") != F.signum("prev")).alias("curvature_sign_changes"))
     j = rows.select(*key, "a").join(s, key)
-    high = j.groupBy(*key).agg(F.avg((F.col("a") > F.col("mean_curvature") + F.col("std_curvature")).cast("int")).alias("high_curvature_fraction"))
     span = F.col("max_curvature") - F.col("_lo")
-    bins = j.withColumn("_b", F.coalesce(F.least(F.floor(F.try_divide(F.col("a") - F.col("_lo"), span) * 30), F.lit(29)), F.lit(0))).groupBy(*key, "_b").agg((F.count(F.lit(1)) / F.max("points")).alias("_p"))
-    entropy = bins.groupBy(*key).agg((-F.sum(F.col("_p") * F.log(F.col("_p") + 1e-12))).alias("curvature_entropy"))
-    return s.drop("_lo").join(high, key).join(entropy, key).join(box, key)
+    sharp = (F.col("a") > F.col("mean_curvature") + F.col("std_curvature")).cast("int")
+    bins = j.withColumn("_b", F.coalesce(F.least(F.floor(F.try_divide(F.col("a") - F.col("_lo"), span) * 30), F.lit(29)), F.lit(0))).groupBy(*key, "_b").agg(
+        (F.count(F.lit(1)) / F.max("points")).alias("_p"), F.sum(sharp).alias("_sharp"), F.count(sharp).alias("_known"))
+    summed = bins.groupBy(*key).agg((F.sum("_sharp") / F.sum("_known")).alias("high_curvature_fraction"), (-F.sum(F.col("_p") * F.log(F.col("_p") + 1e-12))).alias("curvature_entropy"))
+    return s.drop("_lo").join(summed, key).join(box, key)
