@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators.ordered import percentiles
+from kerbline.storage import materialise
 
 # fixed values: fewest tokens of an outline line that each consumer accepts
 MIN_TOKENS = {"summary": 6, "geometry": 7, "training": 3, "polygon": 6}
+# fixed value: most groups whose limits, a few numbers each, are broadcast
+BROADCAST_GROUPS = 100_000
 
 
 def valid_outline(tokens: Column, use: str) -> Column:
@@ -87,7 +90,13 @@ def trim_percentile(df: DataFrame, group: Sequence[str], value: str, low: float
     limits = percentiles(df, group, value, {"_lo": low, "_hi": high})
     if not group:
         return df.where(F.col(value).between(limits.select("_lo").scalar(), limits.select("_hi").scalar()))
-    return df.join(limits, list(group)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return between_limits(df, materialise(limits, "limits"), group, value)
+
+
+def between_limits(df: DataFrame, limits: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows between the limits of their group. Up to ``BROADCAST_GROUPS`` counted groups meet the rows where they are, so that no task takes a whole group; more are joined by shuffle."""
+    few = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
+    return df.join(few, list(group)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def sigma_trim(df: DataFrame, group: Sequence[str], value: str, k: float = 2.5, rounds: int = 3) -> DataFrame:
@@ -98,10 +107,10 @@ def sigma_trim(df: DataFrame, group: Sequence[str], value: str, k: float = 2.5,
     group = list(group)
     limits = None
     for _ in range(rounds):
-        kept = df if limits is None else df.join(limits, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        kept = df if limits is None else between_limits(df, limits, group, value)
         m = kept.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-        limits = m.select(*group, (F.col("_m") - k * F.col("_s")).alias("_lo"), (F.col("_m") + k * F.col("_s")).alias("_hi"))
-    return df.join(limits, group).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        limits = materialise(m.select(*group, (F.col("_m") - k * F.col("_s")).alias("_lo"), (F.col("_m") + k * F.col("_s")).alias("_hi")), "limits")
+    return between_limits(df, limits, group, value)
 
 
 def road_surround(px: DataFrame, outline: Sequence[str], half_height: Column, need: int = 100) -> DataFrame:
