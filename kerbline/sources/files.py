@@ -20,19 +20,29 @@ def read_image_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.lower("path").rlike(rf"\.({'|'.join(PHOTO_EXTENSIONS)})$")).withColumn("filename", base_name(F.col("path")))
 
 
+def tokens_of(line: Column) -> Column:
+    """The words of a text label line."""
+    return F.split(F.trim(line), r"\s+")
+
+
+def points_of(tokens: Column) -> Column:
+    """Points of an outline from its tokens after the label; an odd last number is dropped. The numbers are bound once, not read again for every point."""
+    numbers = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda v: v.try_cast("double"))
+    pairs = lambda v: F.floor(F.size(v) / 2).cast("int")
+    points = lambda v: F.when(pairs(v) > 0, F.transform(F.sequence(F.lit(0), pairs(v) - 1), lambda k: F.struct(F.get(v, k * 2).alias("x"), F.get(v, k * 2 + 1).alias("y"))))
+    return F.get(F.transform(F.array(numbers), points), F.lit(0))
+
+
 def parse_outline(line: Column) -> Column:
     """(label, pts) of one text label line; an odd last number is dropped."""
-    tokens = F.split(F.trim(line), r"\s+")
-    numbers = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda v: v.try_cast("double"))
-    pairs = F.floor(F.size(numbers) / 2).cast("int")
-    pts = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), lambda k: F.struct(F.get(numbers, k * 2).alias("x"), F.get(numbers, k * 2 + 1).alias("y"))))
-    return F.struct(F.get(tokens, 0).alias("label"), F.size(tokens).alias("tokens"), pts.alias("pts"))
+    tokens = tokens_of(line)
+    return F.struct(F.get(tokens, 0).alias("label"), F.size(tokens).alias("tokens"), points_of(tokens).alias("pts"))
 
 
 def read_outlines(spark: SparkSession, path: str, min_tokens: int = 7) -> DataFrame:
     """One row per outline of the text label files below ``path``: file, label and points."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    return lines.select("file", parse_outline(F.col("value")).alias("o")).where(F.col("o.tokens") >= min_tokens).select("file", "o.label", "o.pts")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("file"), tokens_of(F.col("value")).alias("_t"))
+    return lines.where(F.size("_t") >= min_tokens).select("file", F.get("_t", F.lit(0)).alias("label"), points_of(F.col("_t")).alias("pts"))
 
 
 def read_voc(spark: SparkSession, path: str, wanted: str) -> DataFrame:
