@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.linear import solved
 from kerbline.operators.evaluation import regression_scores
 from kerbline.operators.ordered import percentiles
+from kerbline.storage import new_folder
 
 SEED = 20260924
 
@@ -125,9 +126,16 @@ def out_of_fold(df: DataFrame, fold: str, k: int, model) -> DataFrame:
     return out
 
 
+def training_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once for fits that pass over them many times: plain numbers in small row groups, so that a file split of 128 MB holds some three million rows and a fit's cached form of it stays small."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").option("parquet.block.size", 16 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compare_models(df: DataFrame, fold: str, k: int, models: Mapping, label: str, clip_max: float = 250.0) -> DataFrame:
     """Out-of-fold scores of each model, predictions clipped to the plausible range."""
-    rows = None
+    rows, df = None, training_rows(df.select(*dict.fromkeys([fold, label, *[m.getFeaturesCol() for m in models.values()]])), "compared")
     for name, m in models.items():
         p = out_of_fold(df, fold, k, m).withColumn("pred", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(clip_max)))
         s = regression_scores(p, label, "pred").withColumn("model", F.lit(name))
@@ -216,8 +224,10 @@ def cue_logistic_f1(df: DataFrame, cues: Sequence[str], label: str, fold: str, k
 def learned_selector(df: DataFrame, options: Mapping[str, str], truth: str, features: str) -> DataFrame:
     """One model per option predicts that option's error; the option with the least predicted error is read, skipping missing ones."""
     out, wanted = df, []
+    errors = {f"_e_{name}": F.when(F.col(col).isNotNull(), F.struct(F.abs(F.col(col) - F.col(truth)).cast("double").alias("e"))) for name, col in options.items()}
+    slim = training_rows(df.select(F.col(features), *[e.alias(n) for n, e in errors.items()]), "option_errors")
     for name, col in options.items():
-        known = df.where(F.col(col).isNotNull()).withColumn("_e", F.abs(F.col(col) - F.col(truth)))
+        known = slim.where(F.col(f"_e_{name}").isNotNull()).select(features, F.col(f"_e_{name}.e").alias("_e"))
         m = GBTRegressor(featuresCol=features, labelCol="_e", predictionCol=f"_e_{name}", maxIter=5, maxDepth=3, seed=SEED).fit(known)
         out = m.transform(out)
         wanted.append(F.when(F.col(col).isNotNull(), F.struct(F.col(f"_e_{name}").alias("e"), F.lit(name).alias("name"), F.col(col).cast("double").alias("value"))))
