@@ -25,6 +25,8 @@ LEVELS = (1, 2, 4)
 FACT_BITS, FACT_ROWS, MOST_BITMAPS = 16, 3, 1 << 18
 #: Blocks: most documents, most distinct terms in sum, and what a task gathers before it sorts documents by size.
 BLOCK_DOCS, BLOCK_TERMS, GATHER_TERMS = 2048, 1 << 16, 1 << 18
+#: A row of the index may take megabytes, so its files are checked at every row, not at every hundredth, for a full page or row group: writers and readers hold one such group and one row more.
+GROUP_BYTES = 4 << 20
 STORED = "docs long, terms long, ids array<long>, n binary, ends binary, hash binary, tf binary, bitmaps int, signature binary"
 
 
@@ -137,7 +139,8 @@ def index_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield from flush()
 
     work = docs.select(docs[f"`{id_col}`"].cast("long").alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"))
-    return materialise(work.mapInArrow(read, STORED), "signatures")
+    checked = {f"parquet.page.size.row.check.{which}": 1 for which in ("min", "max")}
+    return materialise(work.mapInArrow(read, STORED), "signatures", **checked | {"parquet.block.size": GROUP_BYTES})
 
 
 def exact(docs: np.ndarray, term: np.ndarray, weight: np.ndarray, ends: np.ndarray, hashes: np.ndarray, tf: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -29,9 +29,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/kerbline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing to the shared folder and reading back; survives lost executors."""
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Cut the lineage by writing to the shared folder, with options of the Parquet writer, and reading back; survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -158,3 +158,18 @@ def test_signatures_overestimate(monkeypatch):
             some = tf >= least
             at = s.places(term[some], level, len(sig))
             assert all(((sig[at[:, j], owner[some] >> 3] >> (owner[some] & 7)) & 1).all() for j in range(s.FACT_ROWS))
+
+
+def test_index_is_written_in_small_row_groups(spark, monkeypatch):
+    """A group ends before it takes more than the bound and a row or two, however large the rows are; writers that look only at every hundredth row would put all blocks in one."""
+    import pyarrow.parquet as pq
+
+    from kerbline.llm import signatures as s
+    monkeypatch.setattr(s, "BLOCK_TERMS", 1 << 11)
+    monkeypatch.setattr(s, "GROUP_BYTES", 1 << 18)
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(100 + i % 7))) for i in range(900)], "doc_id long, text string")
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in s.index_of(docs.coalesce(1), "doc_id", "text").inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    rows = sum(g.num_rows for g in groups)
+    assert len(files) == 1 and 40 < rows < 100                                      # all within the first hundred
+    assert len(groups) > 5 and all(g.total_byte_size <= (1 << 18) + 2 * (1 << 17) for g in groups)
