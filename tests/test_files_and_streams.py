@@ -109,3 +109,33 @@ def test_annotation_files_stay_small(spark, monkeypatch):
     rows = t.lineitem.count()
     read = CATALOG["read_voc"][0](t)
     assert read.count() == rows and len(read.inputFiles()) >= rows // 1000
+
+
+def test_asof_keys_share_calls(spark, tmp_path):
+    """Calls on the state are bounded by the groups, not by the keys; keys of any plain kind, null and signed zero among them, keep their own starts and come back as they were."""
+    import datetime
+    import random
+    from decimal import Decimal
+
+    from kerbline.operators.joins import asof
+    rng, base = random.Random(8), datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
+    keys = [(None, None, None, None, None), (0.0, 1 << 62, "a", bytearray(b"\xff"), Decimal("1.50")), (-0.0, 1 << 62, "a", bytearray(b"\xff"), Decimal("1.50")), (-0.0, (1 << 62) + 1, "a", bytearray(b"\xff"), Decimal("1.50")), (0.0, 1 << 62, None, bytearray(b""), Decimal("1.50")),
+            (float("nan"), -1, "", None, Decimal("-2.25")), (0.1, 5, "é|,", bytearray(b"x"), None)] + [(0.5, i, "z", bytearray(b"y"), Decimal(i)) for i in range(60)]
+    schema = "w double, k long, s string, b binary, d decimal(10,2), o timestamp, at timestamp, id long, start boolean"
+    rows = [(*rng.choice(keys), base + datetime.timedelta(microseconds=1), base + datetime.timedelta(minutes=m // 3), n, rng.random() < 0.3) for n, m in enumerate(range(0, 3000, 2))]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 500:k * 500 + 500], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: K.read_stream(spark, f"{tmp_path}/in", schema, per_trigger=1)
+    by = ["w", "k", "s", "b", "d", "o"]
+    out = K.asof_drive(stream().where("not start"), stream().where("start").withColumnRenamed("id", "sid"), by, "at", "id", "sid", "1 hour", "drive", groups=4)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+    done = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    assert done.select(*by, "at").schema.simpleString() == spark.createDataFrame([], schema).select(*by, "at").schema.simpleString()
+    whole = spark.createDataFrame(rows, schema)
+    want = asof(whole.where("not start").drop("start"), whole.where("start").select(*by, "at", "id"), by, "at", "at", "id", "drive")
+    mark = max(r[6] for r in rows) - datetime.timedelta(hours=1)
+    named = lambda df: sorted(map(repr, df.select("id", F.hash(*by), F.unix_micros("at").alias("at"), "drive").where(F.col("at") < int(mark.timestamp()) * 1_000_000).collect()))
+    got = named(done)
+    assert got == named(want) and len(got) > 500
