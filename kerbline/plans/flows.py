@@ -16,8 +16,9 @@ from kerbline.storage import new_folder
 from kerbline.streaming import streams as K
 
 c = F.col
-# an XML file is read by one task, so files stay small however much a task writes
+# an XML file is read by one task, so files stay small however much a task writes; tags repeat in every row, so files are compressed and not indented
 ROWS_PER_FILE = 100_000
+XML_OPTIONS = {"rootTag": "annotations", "rowTag": "annotation", "compression": "gzip", "indent": ""}
 
 # ── sources and sinks: files written to the shared folder, then read back ──
 
@@ -62,7 +63,7 @@ def _(t):
     box = F.struct(edge(c("l_quantity")).alias("xmin"), F.lit(2.0).alias("ymin"), edge(c("l_quantity") + 50).alias("xmax"), F.lit(40.0).alias("ymax"))
     item = F.struct(F.when(c("l_returnflag") == "R", "D40").otherwise("D00").alias("name"), box.alias("bndbox"))
     t.lineitem.select(F.concat_ws("", c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string"), F.lit(".jpg")).alias("filename"), F.struct(F.lit(640).alias("width"), F.lit(480).alias("height")).alias("size"),
-                      F.array(item).alias("object")).write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").option("maxRecordsPerFile", ROWS_PER_FILE).save(path)
+                      F.array(item).alias("object")).write.format("xml").options(maxRecordsPerFile=ROWS_PER_FILE, **XML_OPTIONS).save(path)
     v = I.read_voc(t.spark, path, "D40")
     return v.select("filename", "w", "h", F.size("boxes").alias("boxes"), "n_other", F.round(F.get("boxes", F.lit(0))[2] - F.get("boxes", F.lit(0))[0], 6).alias("width"))
 

@@ -111,6 +111,17 @@ def test_annotation_files_stay_small(spark, monkeypatch):
     assert read.count() == rows and len(read.inputFiles()) >= rows // 1000
 
 
+def test_annotation_files_take_less_than_their_table(spark, monkeypatch, tmp_path):
+    from kerbline.plans import flows
+    from kerbline.plans.catalog import CATALOG
+    from kerbline.plans.registry import Tables
+    monkeypatch.setattr(flows, "new_folder", lambda s, name: f"{tmp_path}/{name}")
+    t = Tables(spark, "/root/testdata/sf0.01")
+    read = CATALOG["read_voc"][0](t)
+    written = sum(os.path.getsize(f.removeprefix("file://")) for f in read.inputFiles())
+    assert written < os.path.getsize(t.path("lineitem")) and read.count() == t.lineitem.count()
+
+
 def test_asof_keys_share_calls(spark, tmp_path):
     """Calls on the state are bounded by the groups, not by the keys; keys of any plain kind, null and signed zero among them, keep their own starts and come back as they were."""
     import datetime
