@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.linear import solved
-from kerbline.operators.evaluation import regression_scores
+from kerbline.operators.evaluation import poisson_weight, regression_scores
 from kerbline.operators.ordered import percentiles
-from kerbline.storage import new_folder
+from kerbline.storage import materialise, new_folder
 
 SEED = 20260924
+SEED_STEP = 1_000_003                                                                     # between trees: neighbouring seeds start alike
+# rows that share their feature values, on average, before fits take them together; fewest rows and most features of such a fit
+ROWS_PER_CELL, LEAST_ROWS, MOST_FEATURES = 8, 1_000, 4_096
 
 
 def scaler_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -133,14 +137,90 @@ def training_rows(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits_cells(model) -> bool:
+    """Whether the fit is the same from rows of equal features taken together, by the number, mean and deviation of their labels: squared losses over all rows, and bootstrapped trees, whose draws can be counted."""
+    if isinstance(model, LinearRegression):
+        return model.getLoss() == "squaredError" and model.getSolver() != "l-bfgs" and not model.isSet("weightCol")
+    if not isinstance(model, (GBTRegressor, RandomForestRegressor)) or model.isSet("weightCol") or model.getSubsamplingRate() < 1 or model.getMinInstancesPerNode() > 1:
+        return False
+    return model.getBootstrap() if isinstance(model, RandomForestRegressor) else model.getLossType() == "squared" and not model.isSet("validationIndicatorCol")
+
+
+def forest_draws(models: Mapping) -> dict[str, list[str]]:
+    """Names of the columns that count the draws of each forest's trees."""
+    return {name: [f"_d{i}_{t}" for t in range(m.getNumTrees())] for i, (name, m) in enumerate(models.items()) if isinstance(m, RandomForestRegressor)}
+
+
+def cells(df: DataFrame, fold: str, models: Mapping, label: str) -> DataFrame:
+    """One row per fold and feature values: n, mean and deviation of the label, and for each tree of a forest the rows it draws, a Poisson(1) count of every row by its place in its partition, as MLlib draws, with the sum of their labels."""
+    vectors = dict.fromkeys(m.getFeaturesCol() for m in models.values())
+    y = F.coalesce(F.col(label).cast("double"), F.lit(float("nan")))                      # a missing label stops the fit, as it does among rows
+    draws = {d: F.rand(models[name].getSeed() + SEED_STEP * t) for name, trees in forest_draws(models).items() for t, d in enumerate(trees)}
+    drawn = df.select(fold, *[vector_to_array(v).alias(f"_x_{v}") for v in vectors], y.alias("_y"), *[u.alias(d) for d, u in draws.items()]).withColumns({d: poisson_weight(F.col(d)) for d in draws})
+    sums = [s for d in draws for s in (F.sum(d).cast("double").alias(d), F.sum(F.col(d) * F.col("_y")).alias(f"{d}_y"))]
+    found = drawn.groupBy(fold, *[f"_x_{v}" for v in vectors]).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_y").alias("_m"), F.stddev_pop("_y").alias("_s"), *sums)
+    return found.select("*", *[array_to_vector(f"_x_{v}").alias(v, metadata=df.schema[v].metadata) for v in vectors])
+
+
+def fit_cells(train: DataFrame, model, label: str, draws: Sequence[str] = ()) -> list:
+    """The model fitted on ``cells``; a forest as its trees, each on the rows it drew. For a ridge, whose penalty depends on the labels' deviation, a cell is two rows that far from their mean."""
+    rows = lambda w, y: train.where(w > 0).select(model.getFeaturesCol(), w.alias("_w"), y.alias(label))
+    if isinstance(model, RandomForestRegressor):
+        some = model.getFeatureSubsetStrategy()
+        one = {model.numTrees: 1, model.bootstrap: False, model.weightCol: "_w", model.featureSubsetStrategy: "onethird" if some == "auto" and model.getNumTrees() > 1 else some}
+        return [model.fit(rows(F.col(d), F.col(f"{d}_y") / F.col(d)), one | {model.seed: model.getSeed() + SEED_STEP * t}) for t, d in enumerate(draws)]
+    if isinstance(model, LinearRegression):
+        return [model.fit(rows(F.col("_n") / 2, F.explode(F.array(F.col("_m") - F.col("_s"), F.col("_m") + F.col("_s")))), {model.weightCol: "_w"})]
+    return [model.fit(rows(F.col("_n"), F.col("_m")), {model.weightCol: "_w"})]
+
+
+def cell_predictions(found: DataFrame, fold: str, k: int, models: Mapping, label: str) -> DataFrame:
+    """fold, feature values and a column per model: its prediction for cells of the fold, by a fit that never saw it."""
+    out, draws, keys = None, forest_draws(models), [c for c in found.columns if c.startswith("_x_")]
+    for f in range(k):
+        held, train, means = found.where(F.col(fold) == f), found.where(F.col(fold) != f), []
+        for i, (name, m) in enumerate(models.items()):
+            fitted = fit_cells(train, m, label, draws.get(name, ()))
+            for t, one in enumerate(fitted):
+                held = one.setPredictionCol(f"_p{i}_{t}").transform(held)
+            means.append((sum((F.col(f"_p{i}_{t}") for t in range(1, len(fitted))), F.col(f"_p{i}_0")) / len(fitted)).alias(f"_p{i}"))
+        part = held.select(fold, *keys, *means)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rows_repeat(df: DataFrame, fold: str, k: int, vectors: Sequence[str]) -> bool:
+    """Whether feature values come back often enough for ``cells`` to be far fewer than the rows, every fit has enough rows for a tree to draw from, and MLlib solves linear fits of that width by sums of products."""
+    x = F.concat(*[vector_to_array(v) for v in vectors])
+    rows, kinds, width, least = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(x)), F.max(F.size(x)), F.array_min(F.array(*[F.count_if(F.col(fold) != f) for f in range(k)]))).first()
+    return rows >= ROWS_PER_CELL * kinds and least >= LEAST_ROWS and width <= MOST_FEATURES
+
+
 def compare_models(df: DataFrame, fold: str, k: int, models: Mapping, label: str, clip_max: float = 250.0) -> DataFrame:
-    """Out-of-fold scores of each model, predictions clipped to the plausible range."""
-    rows, df = None, training_rows(df.select(*dict.fromkeys([fold, label, *[m.getFeaturesCol() for m in models.values()]])), "compared")
-    for name, m in models.items():
-        p = out_of_fold(df, fold, k, m).withColumn("pred", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(clip_max)))
-        s = regression_scores(p, label, "pred").withColumn("model", F.lit(name))
-        rows = s if rows is None else rows.unionByName(s)
-    return rows
+    """Out-of-fold scores of each model, predictions clipped to the plausible range.
+
+    Where feature values repeat, models that allow it (``fits_cells``) are fitted on ``cells``, so the rows are read once to count them and once to score all those models, however many passes the
+    fits take. Other models, and all where values hardly repeat, are fitted on the rows.
+    """
+    vectors = list(dict.fromkeys(m.getFeaturesCol() for m in models.values()))
+    quick = {name: m for name, m in models.items() if fits_cells(m)}
+    if quick and not rows_repeat(df, fold, k, vectors):
+        quick = {}
+    slow = {name: m for name, m in models.items() if name not in quick}
+    df = (training_rows if slow else materialise)(df.select(*dict.fromkeys([fold, label, *vectors])), "compared")
+    clipped = lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(clip_max))
+    scores = {}
+    if quick:
+        seen = materialise(cells(df, fold, quick, label), "cells")
+        told = materialise(cell_predictions(seen, fold, k, quick, label), "cell_predictions")
+        keys = [v for v in told.columns if v.startswith("_x_")]
+        met = df.select(fold, label, *[vector_to_array(v.removeprefix("_x_")).alias(v) for v in keys]).join(told, [fold, *keys])
+        each = met.select(label, F.explode(F.array(*[F.struct(F.lit(name).alias("model"), clipped(F.col(f"_p{i}")).alias("pred")) for i, name in enumerate(quick)])).alias("_r")).select(label, "_r.*")
+        s = regression_scores(each, label, "pred", ["model"])
+        scores["cells"] = s.select(*[x for x in s.columns if x != "model"], "model")
+    for name, m in slow.items():
+        scores[name] = regression_scores(out_of_fold(df, fold, k, m).withColumn("pred", clipped(F.col("prediction"))), label, "pred").withColumn("model", F.lit(name))
+    return reduce(DataFrame.unionByName, scores.values())
 
 
 def ordinal_logistic(df: DataFrame, features: str, grade: str, top: int = 5) -> list[tuple[list[float], float]]:
